@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,3 +37,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(batches, column: str, max_bytes: int = 8 << 20):
+    """Arrow batches cut so that a slice holds about ``max_bytes`` of a text column, or one row."""
+    for batch in batches:
+        values = batch.column(column)
+        if not len(values):
+            continue
+        lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = np.cumsum(lengths) // max_bytes
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1), len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)

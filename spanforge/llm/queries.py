@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.llm.byte_bpe import decode_ids, encode_documents
 from spanforge.llm.common import table
+from spanforge.llm.language_mixture import held_out, learn, with_language
 from spanforge.llm.line_frequency import MAX_RATIO, MIN_PAGES, drop_site_boilerplate
 from spanforge.llm.poisson_mix import SEED, TEMPERATURE, mix_sources
+from spanforge.llm.simhash import simhash_components
 from spanforge.llm.warc_archive import MIN_REVISIT_BYTES, read_archive, write_archive
 
 
@@ -22,15 +26,46 @@ def op2_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(~held_out()))
+    return with_language(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.to_json("mixture").alias("mixture"))
+
+
 def op6_line_site_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_site_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "lines_in", "lines_dropped")
 
 
+def op7_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_content_addressed, op6_line_site_frequency, op9_poisson_mix)}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return decode_ids(encoded, path).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_warc_content_addressed,
+        op4_language_mixture,
+        op6_line_site_frequency,
+        op7_simhash_covering,
+        op9_poisson_mix,
+        op10_byte_bpe,
+    )
+}
 
 ORACLE_SQL = {
     "op2_warc_content_addressed": f"""
