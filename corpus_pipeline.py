@@ -4,27 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.llm.byte_bpe import decode_ids, encode_documents
 from spanforge.llm.common import materialize, table
+from spanforge.llm.language_mixture import UNDETERMINED, held_out, learn, with_language
 from spanforge.llm.line_frequency import drop_site_boilerplate
 from spanforge.llm.poisson_mix import mix_sources
+from spanforge.llm.simhash import drop_near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any letter go; the others' lang becomes the predicted one."""
+    model = learn(docs.where(~held_out()))
+    found = with_language(docs, model)
+    return found.where(F.col("lang_pred") != UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_site_boilerplate(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs).select(*COLUMNS)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select(*COLUMNS)
 
 
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and whether the ids decode to the text again; a row for each row of docs."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode_documents(docs, path, public_tokenizers.PATTERN)
+    return decode_ids(encoded, path).select(
+        "doc_id",
+        F.octet_length("ids").cast("long").alias("ids_bytes"),
+        "ids",
+        (F.decode("decoded", "UTF-8") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
     ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("mixing", mixing),
+    ("BPE", tokenise),
 ]
 
 #: SQL can't express the stages of language ID, SimHash and BPE.
