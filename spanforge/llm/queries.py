@@ -7,14 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.byte_bpe import decode_ids, encode_documents
-from spanforge.llm.common import table
+from spanforge.llm.common import materialize, table
 from spanforge.llm.language_mixture import held_out, learn, with_language
 from spanforge.llm.line_frequency import MAX_RATIO, MIN_PAGES, drop_site_boilerplate
 from spanforge.llm.poisson_mix import SEED, TEMPERATURE, mix_sources
+from spanforge.llm.progressive_jpeg import with_media, with_pictures
 from spanforge.llm.simhash import simhash_components
 from spanforge.llm.warc_archive import MIN_REVISIT_BYTES, read_archive, write_archive
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    stored = materialize(with_media(docs).select("doc_id", "n_bytes", "media"), "media")
+    return with_pictures(stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.concat("height", F.lit("x"), "width", F.lit("x3:"), F.lpad(F.lower(F.hex(F.crc32("rgb"))), 8, "0")).alias("feature"),
+    )
+
+
 def op2_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = write_archive(table(spark, sf_dir, "pages"))
     return read_archive(spark, archive).select(
@@ -58,6 +74,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_progressive_jpeg,
         op2_warc_content_addressed,
         op4_language_mixture,
         op6_line_site_frequency,
