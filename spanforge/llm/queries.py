@@ -10,6 +10,7 @@ from spanforge.llm.byte_bpe import decode_ids, encode_documents
 from spanforge.llm.common import materialize, table
 from spanforge.llm.language_mixture import held_out, learn, with_language
 from spanforge.llm.line_frequency import MAX_RATIO, MIN_PAGES, drop_site_boilerplate
+from spanforge.llm.pii import KINDS, personal_spans, span_text
 from spanforge.llm.poisson_mix import SEED, TEMPERATURE, mix_sources
 from spanforge.llm.progressive_jpeg import with_media, with_pictures
 from spanforge.llm.simhash import simhash_components
@@ -42,6 +43,15 @@ def op2_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    terms = F.transform("terms", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
+    return found.select(
+        "doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", terms)).alias("spans")
+    )
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.where(~held_out()))
@@ -76,6 +86,7 @@ QUERIES = {
     for f in (
         op1_progressive_jpeg,
         op2_warc_content_addressed,
+        op3_pii_disclosure,
         op4_language_mixture,
         op6_line_site_frequency,
         op7_simhash_covering,
