@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.byte_bpe import decode_ids, encode_documents
 from spanforge.llm.common import materialize, table
+from spanforge.llm.html_consensus import extract_main_text
 from spanforge.llm.language_mixture import held_out, learn, with_language
 from spanforge.llm.line_frequency import MAX_RATIO, MIN_PAGES, drop_site_boilerplate
 from spanforge.llm.pii import KINDS, personal_spans, span_text
@@ -58,6 +59,11 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_language(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.to_json("mixture").alias("mixture"))
 
 
+def op5_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_line_site_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_site_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "lines_in", "lines_dropped")
 
@@ -88,6 +94,7 @@ QUERIES = {
         op2_warc_content_addressed,
         op3_pii_disclosure,
         op4_language_mixture,
+        op5_html_consensus,
         op6_line_site_frequency,
         op7_simhash_covering,
         op9_poisson_mix,
