@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,13 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(arrays, max_bytes: int):
+    """Arrow arrays of strings or bytes in parts of about ``max_bytes``, or of one value."""
+    for array in arrays:
+        for part in slices([pa.RecordBatch.from_arrays([array], ["x"])], "x", max_bytes):
+            yield part.column("x")
+
+
 def slices(batches, column: str, max_bytes: int = 8 << 20):
     """Arrow batches cut so that a slice holds about ``max_bytes`` of a text column, or one row."""
     for batch in batches:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import materialize, slices
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 MIN_VOTES = 2
 DECAY_PERCENT = 80
 PATH_CHARS = 1000
@@ -309,8 +310,10 @@ def extract_main_text(pages: DataFrame, *, url_col: str = "url", html_col: str =
     winners = winners.select(F.col("host").alias("__host"), F.col("path").alias("__path"))
 
     @F.arrow_udf("string")
-    def extract(htmls: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array([main_text(h, p) for h, p in zip(htmls.to_pylist(), paths.to_pylist())], pa.string())
+    def extract(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for htmls, paths in rows:
+            for part in slices([pa.RecordBatch.from_arrays([htmls, paths], ["html", "path"])], "html", SLICE_BYTES):
+                yield pa.array([main_text(h, p) for h, p in zip(part.column("html").to_pylist(), part.column("path").to_pylist())], pa.string())
 
     joined = pages.withColumn("__key", host_of(F.col(f"`{url_col}`"))).join(winners, F.col("__key") == F.col("__host"), "left")
     found = joined.withColumn("__text", extract.asNondeterministic()(F.col(f"`{html_col}`"), F.col("__path")))

@@ -9,6 +9,7 @@ the languages, and the set of languages is that of least penalised likelihood
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import slices
+from spanforge.llm.common import pieces, slices
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -155,14 +156,15 @@ def with_language(docs: DataFrame, model: MixtureModel, *, text_col: str = "text
     to = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("mixture", pa.map_(pa.string(), pa.float64()))])
 
     @F.arrow_udf(kind)
-    def predict(text: pa.Array) -> pa.Array:
-        names, rows = shared.value.languages, []
-        for part in slices([pa.RecordBatch.from_arrays([text], ["text"])], "text", SLICE_BYTES):
-            for row in proportions(part.column("text").to_pylist(), shared.value):
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = shared.value.languages
+        for part in pieces(texts, SLICE_BYTES):
+            rows = []
+            for row in proportions(part.to_pylist(), shared.value):
                 used = np.flatnonzero(row).tolist()
                 best = int(row.argmax()) if used else 0
                 rows.append({"lang_pred": names[best] if used else UNDETERMINED, "score": min(1.0, float(row[best])) if used else 0.0, "mixture": [(names[j], float(row[j])) for j in used]})
-        return pa.array(rows, to)
+            yield pa.array(rows, to)
 
     # Called once a row: Spark doesn't copy what it takes for nondeterministic into filters and projections.
     found = docs.withColumn("__language", predict.asNondeterministic()(F.col(f"`{text_col}`")))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import slices
+from spanforge.llm.common import pieces
 
 UNIT = 192  # payloads are padded to a multiple: a 4:4:4 MCU of samples
 MCU = 384
@@ -669,11 +670,9 @@ def with_media(docs: DataFrame, *, text_col: str = "text", as_col: str = "media"
     """
 
     @F.arrow_udf("binary")
-    def encode(text: pa.Array) -> pa.Array:
-        out = []
-        for part in slices([pa.RecordBatch.from_arrays([text], ["text"])], "text", SLICE_BYTES):
-            out += encode_payloads([padded((t or "").encode()) for t in part.column("text").to_pylist()])
-        return pa.array(out, pa.binary())
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in pieces(texts, SLICE_BYTES):
+            yield pa.array(encode_payloads([padded((t or "").encode()) for t in part.to_pylist()]), pa.binary())
 
     return docs.withColumn(as_col, encode.asNondeterministic()(F.col(f"`{text_col}`")))
 
@@ -688,16 +687,16 @@ def with_pictures(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
     to = pa.struct([("payload", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
 
     @F.arrow_udf("struct<payload:binary,height:int,width:int,rgb:binary>")
-    def decode(media: pa.Array) -> pa.Array:
-        out = []
-        for part in slices([pa.RecordBatch.from_arrays([media], ["media"])], "media", SLICE_BYTES):
-            files = part.column("media").to_pylist()
+    def decode(media: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in pieces(media, SLICE_BYTES):
+            files, out = part.to_pylist(), []
             pictures = decode_files([f for f in files if f is not None])
-            pictures, tensors = iter(pictures), iter(rgb_tensors(pictures))
+            tensors = rgb_tensors(pictures)
+            both = iter(zip(pictures, tensors))
             for f in files:
-                p = next(pictures) if f is not None else None
-                out.append(p and {"payload": payload_of(p), "height": p.frame.height, "width": p.frame.width, "rgb": next(tensors).tobytes()})
-        return pa.array(out, to)
+                picture, rgb = next(both) if f is not None else (None, None)
+                out.append(picture and {"payload": payload_of(picture), "height": picture.frame.height, "width": picture.frame.width, "rgb": rgb.tobytes()})
+            yield pa.array(out, to)
 
     found = stored.withColumn("__picture", decode.asNondeterministic()(F.col(f"`{media_col}`")))
     return found.select(*[F.col(f"`{c}`") for c in stored.columns if c not in names], *[F.col("__picture")[c].alias(c) for c in names])
