@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.byte_bpe import decode_ids, encode_documents
 from spanforge.llm.common import materialize, table
+from spanforge.llm.hnsw import THRESHOLD, embedding_links
 from spanforge.llm.html_consensus import extract_main_text
 from spanforge.llm.language_mixture import held_out, learn, with_language
 from spanforge.llm.line_frequency import MAX_RATIO, MIN_PAGES, drop_site_boilerplate
@@ -72,6 +73,10 @@ def op7_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_embedding_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES = {
         op5_html_consensus,
         op6_line_site_frequency,
         op7_simhash_covering,
+        op8_embedding_hnsw,
         op9_poisson_mix,
         op10_byte_bpe,
     )
@@ -122,6 +128,17 @@ ORACLE_SQL = {
                    FROM d LEFT JOIN b ON d.source = b.source)
         SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, CAST(len(lines) AS BIGINT) AS lines_in,
                CAST(len(lines) - len(kept) AS BIGINT) AS lines_dropped FROM k""",
+    "op8_embedding_hnsw": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+             n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE e IS NOT NULL),
+             u AS (SELECT * FROM n WHERE isfinite(norm) AND norm > 0),
+             l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+                   WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {THRESHOLD}),
+             r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+             c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+             k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+        SELECT c.vec_id, coalesce(k.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+        FROM c LEFT JOIN k ON c.vec_id = k.vec_id""",
     "op9_poisson_mix": f"""
         WITH s AS (SELECT source, count(*) AS n_docs, pow(count(*), {TEMPERATURE}) AS weight FROM documents GROUP BY source),
              r AS (SELECT source, weight / (SELECT sum(weight) FROM s) * (SELECT sum(n_docs) FROM s) / n_docs AS rate FROM s),
