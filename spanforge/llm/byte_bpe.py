@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,12 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import slices
+from spanforge.llm.common import pieces
 
 NONE = np.int32(2**31 - 1)
 WIDTHS = (2, 4, 8, 16, 32, 64, 128, 256)
-CELLS = 1 << 20
-CACHED_PIECES = 400_000
+CELLS = 1 << 18
+SLICE_BYTES = 1 << 20
+CACHED_PIECES = 300_000
 CACHED_LENGTH = 64
 
 
@@ -192,17 +194,16 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *, tex
     Each match of ``pattern`` is encoded by itself and without special tokens. A
     null text is an empty one and has no ids. Rows stay as they are, repeated
     ones and those with nulls too. Texts of any length are encoded whole.
-    Memory: a slice of about 8 MB of text or one document, and a cache of
+    Memory: a slice of about 1 MB of text or one document, and a cache of
     ``CACHED_PIECES`` short pieces.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     @F.arrow_udf("binary")
-    def encode(text: pa.Array) -> pa.Array:
-        coder, ids = bpe(shared.value, pattern), []
-        for part in slices([pa.RecordBatch.from_arrays([text], ["text"])], "text"):
-            ids += coder.encode([t or "" for t in part.column("text").to_pylist()])
-        return pa.array(ids, pa.binary())
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = bpe(shared.value, pattern)
+        for part in pieces(texts, SLICE_BYTES):
+            yield pa.array(coder.encode([t or "" for t in part.to_pylist()]), pa.binary())
 
     return docs.withColumn(as_col, encode.asNondeterministic()(F.col(f"`{text_col}`")))
 
@@ -212,8 +213,9 @@ def decode_ids(encoded: DataFrame, vocabulary_path: str, *, ids_col: str = "ids"
     shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     @F.arrow_udf("binary")
-    def decode(ids: pa.Array) -> pa.Array:
+    def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = token_bytes(shared.value).__getitem__
-        return pa.array([None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids.to_pylist()], pa.binary())
+        for part in pieces(ids, SLICE_BYTES):
+            yield pa.array([None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in part.to_pylist()], pa.binary())
 
     return encoded.withColumn(as_col, decode.asNondeterministic()(F.col(f"`{ids_col}`")))
