@@ -233,16 +233,17 @@ def _scores(nodes: list[Node], blocks: list[Block]) -> dict[int, int]:
             node = nodes[node].parent
         own[node] = own.get(node, 0) + max(0, len(b.text) - 2 * b.link_chars)
     total: dict[int, int] = {}
-    for node in range(len(nodes) - 1, 0, -1):  # children come after their parents
-        value = own.get(node, 0) * 100
-        value += total.get(-node, 0)
-        if value and nodes[node].tag in CONTAINERS:
-            total[node] = value
+    handed: dict[int, int] = {}  # from children to parents
+    for node in range(len(nodes) - 1, -1, -1):  # children come after their parents
+        value = own.get(node, 0) * 100 + handed.get(node, 0)
+        if not value:
+            continue
+        if node == 0 or nodes[node].tag in CONTAINERS:
+            total[node] = value * nodes[node].boost // (2 if nodes[node].tag in ("body", "") else 1)
             value = value * DECAY_PERCENT // 100
-        parent = nodes[node].parent
-        if value and parent > 0:
-            total[-parent] = total.get(-parent, 0) + value
-    return {k: v * nodes[k].boost // (2 if nodes[k].tag == "body" else 1) for k, v in total.items() if k > 0}
+        if node:
+            handed[nodes[node].parent] = handed.get(nodes[node].parent, 0) + value
+    return total
 
 
 def best_container(nodes: list[Node], blocks: list[Block]) -> tuple[int, int] | None:
@@ -258,6 +259,7 @@ def main_text(html: str | None, path: str | None = None) -> str:
     inside = [False] * len(nodes)
 
     def taken() -> list[str]:
+        inside[0] = 0 in chosen
         for i in range(1, len(nodes)):
             inside[i] = i in chosen or inside[nodes[i].parent]
         return [b.text for b in blocks if inside[b.node]]
