@@ -28,6 +28,7 @@ RADIUS = 3
 SHINGLE = 3
 BITS = 64
 MAX_BUCKET = 512
+FEW_BITS = 9  # a bucket with so few bits free has at most MAX_BUCKET fingerprints
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -141,10 +142,11 @@ def near_fingerprints(distinct: DataFrame, radius: int = RADIUS, max_bucket: int
         keyed = rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
         sized = materialize(keyed.join(sizes, ["mask", "key"]), "simhash-buckets")
-        small = sized.where(F.col("n") <= max_bucket).select("mask", "key", "fp")
+        few = (F.col("n") <= max_bucket) | (F.bit_count("mask") >= BITS - FEW_BITS)
+        small = sized.where(few).select("mask", "key", "fp")
         edges = small.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_compare(radius), "a bigint, b bigint")
         found = edges if found is None else found.unionByName(edges)
-        large = sized.where(F.col("n") > max_bucket).select("mask", "fp")
+        large = sized.where(~few).select("mask", "fp")
         if large.isEmpty():
             return found
         # The masks of the next level are few and fixed: 15 for each mask of this one.
@@ -178,18 +180,21 @@ def simhash_components(
     leasts = linked.groupBy("root").agg(F.min("least").alias("component"))
     groups = linked.join(leasts, "root").select("fp", "component")
     named = distinct.join(groups, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # As a table, so that Spark can split the join at a fingerprint with very many rows.
+    named = materialize(named, "simhash-components")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Keep one row of each group of near duplicates: that with the least id. Columns stay as they came.
 
-    Rows that repeat that id are reduced to one of them.
+    Rows that repeat that id are reduced to one of them. Rows without an id
+    can't be told apart and all stay.
     """
     groups = simhash_components(docs, id_col=id_col, text_col=text_col, **options)
-    least = F.col(id_col).eqNullSafe(F.col("component_id"))
-    kept = materialize(groups.where(least).groupBy(id_col, "fp").agg(F.count("*").alias("n")).select(F.col(id_col).alias("__id"), "n"), "kept")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.join(kept.select("__id").distinct(), docs[f"`{id_col}`"].eqNullSafe(F.col("__id")), "left_semi").select(*names)
-    repeated = kept.groupBy("__id").agg(F.sum("n").alias("n")).where("n > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates([id_col])
+    least = groups.where(F.col(id_col) == F.col("component_id"))
+    kept = materialize(least.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")), "kept")
+    own = F.col(f"`{id_col}`")
+    out = docs.where(own.isNotNull()).join(kept.select("__id"), own == F.col("__id"), "left_semi")
+    out = out if kept.where("n > 1").isEmpty() else out.dropDuplicates([id_col])
+    return out.unionByName(docs.where(own.isNull()))
