@@ -44,7 +44,7 @@ def shared_bytes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     same = F.lit(True)
     for k in keys:
         same = same & (F.col(k) == F.col(f"r_{k}"))
-    width = F.least("end_byte", "r_end") - F.greatest("start_byte", "r_start")
+    width = F.when(F.col("r_start").isNotNull(), F.least("end_byte", "r_end") - F.greatest("start_byte", "r_start"))
     joined = left.join(r, same & overlaps(F.col("start_byte"), F.col("end_byte"), F.col("r_start"), F.col("r_end")), "left")
     return joined.groupBy(*columns).agg(F.coalesce(F.sum(width), F.lit(0)).alias("shared"))
 

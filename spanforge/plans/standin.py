@@ -89,13 +89,13 @@ SCORED_SQL = """
     numbered AS (SELECT *, sum(opens) OVER (PARTITION BY scanner, case_id ORDER BY start_byte, end_byte ROWS UNBOUNDED PRECEDING) AS island FROM marks),
     islands AS (SELECT scanner, case_id, min(start_byte) AS start_byte, max(end_byte) AS end_byte FROM numbered GROUP BY scanner, case_id, island),
     leaks AS (SELECT o.scanner, o.case_id, o.span_idx, o.outcome, o.start_byte, o.end_byte, o.env_start, o.env_end,
-        coalesce(sum(least(o.end_byte, i.end_byte) - greatest(o.start_byte, i.start_byte)), 0) AS shared
+        coalesce(sum(CASE WHEN i.case_id IS NOT NULL THEN least(o.end_byte, i.end_byte) - greatest(o.start_byte, i.start_byte) END), 0) AS shared
         FROM outcomes o LEFT JOIN islands i ON i.scanner = o.scanner AND i.case_id = o.case_id AND o.start_byte < i.end_byte AND i.start_byte < o.end_byte GROUP BY ALL),
     accepted AS (SELECT case_id, coalesce(env_start, start_byte) AS start_byte, coalesce(env_end, end_byte) AS end_byte FROM spans),
     amarks AS (SELECT *, CASE WHEN start_byte <= max(end_byte) OVER (PARTITION BY case_id ORDER BY start_byte, end_byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM accepted),
     anumbered AS (SELECT *, sum(opens) OVER (PARTITION BY case_id ORDER BY start_byte, end_byte ROWS UNBOUNDED PRECEDING) AS island FROM amarks),
     aislands AS (SELECT case_id, min(start_byte) AS start_byte, max(end_byte) AS end_byte FROM anumbered GROUP BY case_id, island),
-    outside1 AS (SELECT i.scanner, i.case_id, i.start_byte, i.end_byte, coalesce(sum(least(i.end_byte, a.end_byte) - greatest(i.start_byte, a.start_byte)), 0) AS shared
+    outside1 AS (SELECT i.scanner, i.case_id, i.start_byte, i.end_byte, coalesce(sum(CASE WHEN a.case_id IS NOT NULL THEN least(i.end_byte, a.end_byte) - greatest(i.start_byte, a.start_byte) END), 0) AS shared
         FROM islands i LEFT JOIN aislands a ON a.case_id = i.case_id AND i.start_byte < a.end_byte AND a.start_byte < i.end_byte GROUP BY ALL),
     outside AS (SELECT scanner, case_id, CAST(sum(end_byte - start_byte - shared) AS BIGINT) AS collateral_bytes FROM outside1 GROUP BY scanner, case_id),
     spurious AS (SELECT f.scanner, f.case_id, count(*) AS fp FROM dd f WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.role = 'secret' AND s.case_id = f.case_id AND s.start_byte = f.start_byte AND s.end_byte = f.end_byte) GROUP BY f.scanner, f.case_id),
