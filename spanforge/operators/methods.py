@@ -124,3 +124,58 @@ def mutation_cases(cases: DataFrame) -> DataFrame:
     return cases.where("kind <> 'must-not-flag' and tier <> 'T0'").join(twins, "case_id").select("case_id", "twin")
 
 
+
+
+METHODS = ("differential", "twin", "benign", "metamorphic", "mutation")
+
+
+def method_cases(cases: DataFrame, methods: list[str] | None = None) -> DataFrame:
+    """(eval_id, method, case_id, seed_id, twin_id, taxonomy): the evaluation cases of each method.
+
+    A twin's seed is its positive; a control that is no twin is benign, pending
+    at T0; only cases that are no twins are transformed or mutated, a mutation
+    with the first twin by id. Ids are <case>--<method>.
+    """
+    chosen = F.array(*[F.lit(m) for m in methods or METHODS])
+    twin, control = F.col("twin_of").isNotNull(), F.col("kind") == "must-not-flag"
+    first = cases.where("twin_of is not null").groupBy(F.col("twin_of").alias("case_id")).agg(F.min("case_id").alias("first_twin"))
+    rows = cases.join(first, "case_id", "left").withColumn(
+        "method",
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.lit("differential"),
+                    F.when(twin, F.lit("twin")),
+                    F.when(~twin & control, F.lit("benign")),
+                    F.when(~twin, F.lit("metamorphic")),
+                    F.when(~twin, F.lit("mutation")),
+                )
+            )
+        ),
+    )
+    method = F.col("method")
+    return rows.where(F.array_contains(chosen, method)).select(
+        F.concat_ws("--", "case_id", "method").alias("eval_id"),
+        "method",
+        "case_id",
+        F.when(method == "twin", F.col("twin_of")).otherwise(F.col("case_id")).alias("seed_id"),
+        F.when(method == "twin", F.col("case_id")).when(method == "mutation", F.col("first_twin")).alias("twin_id"),
+        F.when(method == "benign", F.when(F.col("tier") == "T0", "pending").otherwise(F.col("taxonomy"))).alias("taxonomy"),
+    )
+
+
+def assertion_delta(counts: DataFrame, unstable: list[str], floors) -> DataFrame:
+    """(group_key, counts, v10_total, total, causes): assertions of each group of the baseline stratum, and why the versions differ.
+
+    ``counts`` has method, scanner, stratum and the status counts; a stratum
+    a->b belongs to a's group.
+    """
+    group = F.regexp_replace(F.split("stratum", "->")[0], "^([^:]*):", "$1/")
+    gone = F.when(F.col("not_measured") > 0, F.when(F.col("scanner").isin(*unstable), "unstable").otherwise("not-measured"))
+    open_ = F.when((F.col("review_required") > 0) & (floors.of(F.col("method")) > 0), F.lit("unresolved"))
+    names = ["pass", "fail", "review_required", "not_measured"]
+    found = counts.withColumns({"group_key": group, "gone": gone, "open": open_}).groupBy("group_key").agg(
+        *[F.sum(c).alias(c) for c in names], F.array_join(F.array_sort(F.array_union(F.collect_set("gone"), F.collect_set("open"))), ",").alias("causes")
+    )
+    v10 = F.col("pass") + F.col("fail") + F.col("review_required")
+    return found.select("group_key", *names, v10.alias("v10_total"), (v10 + F.col("not_measured")).alias("total"), "causes")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import canonical, codecs, intervals, numeric, text
-from spanforge.operators import accounting, measure, methods, perf, variants
+from spanforge.operators import accounting, measure, methods, perf, representation, variants
+from spanforge.plans import runs
 from spanforge.plans.standin import CORPUS_SQL, SCORED_SQL, corpus, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -434,6 +435,32 @@ def mutation_cases(spark, sf_dir):
     return methods.mutation_cases(corpus(spark, sf_dir).cases)
 
 
+@query(
+    """WITH k AS (SELECT *, kind || '-taxonomy' AS taxonomy FROM cases), f AS (SELECT twin_of, min(case_id) AS first_twin FROM cases WHERE twin_of IS NOT NULL GROUP BY twin_of),
+        m AS (SELECT k.*, 'differential' AS method FROM k UNION ALL SELECT k.*, 'twin' FROM k WHERE twin_of IS NOT NULL UNION ALL SELECT k.*, 'benign' FROM k WHERE twin_of IS NULL AND kind = 'must-not-flag'
+            UNION ALL SELECT k.*, x FROM k, (VALUES ('metamorphic'), ('mutation')) v(x) WHERE twin_of IS NULL)
+        SELECT m.case_id || '--' || method AS eval_id, method, m.case_id, CASE WHEN method = 'twin' THEN m.twin_of ELSE m.case_id END AS seed_id,
+        CASE method WHEN 'twin' THEN m.case_id WHEN 'mutation' THEN f.first_twin END AS twin_id, CASE WHEN method = 'benign' THEN CASE WHEN tier = 'T0' THEN 'pending' ELSE taxonomy END END AS taxonomy
+        FROM m LEFT JOIN f ON f.twin_of = m.case_id""",
+    corpus_sql=True,
+)
+def method_cases(spark, sf_dir):
+    return methods.method_cases(corpus(spark, sf_dir).cases.withColumn("taxonomy", F.concat("kind", F.lit("-taxonomy"))))
+
+
+@query(
+    f"""WITH {ASSERTED_SQL}, s AS (SELECT {METHOD_SQL} AS method, scanner, kind || ':' || tier AS stratum, assertion, {STATUS_SQL} FROM asserted GROUP BY ALL),
+        c AS (SELECT replace(stratum, ':', '/') AS group_key, pass, fail, review_required, not_measured, unnest([CASE WHEN review_required > 0 AND method <> 'differential' THEN 'unresolved' END,
+            CASE WHEN not_measured > 0 THEN CASE WHEN scanner = 'scanner-3' THEN 'unstable' ELSE 'not-measured' END END]) AS cause, unnest([1, 0]) AS one FROM s)
+        SELECT group_key, CAST(sum(pass * one) AS BIGINT) AS pass, CAST(sum(fail * one) AS BIGINT) AS fail, CAST(sum(review_required * one) AS BIGINT) AS review_required, CAST(sum(not_measured * one) AS BIGINT) AS not_measured,
+        CAST(sum((pass + fail + review_required) * one) AS BIGINT) AS v10_total, CAST(sum((pass + fail + review_required + not_measured) * one) AS BIGINT) AS total, coalesce(string_agg(DISTINCT cause, ',' ORDER BY cause), '') AS causes
+        FROM c GROUP BY group_key""",
+    scored=True,
+)
+def assertion_delta(spark, sf_dir):
+    return methods.assertion_delta(_statuses(spark, sf_dir), ["scanner-3"], CONFIG.resolved_rate_floor)
+
+
 # ---------------------------------------------------------------- variants
 
 
@@ -590,6 +617,65 @@ def scope_accounting(spark, sf_dir):
     return accounting.scope_accounting(found.withColumn("labels", labels), scope)
 
 
+@query()
+def line_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.line_chunks(F.col("text"), 2000)).alias("chunk", "body"))
+    return docs.select("doc_id", "chunk", F.octet_length("body").alias("n_bytes"), F.sha2("body", 256).alias("digest"))
+
+
+@query(
+    """WITH b AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n, [doc_id % 40 + 1, doc_id % 40 + 1 + doc_id % 7, 300 + doc_id % 50] AS b FROM documents)
+        SELECT doc_id AS case_id, CASE WHEN doc_id % 7 = 0 THEN 'not rising' WHEN b[3] >= n THEN 'outside the text' ELSE 'inside a code point' END AS reason FROM b
+        WHERE doc_id % 7 = 0 OR b[3] >= n OR len(list_filter(b, lambda x: substr(h, 2 * x + 1, 1) IN ('8', '9', 'A', 'B'))) > 0"""
+)
+def chunk_problems(spark, sf_dir):
+    bounds = F.expr("array(doc_id % 40 + 1, doc_id % 40 + 1 + doc_id % 7, 300 + doc_id % 50)")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("content"), bounds.alias("boundaries"))
+    return representation.chunk_problems(docs)
+
+
+@query("SELECT o_orderkey AS case_id, o_orderkey % 7 > 0 AS matches FROM orders")
+def decoded_facts(spark, sf_dir):
+    hexed = F.md5(F.col("o_orderkey").cast("string"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.concat(F.lit("é="), F.substring(hexed, 1, 10), F.lit("|"), F.substring(hexed, 11, 22)).alias("content"), F.unhex(hexed).alias("raw"))
+    parts = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((3, 13), (14, 36))])
+    steps = F.array(F.struct(F.lit("hex").alias("codec"), F.lit("lower").alias("case")))
+    digest = F.when(F.col("case_id") % 7 > 0, F.sha2("raw", 256)).otherwise("0")
+    return orders.select("case_id", representation.decoded_matches(F.col("content"), parts, steps, digest, F.octet_length("raw")).alias("matches"))
+
+
+@query(
+    """SELECT count(*) AS spans, count(DISTINCT o_orderkey) AS cases, count(*) FILTER (o_orderkey % 3 = 0) AS decoded, count(*) FILTER (o_orderkey % 4 > 1) AS fragmented,
+        count(*) FILTER (o_orderkey % 10 = 0) AS rejected, count(*) FILTER (o_orderkey % 6 = 0) AS projections FROM orders"""
+)
+def representation_report(spark, sf_dir):
+    facts = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as case_id", "o_orderkey % 3 = 0 as decoded", "o_orderkey % 4 as n_fragments", "if(o_orderkey % 10 = 0, 'unpaired-surrogate-split', 'valid') as validity", "if(o_orderkey % 6 = 0, 'projection', 'authored-base') as derivation"
+    )
+    return representation.representation_report(facts)
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS k, c_nationkey AS a, c_custkey % 3 AS b FROM customer), r AS (SELECT c_custkey AS k, (c_nationkey + c_custkey % 2) % 25 AS a, c_custkey % 3 AS b FROM customer WHERE c_custkey % 5 > 0)
+        SELECT c.k AS scanner, CASE WHEN r.k IS NULL THEN 'run' WHEN c.a = r.a THEN 'reuse' ELSE 'rerun' END AS decision, CASE WHEN c.a <> r.a THEN 'version' ELSE '' END AS changed FROM c LEFT JOIN r ON r.k = c.k"""
+)
+def reuse_decisions(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    current = customer.selectExpr("c_custkey as scanner", "c_nationkey as version", "c_custkey % 3 as mode")
+    recorded = customer.where("c_custkey % 5 > 0").selectExpr("c_custkey as scanner", "(c_nationkey + c_custkey % 2) % 25 as version", "c_custkey % 3 as mode")
+    return runs.reuse_decisions(current, recorded, ["version", "mode"])
+
+
+@query(
+    """SELECT p_partkey % 100 AS scanner, p_partkey AS component, CASE WHEN p_partkey % 11 = 0 THEN 'missing component' ELSE 'digest differs' END AS reason FROM part WHERE p_partkey % 11 = 0 OR p_partkey % 13 = 0"""
+)
+def pin_violations(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    pins = part.selectExpr("p_partkey % 100 as scanner", "p_partkey as component", "md5(cast(p_partkey as string)) as digest")
+    seen = part.where("p_partkey % 11 > 0").selectExpr("p_partkey % 100 as scanner", "p_partkey as component", "if(p_partkey % 13 = 0, 'x', md5(cast(p_partkey as string))) as digest")
+    return runs.pin_violations(pins, seen)
+
+
 # ---------------------------------------------------------------- performance
 
 SAMPLES_SQL = """samples AS (SELECT l_suppkey % 40 AS cell, l_suppkey % 2 AS run, CASE l_partkey % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'candidate' ELSE 'control' END AS arm, l_orderkey % 10 AS round,
