@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -42,9 +43,20 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
 
 def pieces(arrays, max_bytes: int):
     """Arrow arrays of strings or bytes in parts of about ``max_bytes``, or of one value."""
-    for array in arrays:
-        for part in slices([pa.RecordBatch.from_arrays([array], ["x"])], "x", max_bytes):
-            yield part.column("x")
+    try:
+        for array in arrays:
+            for part in slices([pa.RecordBatch.from_arrays([array], ["x"])], "x", max_bytes):
+                yield part.column("x")
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give freed memory back: Spark keeps a Python worker after its task, and an executor's limit counts what it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def slices(batches, column: str, max_bytes: int = 8 << 20):

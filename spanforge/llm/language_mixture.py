@@ -26,7 +26,7 @@ SMOOTHING = 0.5
 ROUNDS = 12
 REFINING_ROUNDS = 6
 UNDETERMINED = "und"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,7 @@ def with_language(docs: DataFrame, model: MixtureModel, *, text_col: str = "text
     that of the largest (ties: the first by name) and ``score`` its proportion.
     A null text, one without letters, or any text under a model without
     languages is ``und`` with score 0 and an empty mixture. The whole text is
-    read and nothing but the text counts. Memory: a slice of about 2 MB of text
+    read and nothing but the text counts. Memory: a slice of about half a MB of text
     or one document.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
