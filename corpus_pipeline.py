@@ -40,12 +40,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and whether the ids decode to the text again; a row for each row of docs."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode_documents(docs, path, public_tokenizers.PATTERN)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    encoded = materialize(encode_documents(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids", digest), "bpe-ids")
     return decode_ids(encoded, path).select(
         "doc_id",
-        F.octet_length("ids").cast("long").alias("ids_bytes"),
         "ids",
-        (F.decode("decoded", "UTF-8") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"),
     )
 
 
