@@ -582,11 +582,10 @@ def content_digest(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", canonical.sha256_column(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query("SELECT source, count(*) AS rows, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+@query("SELECT doc_id // 1000 AS block, count(*) AS rows, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY doc_id // 1000")
 def input_digest(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", F.struct(F.col("doc_id").alias("k"), F.sha2("text", 256).alias("v")).alias("row"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: F.concat_ws(":", r["k"], r["v"])), "\n")
-    return docs.groupBy("source").agg(F.count("*").alias("rows"), F.sha2(joined, 256).alias("digest"))
+    docs = table(spark, sf_dir, "documents")
+    return canonical.block_digests(docs, F.floor(F.col("doc_id") / 1000), F.col("doc_id"), F.sha2("text", 256))
 
 
 @query(
