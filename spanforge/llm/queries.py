@@ -83,7 +83,9 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Stored in between: a task that encoded and decoded would hold two Python workers.
+    encoded = materialize(encode_documents(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids"), "bpe-ids")
     return decode_ids(encoded, path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
