@@ -192,9 +192,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     can't be told apart and all stay.
     """
     groups = simhash_components(docs, id_col=id_col, text_col=text_col, **options)
-    least = groups.where(F.col(id_col) == F.col("component_id"))
-    kept = materialize(least.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")), "kept")
-    own = F.col(f"`{id_col}`")
-    out = docs.where(own.isNotNull()).join(kept.select("__id"), own == F.col("__id"), "left_semi")
-    out = out if kept.where("n > 1").isEmpty() else out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(own.isNull()))
+    flagged = groups.select(F.col(id_col).alias("__id"), (F.col(id_col) == F.col("component_id")).alias("own")).where("__id is not null")
+    counted = materialize(flagged.groupBy("__id").agg(F.sum(F.col("own").cast("int")).alias("n")), "near-duplicates")
+    # Fewer rows go than stay, so the join is with those that go: texts are shuffled only if even these are many.
+    gone = materialize(counted.where("n = 0").select("__id"), "gone")
+    out = docs.join(gone, docs[f"`{id_col}`"] == F.col("__id"), "left_anti")
+    if counted.where("n > 1").isEmpty():
+        return out
+    return out.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
