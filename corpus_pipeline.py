@@ -13,7 +13,7 @@ from spanforge.llm.common import materialize, table
 from spanforge.llm.language_mixture import UNDETERMINED, held_out, learn, with_language
 from spanforge.llm.line_frequency import drop_site_boilerplate
 from spanforge.llm.poisson_mix import mix_sources
-from spanforge.llm.simhash import drop_near_duplicates
+from spanforge.llm.shingle_copies import drop_near_copies
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,7 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs).select(*COLUMNS)
+    """One of each group of near copies stays: five-word shingles at similarity 0.8, as a stage of its own takes them (op7 has other parameters)."""
+    return drop_near_copies(docs).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

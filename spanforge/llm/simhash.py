@@ -185,13 +185,12 @@ def simhash_components(
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Keep one row of each group of near duplicates: that with the least id. Columns stay as they came.
+def keep_least(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """Keep one row of each component of ``groups`` (id, component_id): that with the least id. Columns stay as they came.
 
     Rows that repeat that id are reduced to one of them. Rows without an id
     can't be told apart and all stay.
     """
-    groups = simhash_components(docs, id_col=id_col, text_col=text_col, **options)
     flagged = groups.select(F.col(id_col).alias("__id"), (F.col(id_col) == F.col("component_id")).alias("own")).where("__id is not null")
     counted = materialize(flagged.groupBy("__id").agg(F.sum(F.col("own").cast("int")).alias("n")), "near-duplicates")
     # Fewer rows go than stay, so the join is with those that go: texts are shuffled only if even these are many.
@@ -200,3 +199,8 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     if counted.where("n > 1").isEmpty():
         return out
     return out.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Keep one row of each group of near duplicates, as ``keep_least`` does."""
+    return keep_least(docs, simhash_components(docs, id_col=id_col, text_col=text_col, **options), id_col)
