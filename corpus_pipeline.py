@@ -26,7 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_site_boilerplate(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """Copies of a page count once here, as the next stage still has to keep one of them with its text."""
+    return drop_site_boilerplate(docs, copies_once=True).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

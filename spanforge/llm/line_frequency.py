@@ -17,15 +17,20 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(F.lit("line"), trimmed).alias("b"))
 
 
-def boilerplate_lines(docs: DataFrame, *, text_col: str, host_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(
+    docs: DataFrame, *, text_col: str, host_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+) -> DataFrame:
     """(host, keys): the hashes of each host's lines on more than ``max_ratio`` of its pages.
 
     A host has at most (mean distinct lines of a page) / max_ratio of them.
     """
     pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("body")).where(F.col("body").isNotNull())
-    totals = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
+    page = [F.xxhash64("body").alias("page_a"), F.xxhash64(F.lit("page"), "body").alias("page_b")] if copies_once else []
+    counted = pages.select("host", *page).distinct() if copies_once else pages
+    totals = counted.groupBy("host").agg(F.count("*").alias("n_pages"))
     kept = F.filter(F.split("body", "\n"), lambda x: F.trim(x) != "")
-    lines = pages.select("host", F.explode(F.array_distinct(F.transform(kept, _key))).alias("key"))
+    lines = pages.select("host", *page, F.explode(F.array_distinct(F.transform(kept, _key))).alias("key"))
+    lines = lines.distinct() if copies_once else lines
     common = lines.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return (
         common.join(totals, common.host.eqNullSafe(totals.host))
@@ -42,6 +47,7 @@ def drop_site_boilerplate(
     host_col: str = "source",
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """Drop the lines that are on more than ``max_ratio`` of their host's pages, ``min_pages`` at least.
 
@@ -50,9 +56,11 @@ def drop_site_boilerplate(
     text, a null text stays null and isn't counted, pages without a host form
     one host of their own. All columns are returned as they came, but for the
     text; two columns follow, ``lines_in`` and ``lines_dropped`` (they replace
-    columns of these names). Repeated rows count as pages of their own.
+    columns of these names). Repeated rows count as pages of their own, unless
+    ``copies_once``: then a host's pages of equal text count as one, so that a
+    page with many copies isn't taken for boilerplate.
     """
-    found = materialize(boilerplate_lines(docs, text_col=text_col, host_col=host_col, max_ratio=max_ratio, min_pages=min_pages), "boilerplate")
+    found = materialize(boilerplate_lines(docs, text_col=text_col, host_col=host_col, max_ratio=max_ratio, min_pages=min_pages, copies_once=copies_once), "boilerplate")
     found = found.select(F.col("host").alias("__host"), F.col("keys").alias("__keys"))
     text = F.col(f"`{text_col}`")
     lines = F.split(text, "\n")

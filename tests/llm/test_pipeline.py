@@ -78,3 +78,19 @@ def test_empty(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).collect() == []
+
+
+def test_group_of_copies_keeps_its_text_in_one_document(spark, tmp_path):
+    rng = random.Random(8)
+    body = lambda: "\n".join(" ".join("".join(rng.choice(SYLLABLES["aa"]) for _ in range(3)) for _ in range(30)) for _ in range(3))
+    copied = body()
+    # A third of one source, and three copies in a source of less than 60 pages.
+    rows = [(i, f"site menu\n{copied if i % 3 == 0 else body()}", "aa", "s0", 1) for i in range(300)]
+    small = body()
+    rows += [(1000 + i, f"other menu\n{small if i < 3 else body()}", "aa", "s1", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    lines = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))
+    assert {r.doc_id: r.text for r in lines.collect()} == {r[0]: r[1].split("\n", 1)[1] for r in rows}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, lines, str(tmp_path)).collect()}
+    assert [i for i, t in kept.items() if t == copied] == [0] and [i for i, t in kept.items() if t == small] == [1000]
+    assert len(kept) == 200 + 1 + 27 + 1
