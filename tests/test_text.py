@@ -104,3 +104,15 @@ def test_stream_scores_like_a_table(spark, tmp_path):
     got = sorted(map(tuple, spark.table("touches").collect()))
     assert got == sorted(map(tuple, score.best_touch(score.touches(findings, spans)).collect()))
     assert got == [("s", 1, 0, "COVERED"), ("s", 1, 1, "EXACT"), ("t", 1, 0, "OVERBROAD"), ("t", 1, 1, "OVERBROAD")]
+
+
+def test_base64_of_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from spanforge.plans.queries import QUERIES
+
+    rows = [(1, "é日x" * 700_000), (2, "a" * 41), (3, "a" * 40), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n, r.decoded_md5) for r in QUERIES["base64_strict_whole"](spark, str(tmp_path)).selectExpr("doc_id", "length(encoded) AS n", "decoded_md5").collect()}
+    size = lambda t: -(-len(t.encode()) // 3) * 4
+    assert got == {i: (t if t is None else size(t), hashlib.md5(t.encode()).hexdigest() if t else None) for i, t in rows}
