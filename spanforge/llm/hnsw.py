@@ -1,27 +1,36 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one a shard.
 
 Vectors are dealt into shards of bounded size by a hash, a graph is built in
-each, and every vector is searched in the graph of every shard. A beam that is
-full of links is widened, and all beams are until audits find the wanted share
-of known links. The links found are verified in double precision; their
-components are united on Spark.
+each, and the vectors of every shard are searched in the graph of every shard:
+each pair of shards once, from one of its sides, as links have no direction. A
+shard's beam is widened until an audit against brute force finds the wanted
+share of known links, and from what it finds near the threshold the search goes
+on over the whole region of the graph within reach of the threshold, however large. Links are verified in double
+precision; their components are united on Spark.
 """
 
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import materialize
+from spanforge.llm.common import discard, join_hot, materialize, release
 from spanforge.llm.components import connected_components
 
 THRESHOLD = 0.95
+#: A shard holds so many vectors, and so many bytes of them, at most (but for chance: they are dealt by a hash).
 SHARD_ROWS = 12_500
+SHARD_BYTES = 64 << 20
 MIN_SHARDS = 4
+#: Vectors travel to the graphs in slices; a task searches those of so many shards in one graph.
+SLICE_ROWS = 1024
+SOURCES = 4
+MOST_PARTITIONS = 20_000
 NEIGHBOURS = 16
 BUILD_BEAM = 48
 BEAM = 64
@@ -31,6 +40,9 @@ LANES = 256
 EXPANDED = 4
 #: Vectors are compared in single precision first; this much below the threshold still goes to the exact check.
 SLACK = 1e-4
+#: A region grows over nodes that are this much below the threshold.
+MARGIN = 0.1
+PAIRS = 1 << 18
 
 
 def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
@@ -44,9 +56,9 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
 class Hnsw:
     """A graph over unit vectors (rows of x). Layer 0 holds all nodes, each next one about 1/NEIGHBOURS of the last."""
 
-    def __init__(self, x: np.ndarray, layers: list[np.ndarray] | None = None, order: np.ndarray | None = None, counts: list[int] | None = None):
+    def __init__(self, x: np.ndarray, layers: list[np.ndarray] | None = None, order: np.ndarray | None = None, counts: list[int] | None = None, scanned: bool = False):
         self.x = np.ascontiguousarray(x, np.float32)
-        self.layers, self.order, self.counts = layers or [], order, counts or []
+        self.layers, self.order, self.counts, self.scanned = layers or [], order, counts or [], scanned
         if layers is None:
             self._build()
 
@@ -178,8 +190,13 @@ class Hnsw:
         ef = min(ef, len(self.x))
         return self._search_layer(0, q, self._descend(q, 0), ef)
 
-    def audited_beam(self, threshold: float, beam: int, recall: float) -> int:
-        """The beam, doubled until it finds the source of enough audit queries: stored vectors turned away to just within the threshold."""
+    def audit(self, threshold: float, beam: int, recall: float) -> tuple[int, float]:
+        """(beam, share): the beam, doubled until the share of known links found is ``recall`` at least.
+
+        The queries are stored vectors turned away to just within the threshold,
+        the links known are those of a scan. If even a beam over all nodes misses
+        too many, the graph doesn't reach them: the shard is marked as scanned.
+        """
         n = len(self.x)
         some = np.unique(np.linspace(0, n - 1, min(n, AUDITED)).astype(int))
         noise = np.random.default_rng(11).standard_normal((len(some), self.x.shape[1]))
@@ -189,35 +206,54 @@ class Hnsw:
         c = min(1.0, threshold + 0.002)
         q = (c * x + np.sqrt(1 - c * c) * noise).astype(np.float32)
         truth = q @ self.x.T >= threshold
-        while beam < n:
-            ids, sims = self.search(q, beam)
-            hit = np.zeros_like(truth)
-            rows, cols = np.nonzero(ids >= 0)
-            hit[rows, ids[rows, cols]] = True
-            full = (sims[:, -1] >= threshold)[:, None]  # such beams are widened anyway
-            wanted = truth & ~full
-            if (hit & wanted).sum() >= recall * wanted.sum():
-                return beam
+        while True:
+            hit = sum(int(truth[r, n_].sum()) for r, n_ in self.within(q, threshold, beam))
+            share = hit / max(1, int(truth.sum()))
+            if hit >= recall * truth.sum():
+                return beam, share
+            if beam >= n:
+                self.scanned = True
+                return beam, share
             beam *= 2
-        return n
-
-    def within(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs with a similarity of the threshold or more. Beams full of them are widened; one over a quarter of the nodes is a scan."""
-        rows, nodes, todo = [], [], np.arange(len(q))
-        while len(todo):
-            if 4 * beam >= len(self.x):
-                for a in range(0, len(todo), 512):
-                    r, c = np.nonzero(q[todo[a : a + 512]] @ self.x.T >= threshold)
-                    rows.append(todo[a + r])
-                    nodes.append(c)
-                break
-            ids, sims = self.search(q[todo], beam)
-            full = sims[:, -1] >= threshold
-            r, c = np.nonzero((sims >= threshold) & ~full[:, None])
-            rows.append(todo[r])
-            nodes.append(ids[r, c])
-            todo, beam = todo[full], beam * 2
-        return (np.concatenate(rows), np.concatenate(nodes)) if rows else (np.empty(0, int), np.empty(0, int))
+
+    def within(self, q: np.ndarray, threshold: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, nodes) of pairs with a similarity of the threshold or more, each once, in parts of ``LANES`` queries at most."""
+        for a in range(0, len(q) if self.scanned else 0, LANES):
+            r, c = np.nonzero(q[a : a + LANES] @ self.x.T >= threshold)
+            yield a + r, c
+        if self.scanned or not len(q):
+            return
+        ids, sims = self.search(q, beam)
+        near = sims >= threshold - MARGIN
+        rest = np.flatnonzero(near.any(1))
+        rest = rest[np.argsort(np.where(near[rest], ids[rest], len(self.x)).min(1), kind="stable")]
+        for a in range(0, len(rest), LANES):
+            some = rest[a : a + LANES]
+            r, c = self._region(q[some], np.unique(ids[some][near[some]]), threshold)
+            yield some[r], c
+
+    def _region(self, q: np.ndarray, nodes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of a few queries with all nodes that a walk from ``nodes`` reaches without leaving their neighbourhood.
+
+        The beam without a bound, shared by the queries: what one of them reaches is compared with all.
+        """
+        seen = np.zeros(len(self.x), bool)
+        seen[nodes] = True
+        rows, found = [], []
+        while len(nodes):
+            grown = []
+            for a in range(0, len(nodes), 4096):
+                part = nodes[a : a + 4096]
+                sims = q @ self.x[part].T
+                r, c = np.nonzero(sims >= threshold)
+                rows.append(r)
+                found.append(part[c])
+                grown.append(part[sims.max(0) >= threshold - MARGIN])
+            near = np.unique(self.layers[0][np.concatenate(grown)])
+            near = near[near >= 0]
+            nodes = near[~seen[near]]
+            seen[nodes] = True
+        return np.concatenate(rows), np.concatenate(found)
 
 
 # ---------------------------------------------------------------- on Spark
@@ -229,76 +265,140 @@ def _packed(**arrays) -> bytes:
     return out.getvalue()
 
 
-def _shard_index(table: pa.Table) -> pa.Table:
-    """One row: the shard's vectors and graph, packed."""
-    table = table.sort_by("node")
-    x = np.stack([np.asarray(v, np.float64) for v in table.column("vector").to_numpy()])
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    index = Hnsw(unit)
-    beam = index.audited_beam(THRESHOLD, BEAM, AUDIT_RECALL)
-    nodes = np.array(table.column("node").to_pylist(), dtype="S32")
-    data = _packed(x=x, node=nodes, copies=table.column("copies").to_numpy(), order=index.order, counts=np.array(index.counts), beam=np.array(beam), **{f"layer{k}": g for k, g in enumerate(index.layers)})
-    return pa.table({"dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "shards": table.column("shards")[:1], "index": pa.array([data], pa.large_binary()).cast(pa.binary())})
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Directions in double precision; scaled first, so that no square overflows or vanishes."""
+    x = np.asarray(x, np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+_BUILT = "dim int, shard int, shards int, seq int, beam int, recall double, scanned boolean, data binary"
+_DEALT = ("dim", "shard", "shards", "node", "copies", "vector")
+
+
+def _build(threshold: float):
+    """Over rows sorted by shard: each shard's graph (seq -1) and its vectors in slices (seq from 0)."""
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            shard = np.stack([batch.column(c).to_numpy() for c in ("dim", "shard")], 1)
+            cuts = [0, *(np.flatnonzero((shard[1:] != shard[:-1]).any(1)) + 1), len(shard)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if key is not None and key != tuple(shard[a]):
+                    yield from built(held)
+                    held = []
+                key = tuple(shard[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from built(held)
+        release()
+
+    def built(batches):
+        t = pa.Table.from_batches(batches)
+        dim, shard, shards = (t.column(c)[0].as_py() for c in ("dim", "shard", "shards"))
+        x = np.concatenate([b.column("vector").flatten().to_numpy(zero_copy_only=False) for b in batches]).reshape(-1, dim)
+        single = x.astype(np.float32)
+        x = single if (single == x).all() else x
+        node = np.array(t.column("node").to_pylist(), dtype="S32")
+        copies = t.column("copies").to_numpy()
+        index = Hnsw(_unit(x))
+        beam, recall = index.audit(threshold, BEAM, AUDIT_RECALL)
+        layers = {f"layer{k}": g for k, g in enumerate(index.layers)}
+        parts = [_packed(x=x, node=node, copies=copies, order=index.order, counts=np.array(index.counts), beam=np.array(beam), scanned=np.array(index.scanned), **layers)]
+        parts += [_packed(x=x[a : a + SLICE_ROWS], node=node[a : a + SLICE_ROWS], copies=copies[a : a + SLICE_ROWS]) for a in range(0, len(x), SLICE_ROWS)]
+        for k, data in enumerate(parts):
+            row = [[dim], [shard], [shards], [k - 1], [beam], [recall], [index.scanned], [data]]
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k_) for v, k_ in zip(row, types)], ["dim", "shard", "shards", "seq", "beam", "recall", "scanned", "data"])
+
+    return run
 
 
 class _Shard:
-    def __init__(self, data: bytes):
+    """A graph that slices of vectors are searched in: it keeps counts and a forest of what was found, not the pairs."""
+
+    def __init__(self, data: bytes, threshold: float):
         with np.load(io.BytesIO(data)) as z:
-            self.x, self.node, self.copies, self.beam = z["x"], z["node"], z["copies"], int(z["beam"])
-            self.unit = self.x / np.linalg.norm(self.x, axis=1, keepdims=True)
+            self.node, self.copies, self.unit = z["node"], z["copies"], _unit(z["x"])
             counts = z["counts"].tolist()
-            self.index = Hnsw(self.unit, [z[f"layer{k}"] for k in range(len(counts))], z["order"], counts)
-
-
-def _links(a: _Shard, b: _Shard, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the vectors of two shards (or within one: each once), searched both ways and verified in double precision."""
-    q, n = b.index.within(a.index.x, threshold - SLACK, b.beam)
-    if a is b:
-        q, n = np.minimum(q, n), np.maximum(q, n)
-        q, n = q[q < n], n[q < n]
-    else:
-        n2, q2 = a.index.within(b.index.x, threshold - SLACK, a.beam)
-        q, n = np.concatenate([q, q2]), np.concatenate([n, n2])
-    keys = np.unique(q.astype(np.int64) * len(b.x) + n)
-    q, n = keys // len(b.x), keys % len(b.x)
-    good = np.zeros(len(q), bool)
-    for s in range(0, len(q), 1 << 18):
-        part = slice(s, s + (1 << 18))
-        good[part] = np.einsum("ij,ij->i", a.unit[q[part]], b.unit[n[part]]) >= threshold
-    return q[good], n[good]
-
-
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the edges (i, j) over n nodes."""
-    label = np.arange(n)
-    while len(i):
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    linked = np.flatnonzero(label != np.arange(n))
-    return linked, label[linked]
-
-
-def _search_pair(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
-        shards = [_Shard(d) for d in table.sort_by("shard").column("index").to_pylist()]
-        a, b = shards[0], shards[-1]
-        q, n = _links(a, b, threshold)
-        nodes = a.node if a is b else np.concatenate([a.node, b.node])
-        copies = a.copies if a is b else np.concatenate([a.copies, b.copies])
-        n = n if a is b else n + len(a.node)
-        counts = np.bincount(q, copies[n], len(nodes)) + np.bincount(n, copies[q], len(nodes))
-        some = np.flatnonzero(counts)
-        i, j = _forest(len(nodes), q, n)
-        first = np.concatenate([nodes[some], nodes[i]]).astype(str)
-        second = [None] * len(some) + nodes[j].astype(str).tolist()
-        links = np.concatenate([counts[some].astype(np.int64), np.zeros(len(i), np.int64)])
-        return pa.table({"a": pa.array(first.tolist(), pa.string()), "b": pa.array(second, pa.string()), "n": pa.array(links, pa.int64())})
+            self.index = Hnsw(self.unit, [z[f"layer{k}"] for k in range(len(counts))], z["order"], counts, bool(z["scanned"]))
+            self.beam = int(z["beam"])
+        self.threshold = threshold
+        self.links = np.zeros(len(self.node), np.int64)
+        self.label = np.arange(len(self.node))
+
+    def search(self, data: bytes, own: int | None) -> pa.RecordBatch:
+        """Search a slice. ``own``: where it begins in this very shard; its links are then found from both ends."""
+        with np.load(io.BytesIO(data)) as z:
+            unit, node, copies = _unit(z["x"]), z["node"], z["copies"]
+        links, tied = np.zeros(len(node), np.int64), np.full(len(node), -1)
+        for q, n in self.index.within(unit.astype(np.float32), self.threshold - SLACK, self.beam):
+            good = np.ones(len(q), bool) if own is None else q + own != n
+            for a in range(0, len(q), PAIRS):
+                part = slice(a, a + PAIRS)
+                good[part] &= np.einsum("ij,ij->i", unit[q[part]], self.unit[n[part]]) >= self.threshold
+            q, n = q[good], n[good]
+            if not len(q):
+                continue
+            links += np.bincount(q, self.copies[n], len(node)).astype(np.int64)
+            if own is None:
+                self.links += np.bincount(n, copies[q], len(self.node)).astype(np.int64)
+            else:
+                q, n = np.concatenate([q, q]), np.concatenate([n, q + own])
+            order = np.argsort(q, kind="stable")
+            q, n = q[order], n[order]
+            some, first = np.unique(q, return_index=True)
+            self._unite(n, first, np.repeat(np.arange(len(some)), np.diff(np.r_[first, len(q)])))
+            tied[some] = n[first]
+        found = np.flatnonzero(links)
+        if own is not None:
+            return _rows(node[found], None, links[found])
+        return _rows(node[found], self.node[self.label[tied[found]]], links[found])
+
+    def _unite(self, n: np.ndarray, first: np.ndarray, row: np.ndarray) -> None:
+        """All nodes n of a query are one component; a label is the component's least node."""
+        while True:
+            now = self.label[n]
+            least = np.minimum.reduceat(now, first)[row]
+            if (now == least).all():
+                return
+            np.minimum.at(self.label, now, least)
+            while (self.label[self.label] != self.label).any():
+                self.label = self.label[self.label]
+
+    def finished(self) -> pa.RecordBatch:
+        """What the searches left with the shard's own vectors."""
+        found = np.flatnonzero((self.links > 0) | (self.label != np.arange(len(self.node))))
+        return _rows(self.node[found], self.node[self.label[found]], self.links[found])
+
+
+def _rows(a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+    a = a.astype(str).tolist()
+    b = [None] * len(a) if b is None else b.astype(str).tolist()
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+
+def _search(threshold: float):
+    """Over rows sorted by target, the graph before the slices: (a, b, n), n links of a with others, and b in the same component."""
+
+    def run(batches):
+        shard, key = None, None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("dim", "target", "part", "shard", "seq")]
+            for i, (dim, target, part, source, seq) in enumerate(zip(*columns)):
+                data = batch.column("data")[i].as_buffer().to_pybytes()
+                if seq < 0:
+                    if shard is not None:
+                        yield shard.finished()
+                    shard, key = _Shard(data, threshold), (dim, target, part)
+                elif key == (dim, target, part):  # else the target is a shard without vectors
+                    yield shard.search(data, seq * SLICE_ROWS if source == target else None)
+        if shard is not None:
+            yield shard.finished()
+        release()
 
     return run
 
@@ -310,6 +410,48 @@ def _usable(vector: Column, id_: Column) -> Column:
     return F.coalesce(id_.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def build_shards(nodes: DataFrame, *, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(dim, shard, shards, seq, beam, recall, scanned, data): a row with the graph of each shard (seq -1), and its vectors in slices.
+
+    ``nodes``: node (up to 32 ASCII letters), copies, vector (array<double>),
+    dim. Every shard is built in a task of its own and holds at most about
+    ``shard_rows`` vectors and ``SHARD_BYTES`` of them. ``beam``, ``recall`` and
+    ``scanned`` say how its audit ended.
+    """
+    spark = nodes.sparkSession
+    most = F.greatest(F.lit(1), F.least(F.lit(shard_rows), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim")))))
+    sizes = nodes.groupBy("dim").agg(F.count("*").alias("n"))
+    sizes = materialize(sizes.select("dim", F.greatest(F.lit(MIN_SHARDS), F.ceil(F.col("n") / most)).cast("int").alias("shards")), "shard-sizes")
+    total = sizes.agg(F.sum("shards")).first()[0] or 1
+    dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).select(*_DEALT)
+    place = F.pmod(F.col("shard") + F.hash("dim"), F.lit(min(total, MOST_PARTITIONS))).cast("int")
+    dealt = dealt.repartitionById(min(total, MOST_PARTITIONS), place).sortWithinPartitions("dim", "shard", "node")
+    return materialize(dealt.mapInArrow(_build(threshold), _BUILT), "hnsw", "lz4")
+
+
+def search_shards(built: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, n): n links of node a, and a node b of its component (or null); a node's counts are summed over its rows.
+
+    The vectors of shard s are searched in the graph of shard t for s = t and
+    for one of (s, t), (t, s): s < t if their sum is even, s > t if it is odd,
+    so that every graph serves half of the shards. A task holds a graph and a slice.
+    """
+    sources = F.col("shards")
+    pairs = built.where("seq >= 0").withColumn("target", F.explode(F.sequence(F.lit(0), sources - 1)))
+    even = (F.col("shard") + F.col("target")) % 2 == 0
+    pairs = pairs.where((F.col("shard") == F.col("target")) | ((F.col("shard") < F.col("target")) == even))
+    pairs = pairs.withColumn("part", F.floor(F.col("shard") / SOURCES).cast("int"))
+    parts = F.sequence(F.lit(0), F.floor((sources - 1) / SOURCES).cast("int"))
+    graphs = built.where("seq < 0").withColumn("target", F.col("shard")).withColumn("part", F.explode(parts))
+    columns = ["dim", "shards", "target", "part", "shard", "seq", "data"]
+    rows = graphs.select(columns).unionByName(pairs.select(columns))
+    tasks = built.where("seq < 0").agg(F.sum(F.floor((sources - 1) / SOURCES) + 1)).first()[0] or 1
+    n = int(min(tasks, MOST_PARTITIONS))
+    number = F.col("target") * (F.floor((sources - 1) / SOURCES) + 1) + F.col("part") + F.hash("dim")
+    rows = rows.repartitionById(n, F.pmod(number, F.lit(n)).cast("int")).sortWithinPartitions("dim", "target", "part", "seq")
+    return rows.mapInArrow(_search(threshold), "a string, b string, n bigint")
+
+
 def embedding_links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
@@ -318,12 +460,13 @@ def embedding_links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     directly, ``component_id`` the least id reachable, and ``kept`` whether that
     is the row's own. Rows with equal vectors are one node with a number of
     copies from the start, and links leave a task as counts and a spanning
-    forest: a group of copies is never expanded into pairs. A null, zero,
-    non-finite or empty vector links with nothing and is its own component; so
-    is a row without an id (its component_id is null and it isn't kept).
-    Vectors of different lengths don't link. Each pair of shards is searched
-    both ways in one task of two shards; there are n / ``shard_rows`` shards,
-    at least ``MIN_SHARDS``.
+    forest: a group of copies is never expanded into pairs, and within a task
+    pairs are held for ``LANES`` queries at a time. A null, zero, non-finite or
+    empty vector links with nothing and is its own component; so is a row
+    without an id (its component_id is null and it isn't kept). Vectors of
+    different lengths don't link. Components very large or small in size count
+    by their direction alone. All pairs of shards are searched: n * n /
+    ``shard_rows`` searches, by the method.
     """
     rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector")).withColumn("ok", _usable(F.col("vector"), F.col("id")))
     node = F.when(F.col("ok"), F.concat(F.lpad(F.hex(F.xxhash64("vector")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("vector"), "vector")), 16, "0")))
@@ -331,16 +474,10 @@ def embedding_links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     members = materialize(rows.select("id", "node"), "vector-nodes")
     nodes = rows.where("ok").groupBy("node").agg(F.count("*").alias("copies"), F.any_value("vector").alias("vector")).withColumn("dim", F.size("vector"))
     nodes = materialize(nodes, "vectors")
-    sizes = nodes.groupBy("dim").agg(F.count("*").alias("n"))
-    shards = F.greatest(F.lit(MIN_SHARDS), F.ceil(F.col("n") / F.lit(shard_rows))).cast("int")
-    dealt = nodes.join(sizes.select("dim", shards.alias("shards")), "dim").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-    built = dealt.groupBy("dim", "shard").applyInArrow(_shard_index, "dim int, shard int, shards int, index binary")
-    built = materialize(built, "hnsw")
-    other = built.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    present = built.select("dim", F.col("shard").alias("other"))
-    blocks = other.join(present, ["dim", "other"]).select("dim", F.least("shard", "other").alias("p"), F.greatest("shard", "other").alias("q"), "shard", "index")
-    found = materialize(blocks.groupBy("dim", "p", "q").applyInArrow(_search_pair(threshold), "a string, b string, n bigint"), "vector-links")
-    counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
+    built = build_shards(nodes, threshold=threshold, shard_rows=shard_rows)
+    found = materialize(search_shards(built, threshold=threshold), "vector-links")
+    discard(nodes, built)
+    counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("b is not null").select("a", "b"))
     named = (
         members.where("node is not null")
@@ -348,14 +485,16 @@ def embedding_links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         .agg(F.count("*").alias("copies"), F.min("id").alias("least"))
         .join(counts, F.col("node") == counts.a, "left")
         .join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
-        .select("node", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+        .select("node", "least", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     )
     named = materialize(named, "vector-roots")
-    leasts = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = materialize(named.join(leasts, "root").select(F.col("node").alias("own"), "n_links", "component"), "vector-components")
-    return members.join(named, F.col("node") == F.col("own"), "left").select(
+    leasts = materialize(named.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n")), "vector-components")
+    found = materialize(join_hot(named, leasts, "root").select("node", "n_links", "component", F.col("copies").alias("n")), "vector-components")
+    alone = members.where("node is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    linked = join_hot(members.where("node is not null"), found, "node").select("id", "n_links", "component")
+    return linked.unionByName(alone).select(
         F.col("id").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(False)).alias("kept"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("component") == F.col("id"), F.lit(False)).alias("kept"),
     )
