@@ -1,32 +1,47 @@
-"""Near copies by the Jaccard similarity of five-word shingles.
+"""Near copies by the Jaccard similarity of five-word shingles, on top of SimHash.
 
-Candidates come from MinHash: documents with equal minima in all rows of a band
+Candidates come from covering SimHash over the shingles, which finds pairs
+within three bits for certain, and, as pairs at similarity 0.8 lie up to a dozen
+bits apart, from MinHash: documents with equal minima in all rows of a band
 share a bucket. A pair at similarity s misses all buckets with probability
-(1 - s**ROWS)**BANDS, 8e-5 at 0.8 and less above. Documents that share buckets,
-directly or over others, are then compared by their whole sets of shingles, so
-that nothing below the threshold is linked.
+(1 - s**ROWS)**BANDS, 8e-5 at 0.8 and less above.
+
+Every candidate is compared with its bucket's first document by their whole
+sets. Where that makes a bucket one component, it is done. Of the others, those
+of up to ``MAX_BUCKET`` documents are compared pair by pair, and larger ones
+are banded again by other hash functions, which parts what is dissimilar;
+after ``LEVELS`` of that they are compared in blocks. Only verified pairs link.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import materialize, slices
+from spanforge.llm.common import join_hot, materialize, slices
 from spanforge.llm.components import connected_components
-from spanforge.llm.simhash import keep_least
+from spanforge.llm.simhash import RADIUS, keep_first, majority, near_fingerprints, row_key, text_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 7
 BLOCK = 2000
+MAX_BUCKET = 256
+LEVELS = 4
+#: Comparisons with one document that go to one task.
+SHARE = 64
+
 
-_RNG = np.random.default_rng(42)
-_FACTORS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+@lru_cache(LEVELS + 1)
+def _functions(level: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(42 + level)
+    factors = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,11 +65,12 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
+def band_keys(hashes: np.ndarray, level: int = 0) -> np.ndarray:
     """One key a band, of the minima of its rows."""
+    factors, terms = _functions(level)
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for a in range(0, len(hashes), BLOCK):
-        np.minimum(least, (hashes[a : a + BLOCK, None] * _FACTORS + _TERMS).min(0), out=least)
+        np.minimum(least, (hashes[a : a + BLOCK, None] * factors + terms).min(0), out=least)
     rows = least.reshape(BANDS, ROWS)
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
@@ -66,26 +82,30 @@ def _digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def _prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, digest of the set, keys of the bands) for every row of docs (id, text)."""
+def _prints(rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, text_a, text_b, digest of the set, SimHash, keys of the bands) for every row (id, text_a, text_b, text)."""
+    kept = ("id", "text_a", "text_b")
 
     def run(batches):
         for part in slices(batches, "text"):
             found = [shingles(t, shingle) for t in part.column("text").to_pylist()]
             keys = pa.array(np.concatenate([band_keys(x) for x in found]), pa.int64())
             lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * BANDS, keys)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([_digest(x) for x in found], pa.binary()), lists], ["id", "digest", "keys"])
+            fps = pa.array([majority(x.astype(">u8").view(np.uint8).reshape(-1, 8)) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([_digest(x) for x in found], pa.binary()), fps, lists], [*kept, "digest", "fp", "keys"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, keys array<bigint>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_a bigint, text_b bigint, digest binary, fp bigint, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(digest, hashes) of texts."""
+
     def run(batches):
         for part in slices(batches, "text"):
             found = [shingles(t, shingle) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["digest", "hashes"])
 
-    return docs.mapInArrow(run, "digest binary, hashes binary")
+    return rows.mapInArrow(run, "digest binary, hashes binary")
 
 
 def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -116,28 +136,138 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
+def _similar(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two packed sets are similar; sizes that forbid it aren't looked at."""
+
+    @F.arrow_udf("boolean")
+    def compare(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for p, q in zip(x, y):
+            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    n, m = F.octet_length(a), F.octet_length(b)
+    return F.when(F.least(n, m) >= F.lit(similarity - 1e-6) * F.greatest(n, m), compare(a, b)).otherwise(False)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar. A document b with very many partners is sent once for each ``SHARE`` of them."""
+    pairs = materialize(pairs, "shingle-pairs")
+    partners = materialize(pairs.groupBy("b").agg(F.count("*").alias("n")), "shingle-partners")
+    shares = F.ceil(F.col("n") / SHARE).cast("int")
+    dealt = join_hot(pairs, partners, "b").withColumn("share", F.pmod(F.xxhash64("a"), shares).cast("int"))
+    b = partners.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_hashes")), "b").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_hashes"))
+    both = dealt.select("a", "b", "share").join(b.select("b", "share", "b_hashes"), ["b", "share"]).join(a, "a")
+    return both.where(_similar(F.col("a_hashes"), F.col("b_hashes"), similarity)).select("a", "b")
+
+
 def _compare(similarity: float):
-    """Over rows sorted by root: (node, label) of each root's sets."""
+    """Over rows sorted by group: (a, b) with the components of each group's sets."""
 
     def run(batches):
-        root, found = None, {}
+        group, found = None, {}
         for batch in batches:
-            for r, node, hashes in zip(*(batch.column(c).to_pylist() for c in ("root", "node", "hashes"))):
-                if r != root:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node")]
+            for k, (*g, node) in enumerate(zip(*columns)):
+                if g != group:
                     yield from labels(found)
-                    root, found = r, {}
-                found[node] = np.frombuffer(hashes, np.uint64)
+                    group, found = g, {}
+                found[node] = np.frombuffer(batch.column("hashes")[k].as_buffer(), np.uint64)
         yield from labels(found)
 
     def labels(found):
         if len(found) > 1:
             nodes = np.array(list(found), np.int64)
             firsts = nodes[linked(list(found.values()), similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(firsts)], ["node", "label"])
+            some = nodes != firsts
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(firsts[some])], ["a", "b"])
 
     return run
 
 
+def _in_blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links among the members (bucket, node, n) of each bucket: every pair of blocks of ``MAX_BUCKET`` sets is compared in a group of its own."""
+    blocks = F.ceil(F.col("n") / MAX_BUCKET).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node").join(sets, "node")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare(similarity), "a bigint, b bigint")
+
+
+def _bands(level: int):
+    @F.arrow_udf("array<bigint>")
+    def keys(hashes: pa.Array) -> pa.Array:
+        return pa.array([band_keys(np.frombuffer(x.as_buffer(), np.uint64), level) for x in hashes], pa.list_(pa.int64()))
+
+    return keys(F.col("hashes"))
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(bucket, node, n, first): the rows of buckets with several nodes."""
+    keyed = materialize(keyed, "shingle-keys")
+    sizes = materialize(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"), "shingle-buckets")
+    return materialize(join_hot(keyed, sizes, "bucket"), "shingle-shared")
+
+
+def _links(distinct: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root): the components of the verified pairs among the distinct sets."""
+    equal = distinct.select(F.xxhash64(F.lit("fp"), "fp").alias("bucket"), "node")
+    shared = _shared(distinct.select(F.explode("keys").alias("bucket"), "node").unionByName(equal))
+    holders = materialize(distinct.groupBy("fp").agg(F.min("node").alias("holder")), "shingle-fingerprints")
+    near = near_fingerprints(holders.select("fp"), RADIUS)
+    ends = [holders.select(F.col("fp").alias(c), F.col("holder").alias(f"{c}_node")) for c in "ab"]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
+    near = materialize(near, "shingle-near")
+    stars = shared.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    nodes = shared.select("node").unionByName(near.select(F.col("a").alias("node"))).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(distinct.join(nodes, "node").select("node", "digest", "first.*"), "shingle-candidates")
+    key = wanted.select(F.col("id").alias("w_id"), F.col("text_a").alias("w_a"), F.col("text_b").alias("w_b"))
+    same = rows["id"].eqNullSafe(F.col("w_id")) & (rows["text_a"] == F.col("w_a")) & (rows["text_b"] == F.col("w_b"))
+    found = _sets(rows.join(key, same, "left_semi").select("text"), shingle)
+    sets = materialize(found.join(wanted.select("node", "digest"), "digest").select("node", "hashes").dropDuplicates(["node"]), "shingle-hashes")
+    links = materialize(_verified(stars.unionByName(near).distinct(), sets, similarity), "shingle-links")
+    level = 0
+    while True:
+        roots = materialize(connected_components(links), "shingle-roots")
+        named = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+        mixed = materialize(mixed.select("bucket", "n"), "shingle-mixed")
+        if mixed.isEmpty():
+            return roots
+        members = materialize(join_hot(shared.select("bucket", "node"), mixed, "bucket"), "shingle-members")
+        large = F.lit(level < LEVELS) & (F.col("n") > MAX_BUCKET)
+        more = _in_blocks(members.where(~large), sets, similarity)
+        finer = members.where(large)
+        done = finer.isEmpty()
+        if not done:
+            level += 1
+            keys = finer.join(sets, "node").select("bucket", "node", F.explode(_bands(level)).alias("key"))
+            shared = _shared(keys.select(F.xxhash64("bucket", "key").alias("bucket"), "node"))
+            stars = shared.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+            more = more.unionByName(_verified(stars, sets, similarity))
+        links = materialize(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "shingle-links")
+        if done:
+            return materialize(connected_components(links), "shingle-roots")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, text_a, text_b, first) for every row: first is the row key of the component's least row."""
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), *text_key(text), text.alias("text"))
+    prints = materialize(_prints(rows, shingle), "shingle-prints")
+    distinct = prints.groupBy("digest").agg(F.min(row_key()).alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.count("*").alias("rows"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
+    roots = _links(distinct, rows, shingle, similarity)
+    named = distinct.join(roots, "node", "left").select("digest", "rows", "first", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "shingle-named")
+    firsts = materialize(named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n")), "shingle-firsts")
+    named = materialize(join_hot(named.select("digest", "rows", "root"), firsts, "root").select("digest", F.col("component").alias("first"), F.col("rows").alias("n")), "shingle-components")
+    prints_kept = prints.select("id", "text_a", "text_b", "digest")
+    return join_hot(prints_kept, named, "digest")
+
+
 def shingle_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component_id) for every row: the least id reachable over pairs at ``similarity`` or more.
 
@@ -146,23 +276,9 @@ def shingle_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     other. Null ids take part, but are no component's id unless all of a
     component's ids are null. Repeated rows stay.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    prints = materialize(_prints(rows, shingle), "shingle-prints")
-    distinct = prints.groupBy("digest").agg(F.min("id").alias("least"), F.first("keys").alias("keys"))
-    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    stars = keyed.join(materialize(buckets.select("key", "first"), "shingle-buckets"), "key").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    roots = materialize(connected_components(stars).join(distinct.select("node", "digest", "least"), "node"), "shingle-candidates")
-    texts = rows.join(roots.select(F.col("least").alias("id")).where("id is not null").distinct(), "id", "left_semi").unionByName(rows.where("id is null"))
-    sets = _sets(texts.select("text"), shingle).join(roots.select("digest", "root", "node"), "digest").select("root", "node", "hashes")
-    labels = sets.repartition("root").sortWithinPartitions("root").mapInArrow(_compare(similarity), "node bigint, label bigint")
-    named = materialize(distinct.join(labels, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label")), "shingle-labels")
-    components = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(components, "label").select("digest", "component_id"), "shingle-components")
-    return prints.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Keep one row of each group of near copies, as ``keep_least`` does."""
-    return keep_least(docs, shingle_components(docs, id_col=id_col, text_col=text_col, **options), id_col)
+    return _grouped(docs, id_col, text_col, shingle, similarity).select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Keep one row of each group of near copies, as ``keep_first`` does."""
+    return keep_first(docs, _grouped(docs, id_col, text_col, shingle, similarity), id_col, text_col)

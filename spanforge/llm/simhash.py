@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import materialize, slices
+from spanforge.llm.common import join_hot, materialize, slices
 from spanforge.llm.components import connected_components
 
 RADIUS = 3
@@ -40,23 +40,34 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-    digests = np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in shingles]), np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in shingles]), np.uint8).reshape(-1, 8))
+
+
+def majority(digests: np.ndarray) -> int:
+    """The signed number of the bits that are set in over half of the digests (eight bytes each); 0 of none."""
     ones = np.zeros(BITS, np.int64)
     for a in range(0, len(digests), 100_000):
         ones += np.unpackbits(digests[a : a + 100_000], axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(digests)).tobytes(), "big", signed=True)
 
 
+def text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text (null: empty), which tell rows with one id apart."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit("text"), text).alias("text_b")
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) for every row; a null text has the fingerprint of an empty one, zero."""
+    """(id, text_a, text_b, fp) for every row; a null text has the fingerprint of an empty one, zero."""
 
     def run(batches):
         for part in slices(batches, "text"):
             fps = pa.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("id"), fps], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_a"), part.column("text_b"), fps], ["id", "text_a", "text_b", "fp"])
 
-    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), *text_key(text), text.alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_a bigint, text_b bigint, fp bigint")
 
 
 def covering_masks(free: int, radius: int = RADIUS) -> list[int]:
@@ -156,6 +167,22 @@ def near_fingerprints(distinct: DataFrame, radius: int = RADIUS, max_bucket: int
         rows = large.join(F.broadcast(finer), "mask").select("fp", F.explode("finer").alias("mask"))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int, max_bucket: int) -> DataFrame:
+    """(id, text_a, text_b, fp, component_id, first): first is the component's row with the least id, as a row key."""
+    prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min(row_key()).alias("first"), F.count("*").alias("rows")), "distinct-fingerprints")
+    roots = connected_components(near_fingerprints(distinct.select("fp"), radius, max_bucket))
+    linked = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rows", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    firsts = materialize(linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n")), "simhash-components")
+    named = materialize(join_hot(linked.select("fp", "rows", "root"), firsts, "root").select("fp", F.col("component").alias("first"), F.col("rows").alias("n")), "simhash-components")
+    return join_hot(prints, named, "fp").withColumn("component_id", F.col("first.id"))
+
+
+def row_key() -> Column:
+    """Orders rows by id, those without one last, and tells rows with equal ids and different texts apart."""
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", "text_a", "text_b")
+
+
 def simhash_components(
     docs: DataFrame,
     *,
@@ -173,34 +200,32 @@ def simhash_components(
     and are linked like others; null ids take part, but are no component's id
     unless all of a component's ids are null. Repeated rows stay.
     """
-    prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(near_fingerprints(distinct.select("fp"), radius, max_bucket))
-    linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "least")
-    leasts = linked.groupBy("root").agg(F.min("least").alias("component"))
-    groups = linked.join(leasts, "root").select("fp", "component")
-    named = distinct.join(groups, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    # As a table, so that Spark can split the join at a fingerprint with very many rows.
-    named = materialize(named, "simhash-components")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return _grouped(docs, id_col, text_col, radius, shingle, max_bucket).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_least(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    """Keep one row of each component of ``groups`` (id, component_id): that with the least id. Columns stay as they came.
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Keep one row of each component of ``groups`` (id, text_a, text_b, first): that with the least id. Columns stay as they came.
 
-    Rows that repeat that id are reduced to one of them. Rows without an id
-    can't be told apart and all stay.
+    A row is known by its id and its text, so that rows with one id and
+    different texts are rows of their own; of rows that agree in both one stays.
+    Rows without an id come last in their component and all stay.
     """
-    flagged = groups.select(F.col(id_col).alias("__id"), (F.col(id_col) == F.col("component_id")).alias("own")).where("__id is not null")
-    counted = materialize(flagged.groupBy("__id").agg(F.sum(F.col("own").cast("int")).alias("n")), "near-duplicates")
-    # Fewer rows go than stay, so the join is with those that go: texts are shuffled only if even these are many.
-    gone = materialize(counted.where("n = 0").select("__id"), "gone")
-    out = docs.join(gone, docs[f"`{id_col}`"] == F.col("__id"), "left_anti")
-    if counted.where("n > 1").isEmpty():
+    flagged = groups.where("id is not null").select("id", "text_a", "text_b", (row_key() == F.col("first")).alias("own"))
+    counted = materialize(flagged.groupBy("id", "text_a", "text_b").agg(F.max("own").alias("own"), F.count("*").alias("n")), "near-duplicates")
+    key = [F.col("__id").alias("__id"), F.col("text_a").alias("__a"), F.col("text_b").alias("__b")]
+    counted = counted.withColumnRenamed("id", "__id")
+    # Fewer rows go than stay, so the joins are with those that go or repeat: texts are shuffled only if even these are many.
+    gone = materialize(counted.where("not own").select(key), "gone")
+    repeated = materialize(counted.where("own and n > 1").select(key), "repeated")
+    a, b = text_key(docs[f"`{text_col}`"])
+    same = lambda other: (docs[f"`{id_col}`"] == other["__id"]) & (a == other["__a"]) & (b == other["__b"])
+    out = docs.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
         return out
-    return out.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    once = docs.join(repeated, same(repeated), "left_semi").withColumns({"__a": a, "__b": b}).dropDuplicates([id_col, "__a", "__b"]).drop("__a", "__b")
+    return out.join(repeated, same(repeated), "left_anti").unionByName(once)
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Keep one row of each group of near duplicates, as ``keep_least`` does."""
-    return keep_least(docs, simhash_components(docs, id_col=id_col, text_col=text_col, **options), id_col)
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Keep one row of each group of near duplicates, as ``keep_first`` does."""
+    return keep_first(docs, _grouped(docs, id_col, text_col, radius, shingle, max_bucket), id_col, text_col)

@@ -4,7 +4,9 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+from spanforge.llm import shingle_copies
 from spanforge.llm.shingle_copies import drop_near_copies, shingle_components
+from spanforge.llm.simhash import drop_near_duplicates
 
 SF = "/root/testdata/sf0.01/documents.parquet"
 
@@ -73,3 +75,27 @@ def test_one_group_with_a_base_and_edge_cases(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(i, rows[label[k]][0]) for k, (i, _) in enumerate(rows) if i is not None}
     assert sorted((r.doc_id for r in drop_near_copies(df).collect()), key=str) == [0, 500, 502, None, None]
     assert drop_near_copies(df.limit(0)).collect() == []
+
+
+def test_large_buckets_are_banded_again_and_compared_in_blocks(spark, monkeypatch):
+    """A cloud of texts around the threshold, whose buckets stay mixed, under tiny buckets and one level."""
+    monkeypatch.setattr(shingle_copies, "MAX_BUCKET", 4)
+    monkeypatch.setattr(shingle_copies, "LEVELS", 1)
+    rng = random.Random(8)
+    rows = []
+    for i in range(90):
+        words = [f"w{k}" for k in range(200)]
+        for k in rng.sample(range(200), 2 + i % 2):
+            words[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    label, pairs = brute([t for _, t in rows])
+    assert 50 < len(pairs) < 3900 and len(set(label)) > 1
+    got = {r.doc_id: r.component_id for r in shingle_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: rows[label[k]][0] for k, (i, _) in enumerate(rows)}
+
+
+def test_rows_with_one_id_and_different_texts_stay(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    df = spark.createDataFrame([(5, texts[0]), (5, texts[1]), (6, texts[2]), (6, texts[2]), (7, texts[1])], "doc_id bigint, text string")
+    for drop in (drop_near_copies, drop_near_duplicates):
+        assert sorted((r.doc_id, r.text) for r in drop(df).collect()) == [(5, texts[0]), (5, texts[1]), (6, texts[2])]
