@@ -85,7 +85,7 @@ def test_large_buckets_are_banded_again_and_compared_in_blocks(spark, monkeypatc
     rows = []
     for i in range(90):
         words = [f"w{k}" for k in range(200)]
-        for k in rng.sample(range(200), 2 + i % 2):
+        for k in rng.sample(range(200), 2 + 2 * (i % 2)):
             words[k] = f"x{i}y{k}"
         rows.append((i, " ".join(words)))
     label, pairs = brute([t for _, t in rows])
