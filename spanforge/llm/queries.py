@@ -50,7 +50,11 @@ def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     terms = F.transform("terms", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     return found.select(
-        "doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", terms)).alias("spans")
+        "doc_id",
+        *counts,
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.concat("base", terms)).alias("spans"),
+        F.coalesce(F.sha2("sanitised", 256), "text_sha256").alias("sanitised_sha256"),
     )
 
 
