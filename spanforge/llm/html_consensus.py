@@ -1,7 +1,7 @@
 """Main text of web pages by consensus of a host's container paths.
 
-Every page scores its containers by the text that isn't in links and names the
-best by its path of tags and generalised classes. Spark counts the votes of
+Every page scores its containers by the text that isn't in links, each against
+the sum of its parts, and names the best by its path of tags and generalised classes. Spark counts the votes of
 each host, and pages are read again with the winning path of their host; a
 page without an element there is read by its own best container.
 """
@@ -23,7 +23,11 @@ from spanforge.llm.common import materialize, slices
 
 SLICE_BYTES = 4 << 20
 MIN_VOTES = 2
-DECAY_PERCENT = 80
+#: Of a container's text outside links, what may stay behind if a part of it is taken instead; a headline may not.
+REST_PERCENT = 3
+REST_CHARS = 20
+#: Of a page's text, what an article or main element holds at least to be taken for the main text.
+MAIN_PERCENT = 25
 PATH_CHARS = 1000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<attrs2>[^>]*+)>""", re.S)
@@ -41,18 +45,25 @@ BLOCK = frozenset(
 CONTAINERS = frozenset("article section main div body td center details blockquote".split())
 #: Elements that are never part of the main text.
 DROPPED_TAGS = frozenset(
-    "script style noscript template iframe object svg math canvas audio video nav footer aside form button select option textarea input label "
-    "fieldset dialog menu head title datalist output progress meter map".split()
+    "script style noscript template iframe svg canvas audio video nav footer aside button select option textarea input dialog menu head title datalist progress meter".split()
 )
+#: Forms go, unless they are a wrapper around the page's text.
+FORM_TAGS = frozenset("form fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
-#: Words of classes and ids that name what isn't part of the main text.
+#: Words of classes and ids that name what isn't part of the main text. Within the main text they must be the whole name, but for PART_WORDS.
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense adsbygoogle adslot sponsor sponsored sponsors promo promos promotion promoted "
     "comment comments commentlist disqus respond replies discussion livefyre related recommended recommendations trending "
     "cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal lightbox paywall noprint "
     "share sharing social socials sharebar breadcrumb breadcrumbs pagination pager copyright colophon".split()
 )
-#: Words that may also name a wrapper around everything: what holds an article or main element, or text by another word, isn't dropped for them.
+PART_WORDS = frozenset(
+    "box block section container wrapper wrap list area bar unit slot item items inner outer widget panel module group row col column top bottom left right "
+    "header title footer form button buttons link links post posts article articles story stories content text page site main count thread reply area js google dfp block banner".split()
+)
+#: Elements of running text and data, which inside an article aren't dropped for a name.
+TEXT_TAGS = frozenset("p table tbody thead tr td th caption figure figcaption blockquote pre li dt dd h1 h2 h3 h4 h5 h6 span a b i em strong code math label".split())
+#: Words that may also name a wrapper around everything: what holds an article or main element or a headline, or half of the page, isn't dropped for them.
 WEAK_WORDS = frozenset(
     "nav navbar navigation navi menu menus submenu toolbar topbar sidebar sidebars sidecol rail aside widget widgets banner overlay alert "
     "footer footnav masthead siteheader sitefooter header form search searchform".split()
@@ -72,8 +83,13 @@ class Node:
     parent: int
     boost: int
     main: bool  # an article or main element
-    drop: int  # 2: never main text; 1: not unless it holds the main element; 3: a header, which belongs to what is around it
+    drop: int  # one of the kinds below
     dropped: bool = False
+    doubtful: bool = False  # not main text, unless the main text is around it
+
+
+#: Why an element may not be main text: its tag, a whole name, one word of a name, a word that may name a wrapper, a form, a header.
+KEPT, NEVER, NAMED, WORD, WEAK, FORM, HEADER = range(7)
 
 
 @dataclass(slots=True)
@@ -83,8 +99,10 @@ class Block:
     link_chars: int
 
 
-def _words(value: str) -> set[str]:
-    return {w.rstrip("0123456789") for w in _WORD.findall(_CAMEL.sub(r"\1 \2", value).lower())}
+def _names(attrs: dict[str, str]) -> list[set[str]]:
+    """The words of each class and of the id."""
+    names = [*attrs.get("class", "").split(), attrs.get("id", "")]
+    return [{w.rstrip("0123456789") for w in _WORD.findall(_CAMEL.sub(r"\1 \2", x).lower())} for x in names]
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -98,43 +116,61 @@ def _label(tag: str, attrs: dict[str, str]) -> str:
 
 def _node(tag: str, attr_text: str, parent: int, above: str) -> Node:
     attrs = _attributes(attr_text)
-    words = _words(attrs.get("class", "")) | _words(attrs.get("id", "")) if attrs else set()
+    names = _names(attrs) if attrs else []
+    words = set().union(*names)
     role, style = attrs.get("role", "").lower(), attrs.get("style", "").replace(" ", "").lower()
     main = tag in ("article", "main") or role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
     content = bool(words & CONTENT_WORDS)
-    drop = 0
-    if tag in DROPPED_TAGS or role in DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-        drop = 2
+    drop = KEPT
+    if tag in DROPPED_TAGS or role in DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or attrs.get("class", "").strip() == "hidden":
+        drop = NEVER
     elif tag in ("body", "html") or main and not words & {"comment", "comments"}:
-        drop = 0
-    elif words & DROPPED_WORDS or attrs.get("class", "").strip() == "hidden":
-        drop = 2
+        drop = KEPT
+    elif words & DROPPED_WORDS:
+        drop = NAMED if any(n & DROPPED_WORDS and n <= DROPPED_WORDS | PART_WORDS for n in names) and tag not in TEXT_TAGS else WORD
+    elif tag in FORM_TAGS:
+        drop = FORM
     elif tag == "header" or words & {"header"} and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        drop = 2 if words & {"page", "site", "top"} else 3
+        drop = NEVER if words & {"page", "site", "top"} else HEADER
     elif words & WEAK_WORDS and not content:
-        drop = 1
+        drop = WEAK
     path = f"{above}>{_label(tag, attrs)}" if above else _label(tag, attrs)
     if len(path) > PATH_CHARS:
         path = "#" + xxhash.xxh3_128_hexdigest(path.encode("utf-8", "surrogatepass"))
     return Node(tag, path, parent, 3 if main else 2 if content else 1, main, drop)
 
 
-def _mark_dropped(nodes: list[Node]) -> None:
-    holds_main = [False] * len(nodes)
-    for i in range(len(nodes) - 1, 0, -1):
-        if (nodes[i].main or holds_main[i]) and nodes[i].drop != 2:
-            holds_main[nodes[i].parent] = True
-    content = [False] * len(nodes)  # inside something that names the main text
-    for i in range(1, len(nodes)):
+def _mark_dropped(nodes: list[Node], chars: list[int]) -> None:
+    """``chars``: the characters of the text directly in each node."""
+    n = len(nodes)
+    holds_main, headline, total = [False] * n, [node.tag == "h1" for node in nodes], list(chars)
+    for i in range(n - 1, 0, -1):
+        node, up = nodes[i], nodes[i].parent
+        if node.drop != NEVER:
+            holds_main[up] |= node.main or holds_main[i]
+            headline[up] |= headline[i] and node.drop != HEADER
+            total[up] += total[i]
+    content = [False] * n  # inside something that names the main text
+    for i in range(1, n):
         node, up = nodes[i], nodes[i].parent
         content[i] = content[up] or (node.boost > 1 and node.tag != "body")
-        own = node.drop == 2 or node.drop == 1 and not holds_main[i] or node.drop == 3 and not content[up] and not holds_main[i]
+        around = holds_main[i] or headline[i]
+        if node.drop == NAMED:
+            own = not headline[i]
+        elif node.drop == WORD:
+            own = False
+            node.doubtful = not around and not content[up]
+        elif node.drop in (WEAK, FORM):
+            own = not around and (content[up] or 2 * total[i] <= total[0])
+        else:
+            own = node.drop == NEVER or node.drop == HEADER and not content[up] and not holds_main[i]
         node.dropped = nodes[up].dropped or own
+        node.doubtful |= nodes[up].doubtful
 
 
 def parse(html: str) -> tuple[list[Node], list[Block]]:
     """Elements, and the text blocks outside dropped elements in page order. Forgives unclosed and stray tags."""
-    nodes = [Node("", "", -1, 1, False, 0)]
+    nodes = [Node("", "", -1, 1, False, KEPT)]
     stack, owner, open_tags = [0], 0, Counter()
     pieces: list[tuple[int, str, bool]] = []
     found: list[tuple[int, list[tuple[int, str, bool]]]] = []
@@ -215,7 +251,11 @@ def parse(html: str) -> tuple[list[Node], list[Block]]:
         if tag in BLOCK:
             owner = stack[-1]
     flush()
-    _mark_dropped(nodes)
+    chars = [0] * len(nodes)
+    for _, parts in found:
+        for i, t, linked in parts:
+            chars[i] += 0 if linked else len(t.strip())
+    _mark_dropped(nodes, chars)
     blocks = []
     for node, parts in found:
         text = " ".join("".join(t for i, t, _ in parts if not nodes[i].dropped).split())
@@ -224,32 +264,47 @@ def parse(html: str) -> tuple[list[Node], list[Block]]:
     return nodes, blocks
 
 
-def _scores(nodes: list[Node], blocks: list[Block]) -> dict[int, int]:
-    """Text outside links that a container holds, less for each level between; whole numbers, so that sums don't depend on order."""
-    own: dict[int, int] = {}
+def _masses(nodes: list[Node], blocks: list[Block]) -> tuple[list[int], list[bool]]:
+    """Characters outside links that each element holds, and whether it holds a headline."""
+    mass, headline = [0] * len(nodes), [False] * len(nodes)
     for b in blocks:
-        node = b.node
-        while node > 0 and nodes[node].tag not in CONTAINERS:
-            node = nodes[node].parent
-        own[node] = own.get(node, 0) + max(0, len(b.text) - 2 * b.link_chars)
-    total: dict[int, int] = {}
-    handed: dict[int, int] = {}  # from children to parents
-    for node in range(len(nodes) - 1, -1, -1):  # children come after their parents
-        value = own.get(node, 0) * 100 + handed.get(node, 0)
-        if not value:
+        if nodes[b.node].doubtful:
             continue
-        if node == 0 or nodes[node].tag in CONTAINERS:
-            total[node] = value * nodes[node].boost // (2 if nodes[node].tag in ("body", "") else 1)
-            value = value * DECAY_PERCENT // 100
-        if node:
-            handed[nodes[node].parent] = handed.get(nodes[node].parent, 0) + value
-    return total
+        mass[b.node] += max(0, len(b.text) - 2 * b.link_chars)
+        headline[b.node] |= nodes[b.node].tag in ("h1", "h2")
+    for i in range(len(nodes) - 1, 0, -1):  # children come after their parents
+        mass[nodes[i].parent] += mass[i]
+        headline[nodes[i].parent] |= headline[i]
+    return mass, headline
 
 
 def best_container(nodes: list[Node], blocks: list[Block]) -> tuple[int, int] | None:
-    """(node, score): the largest score, the first in the page of equal ones."""
-    scores = _scores(nodes, blocks)
-    return max(((k, v) for k, v in scores.items() if not nodes[k].dropped), key=lambda x: (x[1], -x[0]), default=None)
+    """(node, score): the container of the main text, and the text that it holds outside links.
+
+    The search goes down from the root, or from the article or main element
+    with the most text, to the container that holds all but ``REST_PERCENT`` of
+    the text (or ``REST_CHARS``) and leaves no headline behind: a container is measured against the
+    sum of its parts, so that the parts of one article stay together.
+    """
+    mass, headline = _masses(nodes, blocks)
+    if not mass[0]:
+        return None
+    children: list[list[int]] = [[] for _ in nodes]
+    for i in range(1, len(nodes)):
+        if mass[i] and not nodes[i].dropped:
+            children[nodes[i].parent].append(i)
+    mains = [i for i in range(1, len(nodes)) if nodes[i].main and mass[i] * 100 >= MAIN_PERCENT * mass[0]]
+    at = max(mains, key=lambda i: (mass[i], i), default=0)
+    best = at
+    while children[at]:
+        k = max(children[at], key=lambda i: (mass[i], -i))
+        left = headline[at] and not headline[k]
+        if left or mass[at] - mass[k] > max(REST_CHARS, mass[at] * REST_PERCENT // 100):
+            break
+        at = k
+        if nodes[at].tag in CONTAINERS:
+            best = at
+    return best, mass[best]
 
 
 def main_text(html: str | None, path: str | None = None) -> str:
@@ -262,13 +317,14 @@ def main_text(html: str | None, path: str | None = None) -> str:
         inside[0] = 0 in chosen
         for i in range(1, len(nodes)):
             inside[i] = i in chosen or inside[nodes[i].parent]
-        return [b.text for b in blocks if inside[b.node]]
+        whole = any(nodes[i].tag in ("", "html", "body") for i in chosen)
+        return [b.text for b in blocks if inside[b.node] and (not nodes[b.node].doubtful or not whole and 2 * b.link_chars < len(b.text))]
 
     found = taken() if chosen else []
     if not found:
         best = best_container(nodes, blocks)
         chosen = {best[0]} if best else set()
-        found = taken() if chosen else [b.text for b in blocks]
+        found = taken() if chosen else [b.text for b in blocks if not nodes[b.node].doubtful]
     return "\n".join(found)
 
 

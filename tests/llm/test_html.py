@@ -1,5 +1,8 @@
 """Main text: layouts with what isn't the article, consensus of hosts, and edge cases."""
 
+import random
+from collections import Counter
+
 from spanforge.llm.html_consensus import best_container, extract_main_text, main_text, parse
 
 STORY = "<p>First &amp; <b>bold</b>er   line<br>goes on.</p><p>Second <a href='/x'>link</a> &eacute;.</p><ul><li>one<li>two</ul>"
@@ -48,3 +51,68 @@ def test_consensus(spark):
 def test_paths_are_generalised():
     nodes, blocks = parse("<body><div class='post-17 c2 a'><p>hello there</p></div></body>")
     assert nodes[best_container(nodes, blocks)[0]].path == "body>div.a.c#.post-#"
+
+
+def generated_page(rng, layout):
+    """A page and its article's words: boilerplate is made of words that begin with z, the article's don't."""
+    word = lambda z: ("z" if z else "") + "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    text = lambda n, z=False: " ".join(word(z) for _ in range(n))
+    said = []
+
+    def own(n):
+        said.append(text(n))
+        return said[-1]
+
+    def para(name=""):
+        words = own(rng.randrange(15, 60)).split(" ")
+        k = rng.randrange(len(words))
+        words[k] = rng.choice([f"<b>{words[k]}</b>", f"<a href='/{k}'>{words[k]}</a>", words[k] + "&nbsp;"])
+        return f"<p{name}>{' '.join(words)}</p>"
+
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{k}'>{text(3, True)}</a></li>" for k in range(n)) + "</ul>"
+    extra = ["<div class='ad'>{}</div>", "<div class='share-buttons'>{}</div>", "<aside>{}</aside>", "<div id='newsletter-signup'><p>{}</p></div>", "<form action=/s><label>{}</label><input></form>", "<!-- {} -->", "<script>var x = '{}';</script>"]
+    inserts = lambda: rng.choice(extra).format(text(rng.randrange(4, 15), True))
+    odd = [
+        lambda: f"<section class='notice-of-results'>{para()}</section>",
+        lambda: f"<div class='sponsored-research'>{para()}{para()}</div>",
+        lambda: para(" class='text-comment'"),
+        lambda: f"<table class='related'><tr><td>{own(4)}</td><td>{own(4)}</td></tr></table>",
+        lambda: f"<p>{own(5)} <math><mi>{own(1)}</mi></math> <label>{own(3)}</label></p>",
+        lambda: f"<figure><img src=x><figcaption>{own(6)}</figcaption></figure>",
+        lambda: f"<blockquote>{para()}</blockquote>",
+    ]
+    body = lambda n: "".join(para() + (inserts() if rng.random() < 0.4 else "") + (rng.choice(odd)() if rng.random() < 0.5 else "") for _ in range(n))
+    head = f"<html><head><title>{text(4, True)}</title><style>p{{}}</style></head><body class='has-comments'><div class='cookie-consent'><p>{text(20, True)}</p></div>"
+    top = f"<header class='site-header'><h1>{text(2, True)}</h1></header><nav>{links(6)}</nav>"
+    comments = f"<div class='comments'><h2>{text(1, True)}</h2>" + "".join(f"<div class='comment'><p>{text(40, True)}</p></div>" for _ in range(rng.randrange(6))) + "</div>"
+    foot = f"<div class='related-posts'>{links(4)}</div><footer>{text(8, True)}</footer></body></html>"
+    title = lambda: f"<h1>{own(6)}</h1>"
+    if layout == 0:
+        main = f"<article>{title()}{body(6)}{body(2)}</article>"
+    elif layout == 1:
+        main = f"<form id='aspnetForm'><div id='sidebar-left'>{text(30, True)}</div><div class='container'><div class='page'>{title()}{body(7)}</div></div><input type=hidden value=x></form>"
+    elif layout == 2:
+        main = f"<div id='page'>{title()}<div class='lead'>{para()}</div><div class='txt'>{body(4)}</div><div class='txt'>{body(3)}</div></div>"
+    else:
+        main = f"<table><tr><td class='menu-column'>{links(5)}</td><td><div class='x{rng.randrange(99)}'><h2>{own(4)}</h2>{body(5)}</div></td></tr></table>"
+    return head + top + main + comments + foot, " ".join(said).split()
+
+
+def test_generated_pages_with_several_layouts_a_host(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(480):
+        html, words = generated_page(rng, (i // 12 + i % 3) % 4)
+        rows.append((i, f"http://host{i // 12}.example/{i}", html))
+        want[i] = Counter(words)
+    found = extract_main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    right = said = meant = 0
+    worst = []
+    for r in found:
+        got = Counter(r.text.split())
+        both = sum((got & want[r.page_id]).values())
+        right, said, meant = right + both, said + sum(got.values()), meant + sum(want[r.page_id].values())
+        worst.append((both / max(sum(got.values()), 1), both / sum(want[r.page_id].values()), r.page_id))
+    print("precision", right / said, "recall", right / meant, sorted(worst)[:3], sorted(worst, key=lambda x: x[1])[:3])
+    assert right / said >= 0.98 and right / meant >= 0.98
+    assert min(w[1] for w in worst) >= 0.9
