@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import pieces
 
 NONE = np.int32(2**31 - 1)
-WIDTHS = (2, 4, 8, 16, 32, 64, 128, 256)
+#: Widths of the matrices; a piece beyond the last one is merged by a heap, in the same order.
+WIDTHS = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096)
 CELLS = 1 << 18
 SLICE_BYTES = 1 << 20
 CACHED_PIECES = 300_000

@@ -23,8 +23,11 @@ from spanforge.llm.common import pieces, slices
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.5
-ROUNDS = 12
-REFINING_ROUNDS = 6
+#: EM ends for a document when no proportion moves by TOLERANCE; MOST_ROUNDS is out of its reach in practice.
+TOLERANCE = 1e-4
+MOST_ROUNDS = 1000
+#: More languages than these would make the model (BUCKETS numbers each) too large to send to every task: an error.
+MOST_LANGUAGES = 1000
 UNDETERMINED = "und"
 SLICE_BYTES = 1 << 19
 
@@ -84,6 +87,8 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
     counted = rows.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counted.column("lang").to_pylist()))
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"{len(names)} languages")
     n = np.zeros((BUCKETS, len(names)))
     lang = np.searchsorted(names, counted.column("lang").to_pylist()) if names else np.empty(0, int)
     n[counted.column("bucket").to_numpy(), lang] = counted.column("n").to_numpy()
@@ -91,16 +96,25 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
     return MixtureModel(tuple(names), log_p.astype(np.float32))
 
 
-def _mixtures(p: np.ndarray, pi: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, rounds: int) -> np.ndarray:
-    """EM from the proportions pi (documents x languages) over word likelihoods p (words x languages)."""
-    for _ in range(rounds):
-        r = p * pi[doc]
+def _mixtures(p: np.ndarray, pi: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """EM from the proportions pi (documents x languages) over word likelihoods p (words x languages), n words a document.
+
+    Each document goes on until its own proportions stand still.
+    """
+    out, left = pi.copy(), np.arange(len(pi))
+    for _ in range(MOST_ROUNDS):
+        first = np.cumsum(n) - n
+        r = p * np.repeat(pi, n, axis=0)
         r /= r.sum(1, keepdims=True)
         new = np.add.reduceat(r, first, axis=0) / n[:, None]
-        if np.abs(new - pi).max() < 1e-4:
-            return new
-        pi = new
-    return pi
+        moves = np.abs(new - pi).max(1) >= TOLERANCE
+        out[left] = new
+        if not moves.any():
+            break
+        if not moves.all():
+            p = p[np.repeat(moves, n)]
+        left, n, pi = left[moves], n[moves], new[moves]
+    return out
 
 
 def _log_likelihood(p: np.ndarray, pi: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -109,16 +123,21 @@ def _log_likelihood(p: np.ndarray, pi: np.ndarray, doc: np.ndarray, first: np.nd
 
 def proportions(texts: list[str | None], model: MixtureModel) -> np.ndarray:
     """documents x languages: the proportions within the chosen set; zeros for a text without letters."""
-    out = np.zeros((len(texts), len(model.languages)))
+    return mixtures(texts, model)[0]
+
+
+def mixtures(texts: list[str | None], model: MixtureModel) -> tuple[np.ndarray, np.ndarray]:
+    """documents x languages: the proportions within the chosen set, and those over all languages; zeros for a text without letters."""
+    out, whole = np.zeros((2, len(texts), len(model.languages)))
     bucket, letter_doc, starts = _trigrams(texts)
     if not len(starts) or not model.languages:
-        return out
+        return out, whole
     log_p = np.add.reduceat(model.log_p[bucket], starts, axis=0).astype(np.float64)
     p = np.exp(np.maximum(log_p - log_p.max(1, keepdims=True), -60))
     present, first, n = np.unique(letter_doc[starts], return_index=True, return_counts=True)
     doc = np.repeat(np.arange(len(present)), n)
     k = p.shape[1]
-    pi = _mixtures(p, np.full((len(present), k), 1 / k), doc, first, n, ROUNDS)
+    pi = _mixtures(p, np.full((len(present), k), 1 / k), n)
     order = np.argsort(-pi, axis=1, kind="stable")
     every = np.arange(len(present))
     best = np.zeros_like(pi)
@@ -133,19 +152,21 @@ def proportions(texts: list[str | None], model: MixtureModel) -> np.ndarray:
         words = np.concatenate([np.arange(first[d], first[d] + n[d]) for d in open_])
         own, begin = np.repeat(np.arange(len(open_)), n[open_]), np.r_[0, np.cumsum(n[open_])[:-1]]
         some = np.where(np.argsort(order[open_], axis=1) < m, np.maximum(pi[open_], 1e-6), 0)
-        some = _mixtures(p[words], some / some.sum(1, keepdims=True), own, begin, n[open_], REFINING_ROUNDS)
+        some = _mixtures(p[words], some / some.sum(1, keepdims=True), n[open_])
         value = -2 * _log_likelihood(p[words], some, own, begin) + m * penalty[open_]
         better = value < bic[open_]
         best[open_[better]], bic[open_[better]] = some[better], value[better]
-    out[present] = best
-    return out
+    out[present], whole[present] = best, pi
+    return out, whole
 
 
 def with_language(docs: DataFrame, model: MixtureModel, *, text_col: str = "text") -> DataFrame:
     """Add lang_pred, score and mixture to every row; they replace columns of these names.
 
     ``mixture`` maps the chosen languages to their proportions; ``lang_pred`` is
-    that of the largest (ties: the first by name) and ``score`` its proportion.
+    that of the largest (ties: the first by name), and ``score`` its proportion in
+    the mixture of all languages, before the set was chosen: below 1 where other
+    languages explain some words as well.
     A null text, one without letters, or any text under a model without
     languages is ``und`` with score 0 and an empty mixture. The whole text is
     read and nothing but the text counts. Memory: a slice of about half a MB of text
@@ -160,10 +181,10 @@ def with_language(docs: DataFrame, model: MixtureModel, *, text_col: str = "text
         names = shared.value.languages
         for part in pieces(texts, SLICE_BYTES):
             rows = []
-            for row in proportions(part.to_pylist(), shared.value):
+            for row, all_ in zip(*mixtures(part.to_pylist(), shared.value)):
                 used = np.flatnonzero(row).tolist()
                 best = int(row.argmax()) if used else 0
-                rows.append({"lang_pred": names[best] if used else UNDETERMINED, "score": min(1.0, float(row[best])) if used else 0.0, "mixture": [(names[j], float(row[j])) for j in used]})
+                rows.append({"lang_pred": names[best] if used else UNDETERMINED, "score": min(1.0, float(all_[best])) if used else 0.0, "mixture": [(names[j], float(row[j])) for j in used]})
             yield pa.array(rows, to)
 
     # Called once a row: Spark doesn't copy what it takes for nondeterministic into filters and projections.

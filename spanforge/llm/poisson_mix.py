@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import materialize
@@ -17,16 +17,19 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def _cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until what is left is below 2**-53; by logarithms, so large rates don't underflow."""
-    last = F.ceil(rate + 10 * F.sqrt(rate) + 25).cast("int")
-    start = F.struct((-rate).alias("log_p"), F.array(F.exp(-rate)).alias("cdf"))
+def _cdfs(rates: DataFrame) -> DataFrame:
+    """(source, cdf): P(X <= k) for k = 0, 1, ... until what is left is below 2**-53; by logarithms, so large rates don't underflow.
 
-    def add(acc: Column, k: Column) -> Column:
-        log_p = acc["log_p"] + F.log(rate) - F.log(k.cast("double"))
-        return F.struct(log_p.alias("log_p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + F.exp(log_p))).alias("cdf"))
-
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, add)["cdf"]).otherwise(F.array(F.lit(1.0)))
+    A source has about rate + 10 * sqrt(rate) + 25 of them: running sums over that many rows.
+    """
+    rate, k = F.col("rate"), F.col("k")
+    last = F.when(rate > 0, F.ceil(rate + 10 * F.sqrt(rate) + 25)).otherwise(0).cast("int")
+    upto = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rates.select("source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    factorial = F.sum(F.when(k > 0, F.ln(k.cast("double"))).otherwise(0.0)).over(upto)
+    p = F.when(rate > 0, F.exp(-rate + k * F.ln(rate) - factorial)).otherwise(1.0)
+    summed = rows.withColumn("p", p).withColumn("c", F.sum("p").over(upto))
+    return summed.groupBy("source").agg(F.array_sort(F.collect_list("c")).alias("cdf"))
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, *, source_col: str = "source", temperature: float = TEMPERATURE, size: float = 1.0) -> DataFrame:
@@ -36,7 +39,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, *, source_co
     source. Without ``weights`` (source, weight) a source weighs n_docs **
     temperature; sources missing from ``weights`` weigh nothing.
     """
-    counted = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n_docs"))
+    counted = docs.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.count("*").alias("n_docs"))
     if weights is None:
         weighed = counted.withColumn("weight", F.pow(F.col("n_docs").cast("double"), F.lit(temperature)))
     else:
@@ -71,7 +74,7 @@ def mix_sources(
     empty table gives no rows; texts are not read.
     """
     rates = source_rates(docs, weights, source_col=source_col, temperature=temperature, size=size)
-    rates = rates.select(F.col("source").alias("__source"), _cdf(F.col("rate")).alias("__cdf"))
+    rates = _cdfs(rates).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
     rates = materialize(rates, "poisson-cdf")  # a row for each source
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     u = uniform(F.lit(f"count:{seed}"), key)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,16 +33,17 @@ def _field(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
 
 
-def _header(min_bytes: int) -> Column:
+def _header(min_bytes: int, date: str) -> Column:
     page, owner = F.col("page_id").cast("string"), F.col("owner").cast("string")
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
     digest = _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1")))
     revisit = (F.col("n_bytes") >= min_bytes) & (F.col("owner") != F.coalesce("page_id", F.col("owner") - 1))
-    identity = F.when(F.col("page_id").isNotNull(), _field("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(">"))))
+    identity = F.when(F.col("page_id").isNotNull(), F.concat(F.lit("page:"), page)).otherwise(F.concat(F.lit("uuid:"), F.expr("uuid()")))
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
         _field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        F.coalesce(identity, F.lit("")),
+        _field("WARC-Record-ID", F.concat(F.lit("<urn:"), identity, F.lit(">"))),
+        _field("WARC-Date", F.lit(date)),
         _field("WARC-Target-URI", url),
         digest,
         F.when(
@@ -65,6 +67,7 @@ def write_archive(
     url_col: str = "url",
     payload_col: str = "html",
     min_revisit_bytes: int = MIN_REVISIT_BYTES,
+    date: str | None = None,
 ) -> Archive:
     """Write one record per row of ``pages``.
 
@@ -72,15 +75,19 @@ def write_archive(
     with equal payloads of at least ``min_revisit_bytes`` the one with the
     largest id is the response and the others revisit it; rows that repeat that
     very id are all responses, and rows without an id revisit it. If no row of
-    the group has an id, all are responses. Line breaks in a url are escaped.
+    the group has an id, all are responses. Line breaks in a url are escaped. A
+    record's id is its row's id, or a random UUID where that is null; rows that
+    repeat an id repeat it. All records carry one ``date`` (ISO 8601, UTC), by
+    default the time of this call, as rows say no time of capture.
     Other columns are not read. An empty table gives an empty archive.
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     source = pages.select(
-        F.col(id_col).alias("page_id"),
-        F.col(url_col).alias("url"),
-        F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"),
+        F.col(f"`{id_col}`").alias("page_id"),
+        F.col(f"`{url_col}`").alias("url"),
+        F.encode(F.coalesce(F.col(f"`{payload_col}`"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("sha256", F.sha2("payload", 256))
     # Copies meet on the map side first, so that a hot payload is shuffled once a task.
     stored = source.groupBy("sha256").agg(F.any_value("payload").alias("payload"), F.max("page_id").alias("owner"))
@@ -90,7 +97,7 @@ def write_archive(
     headed = (
         source.select("page_id", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes"))
         .join(owners, "sha256")
-        .select("page_id", "sha256", F.encode(_header(min_revisit_bytes), "UTF-8").alias("header"))
+        .select("page_id", "sha256", F.encode(_header(min_revisit_bytes, date), "UTF-8").alias("header"))
     )
     headed.write.parquet(archive.records)
     return archive

@@ -1,12 +1,13 @@
 """Language mixtures on made-up languages: held-out accuracy, mixtures, and edge cases."""
 
+import itertools
 import random
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from spanforge.llm.language_mixture import BUCKETS, MixtureModel, _trigrams, held_out, learn, proportions, with_language
+from spanforge.llm.language_mixture import BUCKETS, MixtureModel, _trigrams, held_out, learn, mixtures, proportions, with_language
 
 SYLLABLES = {"aa": "ba be bi bo bu na ne".split(), "bb": "ské tro čra vy ně hr".split(), "cc": "дом лес ква сто на".split()}
 
@@ -61,3 +62,27 @@ def test_ties_and_no_model(spark):
     none = MixtureModel((), np.zeros((BUCKETS, 0), np.float32))
     df = spark.createDataFrame([(1, "abc")], "doc_id bigint, text string")
     assert with_language(df, none).first().lang_pred == "und"
+
+
+def test_mixtures_against_all_sets_of_languages(spark):
+    """EM by plain loops until nothing moves, and the least penalised likelihood of every set of languages."""
+    model, rng = learn(spark.createDataFrame(rows(), "doc_id bigint, text string, lang string")), random.Random(5)
+    texts = [" ".join(text(rng, lang, n) for lang, n in zip(SYLLABLES, [rng.choice((0, 0, 3, 8, 20, 60)) for _ in range(3)])) + " ba" for _ in range(40)]
+    got, whole = mixtures(texts, model)
+    for t, row, all_ in zip(texts, got, whole):
+        words = []
+        for w in t.split():
+            bucket, _, _ = _trigrams([w])
+            words.append(model.log_p[bucket].astype(float).sum(0))
+        p = np.array(words)
+        p = np.exp(np.maximum(p - p.max(1, keepdims=True), -60))
+        found = {}
+        for m in (1, 2, 3):
+            for chosen in itertools.combinations(range(3), m):
+                pi = np.array([1 / m if k in chosen else 0.0 for k in range(3)])
+                for _ in range(3000):
+                    pi = (p * pi / (p * pi).sum(1, keepdims=True)).mean(0)
+                found[chosen] = (-2 * np.log((p * pi).sum(1)).sum() + m * np.log(max(2, len(p))), pi)
+        best = min(found, key=lambda c: found[c][0])
+        assert set(np.flatnonzero(row).tolist()) == set(best) and np.abs(row - found[best][1]).max() < 0.01
+        assert np.abs(all_ - found[0, 1, 2][1]).max() < 0.01

@@ -35,6 +35,8 @@ def test_archive_round_trip(spark, tmp_path):
         assert r.record_type == ("revisit" if revisit else "response")
         assert r.refers_to == (2 if revisit else None)
         head, _, body = bytes(r.record).partition(b"\r\n\r\n")
+        assert re.search(rb"\r\nWARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", head + b"\r\n")
+        assert re.search(rb"\r\nWARC-Record-ID: <urn:page:%d>\r\n" % page if page is not None else rb"\r\nWARC-Record-ID: <urn:uuid:[0-9a-f-]{36}>\r\n", head + b"\r\n")
         assert head.startswith(b"WARC/1.1\r\n") and bytes(r.header) == head + b"\r\n\r\n"
         assert int(re.search(rb"Content-Length: (\d+)", head)[1]) == (0 if revisit else len(data))
         assert body == (b"" if revisit else data) + b"\r\n\r\n"
