@@ -22,16 +22,21 @@ from spanforge.llm.warc_archive import MIN_REVISIT_BYTES, read_archive, write_ar
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     stored = materialize(with_media(docs).select("doc_id", "n_bytes", "media"), "media")
-    return with_pictures(stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})).select(
+    read = with_pictures(stored).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
-        "media_bytes",
-        "media_sha256",
-        F.concat("height", F.lit("x"), "width", F.lit("x3:"), F.lpad(F.lower(F.hex(F.crc32("rgb"))), 8, "0")).alias("feature"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "height",
+        "width",
+        "rgb",
     )
+    # The tensors are a table too; the feature is computed from what is read back.
+    feature = F.concat("height", F.lit("x"), "width", F.lit("x3:"), F.lpad(F.lower(F.hex(F.crc32("rgb"))), 8, "0"))
+    return materialize(read, "rgb-tensors").withColumn("feature", feature).drop("height", "width", "rgb")
 
 
 def op2_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
