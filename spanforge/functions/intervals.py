@@ -23,8 +23,8 @@ def acceptable_end() -> Column:
     return F.coalesce("env_end", "end_byte")
 
 
-def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """The union of the ranges of each key, as disjoint ranges; touching ones merge.
+def merge_ranges(ranges: DataFrame, keys: list[str], counted: bool = False) -> DataFrame:
+    """The union of the ranges of each key, as disjoint ranges; touching ones merge. ``counted`` adds n, the ranges merged into each.
 
     A range starts a new one if it begins after all that began before it have ended.
     """
@@ -34,7 +34,8 @@ def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
     numbered = ranges.select(*keys, "start_byte", "end_byte", opens.alias("opens")).withColumn(
         "island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
-    return numbered.groupBy(*keys, "island").agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte")).drop("island")
+    n = [F.count("*").alias("n")] if counted else []
+    return numbered.groupBy(*keys, "island").agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), *n).drop("island")
 
 
 def shared_bytes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

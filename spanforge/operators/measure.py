@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.functions.intervals import acceptable_end, acceptable_start, bytes_outside, contains, merge_ranges, overlaps, shared_bytes
+from spanforge.functions.intervals import acceptable_end, acceptable_start, contains, merge_ranges, overlaps, shared_bytes
 
 OUTCOMES = ("EXACT", "COVERED", "OVERBROAD", "PARTIAL", "MISS")
 KEY = ["scanner", "case_id"]
@@ -43,16 +43,22 @@ def last_wins(findings: DataFrame) -> DataFrame:
     return found.select(*KEY, "start_byte", "end_byte", *[F.col(f"last.{c}").alias(c) for c in rest])
 
 
+def _on_scanners(df: DataFrame, scanners: DataFrame) -> DataFrame:
+    """Each row once for each scanner, placed by scanner and case: all joins and groups by these follow without another shuffle."""
+    return df.crossJoin(scanners.select("scanner")).repartition(*KEY)
+
+
 def span_outcomes(spans: DataFrame, findings: DataFrame, scanners: DataFrame) -> DataFrame:
     """(scanner, span columns, outcome) for each secret span and scanner.
 
     An equal finding is EXACT; else a containing one within the envelope is
     COVERED and one beyond it OVERBROAD; else an overlapping one is PARTIAL and
     none a MISS. The equi-join on text and scanner carries the range condition
-    as a residual; four maxima decide, which combine before the shuffle.
+    as a residual; four maxima decide.
     """
-    asked = spans.where("role = 'secret'").crossJoin(F.broadcast(scanners.select("scanner")))
-    f = findings.select(F.col("scanner").alias("f_scanner"), F.col("case_id").alias("f_case"), F.col("start_byte").alias("f_start"), F.col("end_byte").alias("f_end"))
+    asked = _on_scanners(spans.where("role = 'secret'"), scanners)
+    f = findings.select(*KEY, F.col("start_byte").alias("f_start"), F.col("end_byte").alias("f_end")).repartition(*KEY)
+    f = f.select(F.col("scanner").alias("f_scanner"), F.col("case_id").alias("f_case"), "f_start", "f_end")
     s, e, fs, fe = (F.col(c) for c in ("start_byte", "end_byte", "f_start", "f_end"))
     joined = asked.join(f, (F.col("scanner") == F.col("f_scanner")) & (F.col("case_id") == F.col("f_case")) & overlaps(s, e, fs, fe), "left")
     inside = contains(fs, fe, s, e)
@@ -67,62 +73,81 @@ def span_outcomes(spans: DataFrame, findings: DataFrame, scanners: DataFrame) ->
 
 
 def positive_measurements(spans: DataFrame, findings: DataFrame, scanners: DataFrame) -> DataFrame:
-    """For each scanner and text with a secret: its outcomes, leaked bytes (of leaking spans) and collateral bytes (outside all acceptable ranges)."""
-    outcomes = span_outcomes(spans, findings, scanners)
-    leaking = shared_bytes(outcomes, merge_ranges(findings, KEY), KEY)
-    secrets = findings.select(*KEY, "start_byte", "end_byte").join(
-        spans.where("role = 'secret'").select("case_id", "start_byte", "end_byte"), ["case_id", "start_byte", "end_byte"], "left_anti"
-    )
-    accepted = spans.crossJoin(F.broadcast(scanners.select("scanner"))).select(*KEY, acceptable_start().alias("start_byte"), acceptable_end().alias("end_byte"))
-    collateral = bytes_outside(findings, accepted, KEY).withColumnRenamed("outside", "collateral_bytes")
-    width = F.col("end_byte") - F.col("start_byte")
-    measured = leaking.groupBy(*KEY).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_idx", "outcome"))), lambda x: x["outcome"]), ",").alias("span_outcomes"),
-        F.count("*").alias("spans"),
-        *[F.sum((F.col("outcome") == o).cast("long")).alias(o.lower()) for o in OUTCOMES],
-        F.sum(width).alias("secret_bytes"),
+    """For each scanner and text with a secret: its outcomes, leaked bytes (of leaking spans) and collateral bytes (outside all acceptable ranges).
+
+    The union of a text's findings is made once and meets spans and acceptable
+    ranges in one join; the union of acceptable ranges is made once a case.
+    """
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("env_start", "env_end")]
+    islands = merge_ranges(findings.repartition(*KEY), KEY, counted=True)
+    accepted = merge_ranges(spans.select("case_id", acceptable_start().alias("start_byte"), acceptable_end().alias("end_byte")), ["case_id"])
+    accepted = _on_scanners(accepted, scanners).select(*KEY, F.lit(None).cast("int").alias("span_idx"), "start_byte", "end_byte", *none, F.lit(None).cast("string").alias("outcome"))
+    secrets = span_outcomes(spans, findings, scanners)
+    shared = shared_bytes(secrets.select(*accepted.columns).unionByName(accepted).repartition(*KEY), islands, KEY)
+    width, own = F.col("end_byte") - F.col("start_byte"), F.col("outcome").isNotNull()
+    measured = shared.groupBy(*KEY).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(own, F.struct("span_idx", "outcome")))), lambda x: x["outcome"]), ",").alias("span_outcomes"),
+        F.sum(own.cast("long")).alias("spans"),
+        *[F.sum(F.coalesce(F.col("outcome") == o, F.lit(False)).cast("long")).alias(o.lower()) for o in OUTCOMES],
+        F.sum(F.when(own, width)).alias("secret_bytes"),
         F.sum(F.when(is_leaked(F.col("outcome")), width - F.col("shared")).otherwise(0)).alias("leaked_bytes"),
         F.count("env_start").alias("envelope_spans"),
         F.coalesce(F.sum(F.col("env_end") - F.col("env_start") - width), F.lit(0)).alias("envelope_bytes"),
+        F.sum(F.when(own, 0).otherwise(F.col("shared"))).alias("accepted_bytes"),
+        F.size(F.collect_set(F.when(F.col("outcome") == "EXACT", F.struct("start_byte", "end_byte")))).cast("long").alias("hits"),
     )
-    spurious = secrets.groupBy(*KEY).agg(F.count("*").alias("fp"))
-    return measured.join(collateral, KEY, "left").join(spurious, KEY, "left").fillna(0, ["collateral_bytes", "fp"])
+    totals = islands.groupBy(*KEY).agg(F.sum(width).alias("found_bytes"), F.sum("n").alias("found"))
+    both = measured.where("spans > 0").join(totals, KEY, "left").fillna(0, ["found_bytes", "found"])
+    return both.withColumns({"collateral_bytes": F.col("found_bytes") - F.col("accepted_bytes"), "fp": F.col("found") - F.col("hits")}).drop("found_bytes", "accepted_bytes", "found", "hits")
 
 
-def control_measurements(controls: DataFrame, findings: DataFrame, scanners: DataFrame) -> DataFrame:
+def family_covers(finding: Column, scope: Column, coverage: DataFrame | None = None) -> Column:
+    """Whether a finding's family is the scope's: equal, or covered by one of its ``covers``, evidence ids or prefixes ending in a colon."""
+    same = finding == scope
+    return F.coalesce(same if coverage is None else same | F.exists(F.col("covers"), lambda c: (c == scope) | (c.endswith(":") & scope.startswith(c))), F.lit(False))
+
+
+def control_measurements(controls: DataFrame, findings: DataFrame, scanners: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
     """For each scanner and control: findings, whether flagged, and whether only another known family was detected.
 
     A control with a scope (the family of its twin) is flagged by a finding of
     no family or of the scope; one of another known family is a co-detection.
     ``sibling``, if there, is a family whose findings are co-detections too,
     whatever the scope. A control without scope is flagged by any finding.
+    ``coverage`` (family, covers: array<string>) names the families that stand
+    for several evidence ids; they are the scope's where one of these is it.
     """
     scope = F.col("scope") if "scope" in controls.columns else F.lit(None).cast("string")
     sibling = F.col("sibling") if "sibling" in controls.columns else F.lit(None).cast("string")
-    asked = controls.select("case_id", scope.alias("scope"), sibling.alias("sibling")).crossJoin(F.broadcast(scanners.select("scanner")))
-    f = findings.select("scanner", "case_id", F.col("family").alias("f_family"), "action", F.lit(1).alias("hit"))
-    joined = asked.join(f, KEY, "left")
-    other = F.col("hit").isNotNull() & F.col("scope").isNotNull() & F.col("f_family").isNotNull() & ((F.col("f_family") != F.col("scope")) | F.coalesce(F.col("f_family") == F.col("sibling"), F.lit(False)))
-    actions = joined.where("action is not null").groupBy(*KEY, "action").agg(F.count("*").alias("n"))
-    actions = actions.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("action", "n"))), lambda x: F.concat_ws(":", x["action"], x["n"])), ",").alias("action_counts"))
-    counted = joined.groupBy(*KEY).agg(F.count("hit").alias("findings"), F.sum(other.cast("long")).alias("other"))
-    return counted.join(actions, KEY, "left").select(
-        *KEY, "findings", (F.col("other") < F.col("findings")).alias("flagged"), (F.col("other") > 0).alias("co_detected"), "action_counts"
-    )
-
-
-def score_cases(cases: DataFrame, spans: DataFrame, findings: DataFrame, scanners: DataFrame, unmeasured: DataFrame) -> DataFrame:
+    asked = _on_scanners(controls.select("case_id", scope.alias("scope"), sibling.alias("sibling")), scanners)
+    f = findings.select(*KEY, F.col("family").alias("f_family"), "action", F.lit(1).alias("hit"))
+    if coverage is not None:
+        f = f.join(coverage.select(F.col("family").alias("f_family"), "covers"), "f_family", "left")
+    joined = asked.join(f.repartition(*KEY), KEY, "left")
+    family = F.col("f_family")
+    other = F.col("hit").isNotNull() & F.col("scope").isNotNull() & family.isNotNull() & (~family_covers(family, F.col("scope"), coverage) | family_covers(family, F.col("sibling"), coverage))
+    actions = joined.groupBy(*KEY, "action").agg(F.count("hit").alias("n"), F.sum(other.cast("long")).alias("other"))
+    named = F.transform(F.array_sort(F.collect_list(F.when(F.col("action").isNotNull(), F.struct("action", "n")))), lambda x: F.concat_ws(":", x["action"], x["n"]))
+    counted = actions.groupBy(*KEY).agg(F.sum("n").alias("findings"), F.sum("other").alias("other"), F.when(F.count("action") > 0, F.array_join(named, ",")).alias("action_counts"))
+    return counted.select(*KEY, "findings", (F.col("other") < F.col("findings")).alias("flagged"), (F.col("other") > 0).alias("co_detected"), "action_counts")
+
+
+def score_cases(cases: DataFrame, spans: DataFrame, findings: DataFrame, scanners: DataFrame, unmeasured: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
     """One row for each scanner and case, with a measurement type: not-measured, then pending (T0), control or positive.
 
-    A scanner that didn't complete measures nothing: its rows are not-measured, never misses.
+    A scanner that didn't complete measures nothing: its rows are not-measured,
+    never misses. A twin's ``sibling`` family, where cases have that column, is
+    a co-detection.
     """
     complete = scanners.where("status = 'complete'")
-    found = dedupe_findings(findings)
+    found = dedupe_findings(findings.repartition(*KEY))
     positive = positive_measurements(spans, found, complete)
-    controls = cases.where("kind = 'must-not-flag'").select("case_id", F.when(F.col("twin_of").isNotNull(), F.col("family")).alias("scope"))
-    control = control_measurements(controls, found, complete)
-    rows = cases.crossJoin(F.broadcast(scanners))
-    rows = rows.join(unmeasured.select(*KEY, F.lit(True).alias("unmapped")), KEY, "left")
+    sibling = F.col("sibling") if "sibling" in cases.columns else F.lit(None).cast("string")
+    twin = F.col("twin_of").isNotNull()
+    controls = cases.where("kind = 'must-not-flag'").select("case_id", F.when(twin, F.col("family")).alias("scope"), F.when(twin, sibling).alias("sibling"))
+    control = control_measurements(controls, found, complete, coverage)
+    rows = cases.crossJoin(scanners.select("scanner", "status")).repartition(*KEY)
+    rows = rows.join(unmeasured.select(*KEY).distinct().withColumn("unmapped", F.lit(True)), KEY, "left")
     kind = (
         F.when((F.col("status") != "complete") | F.coalesce("unmapped", F.lit(False)), "not-measured")
         .when(F.col("tier") == "T0", "pending")
@@ -135,7 +160,7 @@ def score_cases(cases: DataFrame, spans: DataFrame, findings: DataFrame, scanner
     only_control = [c for c in control.columns if c not in KEY]
     shown = lambda c, kind: F.when(F.col("measurement_type") == kind, F.col(c)).alias(c)
     return rows.select(
-        *KEY, *[c for c in cases.columns if c != "case_id"], "measurement_type", *[shown(c, "positive") for c in only_positive], *[shown(c, "control") for c in only_control]
+        *KEY, *[c for c in cases.columns if c not in ("case_id", "sibling")], "measurement_type", *[shown(c, "positive") for c in only_positive], *[shown(c, "control") for c in only_control]
     )
 
 

@@ -56,8 +56,8 @@ def differential(variants: DataFrame, findings: DataFrame, scanners: DataFrame,
         F.max(F.col("unmapped") | (F.size("families") == 0)).alias("unclassed"),
     )
     status = {name: scanners.where(F.col("scanner") == reference) if name == "r" else scanners.where(F.col("scanner") != reference) for name in "rp"}
-    pairs = status["p"].select(F.col("scanner").alias("peer"), F.col("status").alias("p_status")).crossJoin(F.broadcast(status["r"].select(F.col("status").alias("r_status"))))
-    rows = variants.select("case_id").crossJoin(F.broadcast(pairs))
+    pairs = status["p"].select(F.col("scanner").alias("peer"), F.col("status").alias("p_status")).crossJoin(status["r"].select(F.col("status").alias("r_status")))
+    rows = variants.select("case_id").crossJoin(pairs)
     missing = unmeasured.select("scanner", "case_id").distinct()
     rows = rows.join(missing.where(F.col("scanner") == reference).select("case_id", F.lit(True).alias("r_gone")), "case_id", "left")
     rows = rows.join(missing.select("case_id", F.col("scanner").alias("peer"), F.lit(True).alias("p_gone")), ["case_id", "peer"], "left")
@@ -100,22 +100,27 @@ def review_state(queue: DataFrame, ledger: DataFrame) -> DataFrame:
     return joined.groupBy("kind").agg(F.count("*").alias("entries"), *counts, F.min(F.when(F.col("state") == "open", F.col("first_seen"))).alias("oldest_open"))
 
 
-def replay_sets(findings: DataFrame) -> DataFrame:
-    """(scanner, divergent_cases): cases whose set of findings isn't the same in all replays."""
-    n = findings.select("scanner", "replay").distinct().groupBy("scanner").agg(F.count("*").alias("replays"))
-    seen = findings.select(*KEY, "start_byte", "end_byte", "replay").distinct().groupBy(*KEY, "start_byte", "end_byte").agg(F.count("*").alias("n"))
-    return seen.join(F.broadcast(n), "scanner").where("n < replays").groupBy("scanner").agg(F.count_distinct("case_id").alias("divergent_cases"))
+FINDING = [*KEY, "start_byte", "end_byte", "family", "action"]
 
 
-def replay_multisets(findings: DataFrame) -> DataFrame:
-    """(scanner, case_id) whose findings aren't reported equally often in every replay as in replay 0."""
-    counted = findings.groupBy(*KEY, "start_byte", "end_byte", "replay").agg(F.count("*").alias("n"))
-    first = counted.where("replay = 0").drop("replay").withColumnRenamed("n", "first")
-    later = findings.where("replay > 0").select("scanner", "replay").distinct()
-    expected = first.join(F.broadcast(later), "scanner")
-    keys = [*KEY, "start_byte", "end_byte", "replay"]
-    both = expected.join(counted.where("replay > 0"), keys, "full_outer")
-    return both.where("not (first <=> n)").select(*KEY).distinct()
+def _replay_counts(findings: DataFrame, replays: DataFrame) -> DataFrame:
+    """Each whole finding with how often the replays report it (least, most), in how many of them (seen), and how many there are."""
+    n = replays.select("scanner", "replay").distinct().groupBy("scanner").agg(F.count("*").alias("replays"))
+    counted = findings.groupBy(*FINDING, "replay").agg(F.count("*").alias("n"))
+    return counted.groupBy(*FINDING).agg(F.count("*").alias("seen"), F.min("n").alias("least"), F.max("n").alias("most")).join(n, "scanner")
+
+
+def replay_sets(findings: DataFrame, replays: DataFrame) -> DataFrame:
+    """(scanner, divergent_cases): cases whose set of whole findings (range, family and action) isn't the same in all replays.
+
+    ``replays`` (scanner, replay) is the roster: a replay that found nothing is one too.
+    """
+    return _replay_counts(findings, replays).where("seen < replays").groupBy("scanner").agg(F.count_distinct("case_id").alias("divergent_cases"))
+
+
+def replay_multisets(findings: DataFrame, replays: DataFrame) -> DataFrame:
+    """(scanner, case_id) whose whole findings aren't reported equally often in every replay of the roster."""
+    return _replay_counts(findings, replays).where("seen < replays or least < most").select(*KEY).distinct()
 
 
 def mutation_cases(cases: DataFrame) -> DataFrame:

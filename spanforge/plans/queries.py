@@ -11,6 +11,7 @@ from spanforge.functions import canonical, codecs, intervals, numeric, text
 from spanforge.operators import accounting, measure, methods, perf, representation, variants
 from spanforge.plans import runs
 from spanforge.plans.standin import CORPUS_SQL, SCORED_SQL, corpus, table
+from spanforge.sources.store import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,8 +34,8 @@ def query(sql: str | None = None, scored: bool = False, corpus_sql: bool = False
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
-    return measure.score_cases(c.cases, c.spans, c.findings, c.scanners, c.unmeasured)
+    """The case results as a table: accounting reads them several times."""
+    return materialize(score_cases(spark, sf_dir), "case-results")
 
 
 def _complete(c) -> DataFrame:
@@ -59,7 +60,7 @@ def interval_union(spark, sf_dir):
 @query("SELECT scanner, case_id, collateral_bytes AS outside FROM outside", scored=True)
 def bytes_outside(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    accepted = c.spans.crossJoin(F.broadcast(_complete(c).select("scanner"))).select(
+    accepted = c.spans.crossJoin(_complete(c).select("scanner")).select(
         *measure.KEY, intervals.acceptable_start().alias("start_byte"), intervals.acceptable_end().alias("end_byte")
     )
     return intervals.bytes_outside(c.findings, accepted, measure.KEY)
@@ -117,7 +118,8 @@ def classify_ranges(spark, sf_dir):
 
 @query("SELECT * FROM scored", scored=True)
 def score_cases(spark, sf_dir):
-    return _scored(spark, sf_dir)
+    c = corpus(spark, sf_dir)
+    return measure.score_cases(c.cases, c.spans, c.findings, c.scanners, c.unmeasured)
 
 
 @query("SELECT scanner, measurement_type, count(*) AS cases FROM scored GROUP BY scanner, measurement_type", scored=True)
@@ -326,11 +328,13 @@ def absolute_assertions(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ASSERTED_SQL}, r AS (SELECT *, coalesce(span_outcomes, CAST(flagged AS VARCHAR), '') AS reading FROM asserted WHERE status <> 'not-measured')
-        SELECT v.scanner, v.seed, v.variant, CASE WHEN v.variant = 3 THEN 'must-flip' ELSE 'same-detection' END AS relation,
-        CASE WHEN v.status = 'review-required' OR b.status = 'review-required' THEN 'review-required'
-            WHEN v.status = 'pass' AND b.status = 'pass' AND CASE WHEN v.variant = 3 THEN b.has_secret AND NOT v.has_secret ELSE v.reading = b.reading END THEN 'pass' ELSE 'fail' END AS status
-        FROM r v JOIN r b ON b.scanner = v.scanner AND b.seed = v.seed AND b.variant = 0 WHERE v.variant > 0""",
+    f"""WITH {ASSERTED_SQL}, r AS MATERIALIZED (SELECT scanner, seed, variant, status, has_secret, coalesce(span_outcomes, CAST(flagged AS VARCHAR), '') AS reading FROM asserted WHERE status <> 'not-measured'),
+        v AS (SELECT *, max(CASE WHEN variant = 0 THEN 1 ELSE 0 END) OVER w AS based, max(CASE WHEN variant = 0 THEN status END) OVER w AS b_status,
+            max(CASE WHEN variant = 0 THEN reading END) OVER w AS b_reading, bool_or(variant = 0 AND has_secret) OVER w AS b_secret FROM r WINDOW w AS (PARTITION BY scanner, seed))
+        SELECT scanner, seed, variant, CASE WHEN variant = 3 THEN 'must-flip' ELSE 'same-detection' END AS relation,
+        CASE WHEN status = 'review-required' OR b_status = 'review-required' THEN 'review-required'
+            WHEN status = 'pass' AND b_status = 'pass' AND CASE WHEN variant = 3 THEN b_secret AND NOT has_secret ELSE reading = b_reading END THEN 'pass' ELSE 'fail' END AS status
+        FROM v WHERE variant > 0 AND based = 1""",
     scored=True,
 )
 def relation_assertions(spark, sf_dir):
@@ -411,23 +415,29 @@ def review_state(spark, sf_dir):
     return methods.review_state(queue, ledger)
 
 
+def _replays(spark: SparkSession, c) -> DataFrame:
+    return _complete(c).select("scanner", F.explode(F.array(F.lit(0), F.lit(1))).alias("replay"))
+
+
 @query(
-    """WITH f AS (SELECT DISTINCT scanner, case_id, start_byte, end_byte, replay FROM findings), n AS (SELECT scanner, count(DISTINCT replay) AS n FROM findings GROUP BY scanner),
-        g AS (SELECT scanner, case_id, start_byte, end_byte, count(*) AS k FROM f GROUP BY ALL)
-        SELECT g.scanner, count(DISTINCT case_id) AS divergent_cases FROM g JOIN n ON n.scanner = g.scanner WHERE k < n.n GROUP BY g.scanner""",
+    """WITH f AS (SELECT DISTINCT scanner, case_id, start_byte, end_byte, family, action, replay FROM findings),
+        g AS (SELECT scanner, case_id, start_byte, end_byte, family, action, count(*) AS k FROM f GROUP BY ALL)
+        SELECT scanner, count(DISTINCT case_id) AS divergent_cases FROM g WHERE k < 2 GROUP BY scanner""",
     corpus_sql=True,
 )
 def replay_sets(spark, sf_dir):
-    return methods.replay_sets(corpus(spark, sf_dir).findings)
+    c = corpus(spark, sf_dir)
+    return methods.replay_sets(c.findings, _replays(spark, c))
 
 
 @query(
-    """WITH c AS (SELECT scanner, case_id, start_byte, end_byte, count(*) FILTER (replay = 0) AS a, count(*) FILTER (replay = 1) AS b FROM findings GROUP BY ALL)
+    """WITH c AS (SELECT scanner, case_id, start_byte, end_byte, family, action, count(*) FILTER (replay = 0) AS a, count(*) FILTER (replay = 1) AS b FROM findings GROUP BY ALL)
         SELECT DISTINCT scanner, case_id FROM c WHERE a <> b""",
     corpus_sql=True,
 )
 def replay_multisets(spark, sf_dir):
-    return methods.replay_multisets(corpus(spark, sf_dir).findings)
+    c = corpus(spark, sf_dir)
+    return methods.replay_multisets(c.findings, _replays(spark, c))
 
 
 @query("SELECT c.case_id, min(t.case_id) AS twin FROM cases c JOIN cases t ON t.twin_of = c.case_id WHERE c.kind <> 'must-not-flag' AND c.tier <> 'T0' GROUP BY c.case_id", corpus_sql=True)
@@ -492,7 +502,7 @@ def crlf_variants(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TOKENS_SQL}, c AS (SELECT *, CAST('0x' || substr(sha256('{{"operator":"lexical.prefix-change","seed":"' || case_id || '"}}'), 1, 12) AS BIGINT) % 25 AS choice FROM tokens),
+    f"""WITH {TOKENS_SQL}, c AS (SELECT *, CAST('0x' || substr(sha256('{{"seed":"' || case_id || '","operator":"lexical.prefix-change"}}'), 1, 12) AS BIGINT) % 25 AS choice FROM tokens),
         e AS (SELECT *, 'lexical.length-minus-one' AS operator, substr(v, 1, 35) AS value FROM c UNION ALL SELECT *, 'lexical.length-plus-one', v || 'A' FROM c
             UNION ALL SELECT *, 'lexical.replace-last', substr(v, 1, 35) || 'A' FROM c UNION ALL SELECT *, 'lexical.invalid-alphabet', substr(v, 1, 35) || '!' FROM c
             UNION ALL SELECT *, 'lexical.prefix-change', substr('ABCDEFGHIJKLMNOPQRSUVWXYZ', CAST(choice + 1 AS INT), 1) || substr(v, 2) FROM c)
@@ -505,7 +515,7 @@ def mutation_variants(spark, sf_dir):
 
 @query(
     """WITH v AS (SELECT o_orderkey AS case_id, string_split(CASE WHEN o_orderkey % 5 = 0 THEN 'single' ELSE 'a.b' || o_orderkey || '.c.d' END, '.') AS parts FROM orders),
-        i AS (SELECT *, 1 + CAST('0x' || substr(sha256('{"operator":"structural.remove-segment","seed":"' || case_id || '"}'), 1, 12) AS BIGINT) % (len(parts) - 1) AS index FROM v WHERE len(parts) >= 2)
+        i AS (SELECT *, 1 + CAST('0x' || substr(sha256('{"seed":"' || case_id || '","operator":"structural.remove-segment"}'), 1, 12) AS BIGINT) % (len(parts) - 1) AS index FROM v WHERE len(parts) >= 2)
         SELECT case_id, index, array_to_string(list_concat(parts[1:index], parts[index + 2:]), '.') AS value FROM i"""
 )
 def segment_variants(spark, sf_dir):
@@ -513,7 +523,7 @@ def segment_variants(spark, sf_dir):
     return variants.segment_variants(cases, ".")
 
 
-@query("""SELECT doc_id, CAST('0x' || substr(sha256('{"operator":"' || source || '","seed":"' || doc_id || '"}'), 1, 12) AS BIGINT) % 25 AS choice FROM documents""")
+@query("""SELECT doc_id, CAST('0x' || substr(sha256('{"seed":"' || doc_id || '","operator":"' || source || '"}'), 1, 12) AS BIGINT) % 25 AS choice FROM documents""")
 def seeded_choice(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", canonical.seeded_choice(F.col("doc_id").cast("string"), F.col("source"), F.lit(25)).alias("choice"))
 
@@ -605,7 +615,7 @@ def family_map(spark, sf_dir):
     rows = [(f"flag-{f}-{i}", f"family-{f}{i % 2}") for f in "AR" for i in range(4)]
     mapping = spark.createDataFrame(rows, "label string, family string")
     labels = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", F.lit("flag"), "l_returnflag", F.col("l_partkey") % 6).alias("label"))
-    return labels.join(F.broadcast(mapping), "label", "left").groupBy("label", F.coalesce("family", F.lit("~unrecognized")).alias("family")).agg(F.count("*").alias("findings"))
+    return labels.join(mapping, "label", "left").groupBy("label", F.coalesce("family", F.lit("~unrecognized")).alias("family")).agg(F.count("*").alias("findings"))
 
 
 @query(
