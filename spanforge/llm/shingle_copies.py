@@ -6,11 +6,13 @@ bits apart, from MinHash: documents with equal minima in all rows of a band
 share a bucket. A pair at similarity s misses all buckets with probability
 (1 - s**ROWS)**BANDS, 8e-5 at 0.8 and less above.
 
-Every candidate is compared with its bucket's first document by their whole
-sets. Where that makes a bucket one component, it is done. Of the others, those
-of up to ``MAX_BUCKET`` documents are compared pair by pair, and larger ones
-are banded again by other hash functions, which parts what is dissimilar;
-after ``LEVELS`` of that they are compared in blocks. Only verified pairs link.
+Of each bucket the document that shares most buckets with others is the centre.
+Every candidate is compared with the best of its centres, then, where a bucket
+isn't one component yet, with its centre there, by their whole sets. What is
+left over in a bucket (all but its largest component) is compared with the whole
+bucket in blocks if it is up to ``MAX_BUCKET`` documents; larger rests are banded
+again by other hash functions, which parts what is dissimilar, up to ``LEVELS``
+times. Only verified pairs link.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import join_hot, materialize, slices
+from spanforge.llm.common import discard, join_hot, materialize, slices
 from spanforge.llm.components import connected_components
 from spanforge.llm.simhash import RADIUS, keep_first, majority, near_fingerprints, row_key, text_key
 
@@ -33,6 +35,8 @@ BANDS, ROWS = 40, 7
 BLOCK = 2000
 MAX_BUCKET = 256
 LEVELS = 4
+#: Members of a bucket that its rest is compared with in one group.
+SLICE = 2048
 #: Comparisons with one document that go to one task.
 SHARE = 64
 
@@ -108,34 +112,6 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "digest binary, hashes binary")
 
 
-def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each set the first one of its component, over all pairs at ``similarity`` or more.
-
-    From each set that is reached, those not yet reached are compared; those that are linked leave.
-    """
-    sizes = np.array([len(s) for s in sets])
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    own = np.split(codes, np.cumsum(sizes)[:-1])
-    mark = np.zeros(codes.max() + 1, bool)
-    label, alive = np.arange(len(sets)), np.arange(len(sets))
-    while len(alive):
-        seed, alive = alive[0], alive[1:]
-        codes = codes[len(own[seed]) :]
-        reached = [seed]
-        while reached and len(alive):
-            at = reached.pop()
-            mark[own[at]] = True
-            n = sizes[alive]
-            both = np.add.reduceat(mark[codes], np.cumsum(n) - n, dtype=np.int64)
-            mark[own[at]] = False
-            near = both >= similarity * (sizes[at] + n - both) - 1e-9
-            if near.any():
-                label[alive[near]] = seed
-                reached += alive[near].tolist()
-                codes, alive = codes[np.repeat(~near, n)], alive[~near]
-    return label
-
-
 def _similar(a: Column, b: Column, similarity: float) -> Column:
     """Whether two packed sets are similar; sizes that forbid it aren't looked at."""
 
@@ -153,7 +129,7 @@ def _similar(a: Column, b: Column, similarity: float) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar. A document b with very many partners is sent once for each ``SHARE`` of them."""
+    """The pairs (a, b) that are similar, as a table. A document b with very many partners is sent once for each ``SHARE`` of them."""
     pairs = materialize(pairs, "shingle-pairs")
     partners = materialize(pairs.groupBy("b").agg(F.count("*").alias("n")), "shingle-partners")
     shares = F.ceil(F.col("n") / SHARE).cast("int")
@@ -161,39 +137,64 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     b = partners.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_hashes")), "b").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_hashes"))
     both = dealt.select("a", "b", "share").join(b.select("b", "share", "b_hashes"), ["b", "share"]).join(a, "a")
-    return both.where(_similar(F.col("a_hashes"), F.col("b_hashes"), similarity)).select("a", "b")
+    found = materialize(both.where(_similar(F.col("a_hashes"), F.col("b_hashes"), similarity)).select("a", "b"), "shingle-verified")
+    discard(pairs, partners)
+    return found
 
 
 def _compare(similarity: float):
-    """Over rows sorted by group: (a, b) with the components of each group's sets."""
+    """Over rows sorted by group, the rest before the members: a link (a, b) of each of the rest with each component that it reaches."""
 
     def run(batches):
-        group, found = None, {}
+        group, rest, members = None, {}, {}
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node")]
-            for k, (*g, node) in enumerate(zip(*columns)):
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "node", "root")]
+            for k, (*g, side, node, root) in enumerate(zip(*columns)):
                 if g != group:
-                    yield from labels(found)
-                    group, found = g, {}
-                found[node] = np.frombuffer(batch.column("hashes")[k].as_buffer(), np.uint64)
-        yield from labels(found)
-
-    def labels(found):
-        if len(found) > 1:
-            nodes = np.array(list(found), np.int64)
-            firsts = nodes[linked(list(found.values()), similarity)]
-            some = nodes != firsts
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(firsts[some])], ["a", "b"])
+                    yield from links(rest, members)
+                    group, rest, members = g, {}, {}
+                hashes = np.frombuffer(batch.column("hashes")[k].as_buffer(), np.uint64)
+                (members if side else rest)[node] = (root, hashes)
+        yield from links(rest, members)
+
+    def links(rest, members):
+        if not rest or not members:
+            return
+        names, roots = np.array(list(members), np.int64), np.array([r for r, _ in members.values()], np.int64)
+        sets = [h for _, h in members.values()]
+        sizes = np.array([len(h) for h in sets])
+        universe, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        mark, starts = np.zeros(len(universe), bool), np.cumsum(sizes) - sizes
+        a, b = [], []
+        for node, (root, own) in rest.items():
+            at = np.searchsorted(universe, own)
+            at = at[at < len(universe)]
+            at = at[np.isin(universe[at], own, assume_unique=True)]
+            mark[at] = True
+            both = np.add.reduceat(mark[codes], starts, dtype=np.int64)
+            mark[at] = False
+            near = np.flatnonzero((both >= similarity * (len(own) + sizes - both) - 1e-9) & (roots != root))
+            near = near[np.unique(roots[near], return_index=True)[1]]
+            a += [node] * len(near)
+            b += names[near].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links among the members (bucket, node, n) of each bucket: every pair of blocks of ``MAX_BUCKET`` sets is compared in a group of its own."""
-    blocks = F.ceil(F.col("n") / MAX_BUCKET).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node").join(sets, "node")
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare(similarity), "a bigint, b bigint")
+    """Links of the rest of each bucket with all its members: (bucket, node, root, is_rest, n, k), n members, k of them the rest.
+
+    Blocks of ``MAX_BUCKET`` of the rest meet slices of ``SLICE`` members, each pair of them in a group of its own.
+    """
+    blocks, parts = F.ceil(F.col("k") / MAX_BUCKET).cast("int"), F.ceil(F.col("n") / SLICE).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = ["bucket", "node", "root"]
+    rest = members.where("is_rest").select(*own, F.lit(0).alias("side"), place(blocks).alias("i"), upto(parts).alias("j"))
+    every = members.select(*own, F.lit(1).alias("side"), upto(blocks).alias("i"), place(parts).alias("j"))
+    rows = rest.unionByName(every).join(sets, "node")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side").mapInArrow(_compare(similarity), "a bigint, b bigint")
 
 
 def _bands(level: int):
@@ -205,10 +206,36 @@ def _bands(level: int):
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """(bucket, node, n, first): the rows of buckets with several nodes."""
+    """(bucket, node, degree, center): the rows of buckets with several nodes, one of buckets with the same nodes.
+
+    A node's degree is the number of rows that it shares buckets with, and a bucket's centre the node of the largest.
+    """
     keyed = materialize(keyed, "shingle-keys")
-    sizes = materialize(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"), "shingle-buckets")
-    return materialize(join_hot(keyed, sizes, "bucket"), "shingle-shared")
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64(F.lit("node"), "node").cast("decimal(38,0)")).alias("y")).where("n > 1")
+    sizes = materialize(sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "shingle-buckets")
+    shared = materialize(join_hot(keyed, sizes, "bucket"), "shingle-members")
+    degrees = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    shared_2 = materialize(shared.join(degrees, "node"), "shingle-degrees")
+    discard(keyed, sizes, shared)
+    centers = materialize(shared_2.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("center"), F.count("*").alias("n")), "shingle-centers")
+    out = materialize(join_hot(shared_2.select("bucket", "node", "degree"), centers, "bucket"), "shingle-shared")
+    discard(shared_2, centers)
+    return out
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _named(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, buckets): the rows of buckets of several components with their roots, and n and k of these buckets."""
+    named = materialize(shared.join(roots, "node", "left").select("bucket", "node", "center", F.coalesce("root", "node").alias("root")), "shingle-named")
+    parts = named.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("bucket").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = materialize(mixed.select("bucket", "n", "main", (F.col("n") - F.col("most")).alias("k")), "shingle-mixed")
+    members = materialize(join_hot(named, mixed, "bucket").withColumn("is_rest", F.col("root") != F.col("main")), "shingle-members")
+    discard(named)
+    return members, mixed
 
 
 def _links(distinct: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -220,36 +247,45 @@ def _links(distinct: DataFrame, rows: DataFrame, shingle: int, similarity: float
     ends = [holders.select(F.col("fp").alias(c), F.col("holder").alias(f"{c}_node")) for c in "ab"]
     near = near.join(ends[0], "a").join(ends[1], "b").select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
     near = materialize(near, "shingle-near")
-    stars = shared.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     nodes = shared.select("node").unionByName(near.select(F.col("a").alias("node"))).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(distinct.join(nodes, "node").select("node", "digest", "first.*"), "shingle-candidates")
     key = wanted.select(F.col("id").alias("w_id"), F.col("text_a").alias("w_a"), F.col("text_b").alias("w_b"))
     same = rows["id"].eqNullSafe(F.col("w_id")) & (rows["text_a"] == F.col("w_a")) & (rows["text_b"] == F.col("w_b"))
     found = _sets(rows.join(key, same, "left_semi").select("text"), shingle)
     sets = materialize(found.join(wanted.select("node", "digest"), "digest").select("node", "hashes").dropDuplicates(["node"]), "shingle-hashes")
-    links = materialize(_verified(stars.unionByName(near).distinct(), sets, similarity), "shingle-links")
-    level = 0
+    discard(holders, wanted)
+    roots, level = None, 0
     while True:
-        roots = materialize(connected_components(links), "shingle-roots")
-        named = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-        mixed = materialize(mixed.select("bucket", "n"), "shingle-mixed")
-        if mixed.isEmpty():
-            return roots
-        members = materialize(join_hot(shared.select("bucket", "node"), mixed, "bucket"), "shingle-members")
-        large = F.lit(level < LEVELS) & (F.col("n") > MAX_BUCKET)
-        more = _in_blocks(members.where(~large), sets, similarity)
+        best = shared.where("node <> center.node").groupBy(F.col("node").alias("a")).agg(F.max("center").alias("c")).select("a", F.col("c.node").alias("b"))
+        links = _verified(best.unionByName(near).distinct() if roots is None else best, sets, similarity)
+        roots = _joined(roots, links)
+        members, mixed = _named(shared, roots)
+        others = members.where("node <> center.node").select(F.col("node").alias("a"), F.col("center.node").alias("b"), "root")
+        others = others.join(roots.select(F.col("node").alias("b"), F.col("root").alias("b_root")), "b", "left").where("root <> coalesce(b_root, b)").select("a", "b").distinct()
+        links = _verified(others, sets, similarity)
+        discard(members, mixed)
+        roots = _joined(roots, links)
+        members, mixed = _named(shared, roots)
+        large = F.lit(level < LEVELS) & (F.col("k") > MAX_BUCKET)
+        links = materialize(_in_blocks(members.where(~large), sets, similarity), "shingle-verified")
+        roots = _joined(roots, links)
         finer = members.where(large)
-        done = finer.isEmpty()
-        if not done:
-            level += 1
-            keys = finer.join(sets, "node").select("bucket", "node", F.explode(_bands(level)).alias("key"))
-            shared = _shared(keys.select(F.xxhash64("bucket", "key").alias("bucket"), "node"))
-            stars = shared.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-            more = more.unionByName(_verified(stars, sets, similarity))
-        links = materialize(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "shingle-links")
-        if done:
-            return materialize(connected_components(links), "shingle-roots")
+        if finer.isEmpty():
+            discard(members, mixed, shared, near, sets)
+            return roots
+        level += 1
+        keys = finer.join(sets, "node").select("bucket", "node", F.explode(_bands(level)).alias("key"))
+        again = _shared(keys.select(F.xxhash64("bucket", "key").alias("bucket"), "node"))
+        discard(members, mixed, shared)
+        shared = again
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of those before and more links; both tables go."""
+    edges = links if roots is None else _edges(roots).unionByName(links)
+    out = materialize(connected_components(edges), "shingle-roots")
+    discard(links, *([] if roots is None else [roots]))
+    return out
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -259,13 +295,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     prints = materialize(_prints(rows, shingle), "shingle-prints")
     distinct = prints.groupBy("digest").agg(F.min(row_key()).alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.count("*").alias("rows"))
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
+    kept = materialize(prints.select("id", "text_a", "text_b", "digest"), "shingle-rows")
+    discard(prints)
     roots = _links(distinct, rows, shingle, similarity)
     named = distinct.join(roots, "node", "left").select("digest", "rows", "first", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "shingle-named")
     firsts = materialize(named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n")), "shingle-firsts")
     named = materialize(join_hot(named.select("digest", "rows", "root"), firsts, "root").select("digest", F.col("component").alias("first"), F.col("rows").alias("n")), "shingle-components")
-    prints_kept = prints.select("id", "text_a", "text_b", "digest")
-    return join_hot(prints_kept, named, "digest")
+    discard(distinct, roots)
+    return join_hot(kept, named, "digest")
 
 
 def shingle_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
