@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -44,15 +45,31 @@ def test_codecs(spark):
     assert codecs.decoded_runs(f"{inner} {inner}", "secret-value-1") == [] and codecs.decoded_runs("nothing here", "secret") == []
     assert codecs.postgres_parts("postgres://u:p%40@h:5432/db?x=1") == {"user": "u", "password": "p@", "host": "h", "port": "5432", "database": "db"}
     assert codecs.postgres_parts("mysql://u@h/db") is None
-    body = "token_abcdef"
-    assert codecs.checksum_suffix(body + codecs.base36(codecs.crc32_latin1(body)).rjust(6, "0")[-6:]) and not codecs.checksum_suffix(body + "000000")
-    assert codecs.snowflake_prefix(base64.b64encode(b"123456789012345678").decode().rstrip("=") + ".x.y")
     df = spark.createDataFrame([("YQ==", "0aFf"), ("bad!", "0A"), (None, "zz"), ("YQ==", "0a\n")], "b string, h string")
     got = df.select(codecs.base64_bytes(F.col("b")).alias("b"), *[codecs.hex_strict(F.col("h"), c).alias(c) for c in ("lower", "upper", "mixed")]).collect()
     assert [r.b and bytes(r.b) for r in got] == [b"a", None, None, b"a"]
     assert [(r.lower and bytes(r.lower), r.upper and bytes(r.upper), r.mixed and bytes(r.mixed)) for r in got] == [(None, None, b"\x0a\xff"), (None, b"\x0a", None), (None, None, None), (None, None, None)]
 
 
+def test_validators():
+    """Values made by the stated rules: CRC-32 in seven digits of base 36 with a length before it, in base64, and decimal heads."""
+    valid = codecs.VALIDATORS
+    crc36 = lambda t: codecs.base36(zlib.crc32(t.encode())).rjust(7, "0")
+    head = "abcDEF_123-" * 3
+    token = lambda p, n: (x := f"{p}-{head}.01.{n}") + crc36(x)
+    for prefix, name, other in (("glpat", "gitlab-routable-personal-access-token", False), ("glrt", "gitlab-runner-authentication-token", True)):
+        good = token(prefix, "0x")  # 33 characters
+        assert valid[name](good) and not valid[name](token(prefix, "0w")) and not valid[name](good[:-1] + ("0" if good[-1] != "0" else "1"))
+        assert valid[name](f"{prefix}-plain") is other and valid[name](good + "x") is other
+    body = "A" * 54
+    tail = base64.b64encode(zlib.crc32(body.encode()).to_bytes(4, "little")).decode()[:6]
+    assert valid["confluent-cloud-api-secret"](f"cflt{body}{tail}") and not valid["confluent-cloud-api-secret"](f"cflt{body}{tail[:-1]}!") and not valid["confluent-cloud-api-secret"]("cflt")
+    decimal = base64.urlsafe_b64encode(b"123456789012345678").decode()
+    for text, ok in ((f"{decimal}.x.y", True), (decimal.rstrip("="), True), (base64.b64encode(b"7").decode(), True), (base64.b64encode(b"12a").decode(), False), ("", False), ("é", False), ("MTIz MTIz", True), ("M", False)):
+        assert valid["discord-bot-token"](text) is ok, text
+    assert codecs.crc32_latin1("é") == zlib.crc32(b"\xe9") and codecs.crc32_latin1("aé🔑") == zlib.crc32("aé".encode("latin-1") + b"\x3d\x11")
+
+
 def test_variants_keep_the_secret(spark):
     df = spark.createDataFrame([(1, "ключ=tok_abc\nx", 9, 16), (2, "k='tok_z'", 3, 8)], "case_id int, content string, start_byte long, end_byte long")
     for r in variants.context_variants(df).collect():
