@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.canonical import canonical_json, sha256_text
 from spanforge.functions.numeric import Accounting
-from spanforge.operators import accounting, measure, methods
+from spanforge.operators import accounting, evaluation, generation, measure, methods
 from spanforge.sources import corpus
 
 
@@ -41,11 +41,13 @@ class Run:
         return {k: v for k, v in (("cases", self.cases), ("groups", self.groups), ("families", self.families), ("comparisons", self.comparisons)) if v is not None}
 
 
-def measurement_run(spark: SparkSession, corpus_path: str, observations_path: str, config: RunConfig, work: str) -> Run:
-    """Validate, score and account the chosen scanners' observations; refuses an invalid corpus, stale or unfit observations.
+def measurement_run(spark: SparkSession, corpus_path: str, observations_path: str, config: RunConfig, work: str, coverage: DataFrame | None = None) -> Run:
+    """Validate, score and account the chosen scanners' observations; refuses an invalid corpus, one that isn't what its digest says, stale or unfit observations.
 
-    The case results go to ``work`` as a table before accounting, so that they are made once.
+    The case results go to ``work`` as a table before accounting, so that they
+    are made once. ``coverage`` (family, covers) as in ``control_measurements``.
     """
+    corpus.refuse(corpus.digest_violations(spark, corpus_path))
     cases = corpus.read_corpus(spark, corpus_path)
     corpus.refuse(corpus.corpus_violations(cases))
     scanners, findings, unmeasured = corpus.read_observations(spark, observations_path)
@@ -57,14 +59,60 @@ def measurement_run(spark: SparkSession, corpus_path: str, observations_path: st
         findings = measure.restrict_families(findings, list(config.families))
     found, missing = corpus.on_cases(findings, cases), corpus.on_cases(unmeasured, cases)
     roster = scanners.select("scanner", "status")
-    facts = cases.select("case_id", "kind", "tier", "family", "group", "twin_of")
-    scored = measure.score_cases(facts, corpus.spans_of(cases).drop("env_reason"), found, roster, missing)
+    facts = cases.select("case_id", "kind", "tier", "family", "group", "twin_of", "sibling")
+    scored = measure.score_cases(facts, corpus.spans_of(cases).drop("env_reason"), found, roster, missing, coverage)
     scored.write.mode("overwrite").parquet(f"{work}/cases")
     results = spark.read.parquet(f"{work}/cases")
     compared = methods.differential(facts, found, roster, missing, config.reference) if config.reference else None
     return Run(results, accounting.account_groups(results, config.accounting), accounting.family_view(results), compared)
 
 
+@dataclass(frozen=True)
+class MethodRun:
+    """Tables of a method run: variants with their attempts, readings, assertions, comparisons, the summaries and the review queue."""
+
+    variants: DataFrame
+    readings: DataFrame
+    assertions: DataFrame
+    comparisons: DataFrame
+    review: DataFrame
+    summaries: dict[str, DataFrame]
+    resolution: DataFrame
+    unresolved: DataFrame
+
+    def tables(self) -> dict[str, DataFrame]:
+        named = {k: getattr(self, k) for k in ("variants", "readings", "assertions", "comparisons", "review", "resolution", "unresolved")}
+        return named | {f"summary_{k}": v for k, v in self.summaries.items()}
+
+
+def variant_plan(cases: DataFrame, contracts: DataFrame, work: str, method_names: list[str] | None = None) -> DataFrame:
+    """Generate all variants into ``work``: what detectors are then shown. Two variants of one path are refused."""
+    spark = cases.sparkSession
+    generation.generate(cases, contracts, method_names).write.mode("overwrite").parquet(f"{work}/variants")
+    variants = spark.read.parquet(f"{work}/variants")
+    corpus.refuse(variants.where("path is not null").groupBy("path").agg(F.count("*").alias("variants")).where("variants > 1"))
+    return variants
+
+
+def method_run(variants: DataFrame, findings: DataFrame, scanners: DataFrame, unmeasured: DataFrame, config: RunConfig, work: str, coverage: DataFrame | None = None) -> MethodRun:
+    """Evaluate the findings (scanner, case_id of a variant, range, family, action, emit_seq) recorded over the variants.
+
+    Readings and assertions go to ``work`` as tables, as all else reads them.
+    Comparisons are those of the differential cases with the reference scanner.
+    """
+    spark = variants.sparkSession
+    evaluation.observe_variants(variants, findings, scanners, unmeasured, coverage).write.mode("overwrite").parquet(f"{work}/readings")
+    readings = spark.read.parquet(f"{work}/readings")
+    evaluation.variant_assertions(readings, scanners).write.mode("overwrite").parquet(f"{work}/assertions")
+    assertions = spark.read.parquet(f"{work}/assertions")
+    same = variants.where("method = 'differential' and status = 'generated'")
+    compared = methods.differential(same, findings, scanners, unmeasured, config.reference or "")
+    queue = methods.review_queue(compared, evaluation.pending_expectations(variants))
+    found = evaluation.summaries(assertions, variants)
+    resolution, unresolved = evaluation.resolved(found["by_method"], config.accounting)
+    return MethodRun(variants, readings, assertions, compared, queue, found, resolution, unresolved)
+
+
 def check_binding(cases: DataFrame, scanners: DataFrame) -> None:
     """Observations of another corpus are refused: both name the corpus by its digest."""
     mine = cases.select("corpus_digest").distinct()

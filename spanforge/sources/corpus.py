@@ -7,10 +7,15 @@ raises if there are any.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanforge.functions import canonical
 from spanforge.functions.text import valid_range
+from spanforge.operators.generation import SPAN, envelopes_meet_spans
 from spanforge.operators.measure import MAX_LABELS
 
 RANGE = "struct<start:bigint,end:bigint>"
@@ -31,15 +36,47 @@ STATUSES = ("complete", "unstable", "unsupported", "unavailable", "timeout", "ma
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """One row a case: case_id, path, content, expected, kind, tier, family, group, targets, twin_of, sibling. A document that doesn't parse fails."""
+    """One row a case: case_id, path, content, expected, kind, tier, family, group, targets, twin_of, sibling, taxonomy, mutation, mutation_kind. A document that doesn't parse fails."""
     documents = spark.read.schema(CORPUS).option("multiLine", True).option("mode", "FAILFAST").json(path)
     c = documents.select(F.explode("cases").alias("c"), F.col("identity.corpus_digest").alias("corpus_digest"))
     return c.select(
         F.col("c.id").alias("case_id"), "c.path", "c.content", "c.expected", "c.grouping.kind", "c.grouping.tier", "c.grouping.family", "c.grouping.group", "c.grouping.targets",
         F.col("c.twin.twin_of").alias("twin_of"), F.col("c.twin.sibling_family").alias("sibling"), "corpus_digest",
+        "c.grouping.taxonomy", "c.twin.mutation", "c.twin.mutation_kind",
     )
 
 
+def document_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(declared, corpus_digest, input_digest) of each corpus document, computed from its own JSON, unknown fields included.
+
+    corpus_digest covers the cases sorted by id, input_digest the paths and the
+    digests of the contents alone, sorted by path. A document is read whole, by
+    one task, as by its reader.
+    """
+
+    @F.arrow_udf("struct<declared:string,corpus_digest:string,input_digest:string>")
+    def digests(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            document = json.loads(t)
+            cases = document.get("cases") or []
+            out.append({"declared": (document.get("identity") or {}).get("corpus_digest"), "corpus_digest": canonical.corpus_digest(cases), "input_digest": canonical.input_digest(cases)})
+        return pa.array(out, pa.struct([("declared", pa.string()), ("corpus_digest", pa.string()), ("input_digest", pa.string())]))
+
+    return spark.read.text(path, wholetext=True).select(digests(F.col("value")).alias("d")).select("d.*")
+
+
+def seal(source: str, revision: str, evidence_schema: str, cases: list[dict]) -> dict:
+    """A corpus document of these cases that declares its digest."""
+    identity = {"source": source, "revision": revision, "evidence_schema": evidence_schema, "corpus_digest": canonical.corpus_digest(cases)}
+    return {"schema": "corpus-snapshot", "identity": identity, "cases": cases}
+
+
+def digest_violations(spark: SparkSession, path: str) -> DataFrame:
+    """(declared, corpus_digest) of documents whose cases aren't those that the declared digest stands for."""
+    return document_digests(spark, path).where("not (declared <=> corpus_digest)").select("declared", "corpus_digest")
+
+
 def spans_of(cases: DataFrame) -> DataFrame:
     """One row a span, in the order in which the case lists them."""
     s = cases.select("case_id", F.posexplode("expected").alias("span_idx", "s"))
@@ -69,7 +106,7 @@ def corpus_violations(cases: DataFrame) -> DataFrame:
     by_start = Window.partitionBy("case_id").orderBy("span_idx")
     checked = spans.join(cases.select("case_id", "content"), "case_id").withColumn("last_end", F.lag("end_byte").over(by_start))
     twins = cases.where("twin_of is not null").select("case_id", "twin_of", F.col("kind").alias("t_kind"))
-    originals = cases.select(F.col("case_id").alias("o_id"), F.exists(F.coalesce("expected", F.array().cast(f"array<{'struct<start:bigint,end:bigint,role:string,envelope:struct<start:bigint,end:bigint,reason:string>>'}>")), lambda s: s["role"] == "secret").alias("o_secret"))
+    originals = cases.select(F.col("case_id").alias("o_id"), F.exists(F.coalesce("expected", F.array().cast(f"array<{SPAN}>")), lambda s: s["role"] == "secret").alias("o_secret"))
     paired = twins.join(originals, twins.twin_of == originals.o_id, "left")
     secret = F.exists("expected", lambda s: s["role"] == "secret")
 
@@ -85,6 +122,10 @@ def corpus_violations(cases: DataFrame) -> DataFrame:
         bad(checked, ~valid_range(F.col("content"), F.col("start_byte"), F.col("end_byte")), "invalid range"),
         bad(checked, F.col("start_byte") < F.col("last_end"), "spans out of order or overlapping"),
         bad(checked, F.col("env_start").isNotNull() & ((F.col("env_start") > F.col("start_byte")) | (F.col("env_end") < F.col("end_byte")) | F.col("env_reason").isNull()), "envelope without reason or not around its span"),
+        bad(cases, envelopes_meet_spans(F.coalesce("expected", F.array().cast(f"array<{SPAN}>"))), "envelope over another span"),
+        bad(cases, F.col("twin_of").isNotNull() & F.coalesce(secret, F.lit(False)), "twin with a secret"),
+        bad(cases, F.col("twin_of").isNotNull() & (F.trim(F.coalesce("mutation", F.lit(""))) == ""), "twin without mutation"),
+        bad(cases, F.col("sibling").isNotNull() & ((F.trim("sibling") == "") | (F.trim("sibling") != F.col("sibling")) | F.col("family").isNull() | (F.col("sibling") == F.col("family"))), "sibling blank, padded, without a family or the family itself"),
         bad(paired, F.col("o_id").isNull(), "twin of an unknown case"),
         bad(paired, F.col("twin_of") == F.col("case_id"), "twin of itself"),
         bad(paired, F.col("t_kind") != "must-not-flag", "twin is no control"),

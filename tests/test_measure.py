@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import intervals, numeric
+from spanforge.functions.canonical import corpus_digest
 from spanforge.functions.numeric import Accounting, Floor, to_fixed
 from spanforge.operators import accounting, measure
 from spanforge.sources import corpus
@@ -38,13 +39,13 @@ def document():
             }
             | ({"twin": {"twin_of": twin, "mutation": "m", "mutation_kind": "length"}} if twin else {})
         )
-    return {"schema": "s", "identity": {"source": "t", "revision": "1", "evidence_schema": "1", "corpus_digest": "d"}, "cases": cases}
+    return {"schema": "s", "identity": {"source": "t", "revision": "1", "evidence_schema": "1", "corpus_digest": corpus_digest(cases)}, "cases": cases}
 
 
 def observations():
     found = [{"path": f"d/{c[0]}.txt", "start": s, "end": e} | ({"family": f} if f else {}) | ({"action": a} if a else {}) for c in CASES for s, e, f, a in c[6]]
     complete = {"scanner": {"id": "a"}, "result": {"status": "complete", "findings": found}}
-    return {"schema": "s", "corpus_digest": "d", "observations": [complete, {"scanner": {"id": "b"}, "result": {"status": "timeout"}}]}
+    return {"schema": "s", "corpus_digest": document()["identity"]["corpus_digest"], "observations": [complete, {"scanner": {"id": "b"}, "result": {"status": "timeout"}}]}
 
 
 @pytest.fixture(scope="module")

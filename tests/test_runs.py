@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from spanforge.functions import text
 from spanforge.functions.numeric import Floor
 from spanforge.operators import methods, perf, representation
-from spanforge.plans.runs import RunConfig, capabilities, measurement_run, pin_violations, reuse_decisions, write_run
+from spanforge.plans.runs import RunConfig, capabilities, measurement_run, method_run, pin_violations, reuse_decisions, variant_plan, write_run
+from spanforge.sources import corpus
 from tests.test_measure import document, observations
 
 
-def written(tmp_path, cases_reversed=False, digest="d"):
+def written(tmp_path, cases_reversed=False, digest=None):
     doc, obs = document(), observations()
-    obs["corpus_digest"] = digest
+    obs["corpus_digest"] = digest or obs["corpus_digest"]
     if cases_reversed:
         doc["cases"].reverse()
         obs["observations"].reverse()
@@ -105,3 +106,58 @@ def test_method_cases_and_delta(spark):
     counts = spark.createDataFrame([("mutation", "s", "must-redact:T1->must-redact:T2", 1, 2, 3, 0), ("differential", "u", "must-redact:T1", 1, 0, 4, 5)], "method string, scanner string, stratum string, pass long, fail long, review_required long, not_measured long")
     r = methods.assertion_delta(counts, ["u"], Floor(0.9, {"differential": 0.0})).collect()
     assert len(r) == 1 and (r[0].group_key, r[0].v10_total, r[0].total, r[0].causes) == ("must-redact/T1", 11, 16, "unresolved,unstable")
+
+
+def test_a_changed_corpus_with_an_old_digest_is_refused(spark, tmp_path):
+    c, o = written(tmp_path)
+    doc = json.loads((tmp_path / "c.json").read_text())
+    shown = corpus.document_digests(spark, c).first()
+    assert shown.declared == shown.corpus_digest == corpus.seal("t", "1", "1", list(reversed(doc["cases"])))["identity"]["corpus_digest"]
+    lines = [f'{{"path":"{x["path"]}","sha256":"sha256:{hashlib.sha256(x["content"].encode()).hexdigest()}"}}' for x in sorted(doc["cases"], key=lambda x: x["path"])]
+    assert shown.input_digest == "sha256:" + hashlib.sha256(f"[{','.join(lines)}]".encode()).hexdigest()
+    doc["cases"][0]["grouping"]["note"] = "an unknown field counts too"
+    (tmp_path / "c.json").write_text(json.dumps(doc))
+    assert corpus.document_digests(spark, c).first().input_digest == shown.input_digest
+    with pytest.raises(ValueError):
+        measurement_run(spark, c, o, RunConfig(("a",)), str(tmp_path / "work"))
+
+
+def test_rules_of_twins_and_siblings(spark, tmp_path):
+    doc = document()
+    twin = next(c for c in doc["cases"] if "twin" in c)
+    for field, value, reason in (("mutation", " ", "twin without mutation"), ("sibling_family", "key", "sibling blank, padded, without a family or the family itself"), ("sibling_family", " x", "sibling blank, padded, without a family or the family itself")):
+        twin["twin"] = {"twin_of": "exact", "mutation": "m", "mutation_kind": "length"} | {field: value}
+        (tmp_path / "c.json").write_text(json.dumps(doc))
+        found = corpus.corpus_violations(corpus.read_corpus(spark, str(tmp_path / "c.json"))).collect()
+        assert [(r.case_id, r.reason) for r in found] == [("twin", reason)]
+
+
+def test_sibling_findings_are_co_detections(spark, tmp_path):
+    doc, obs = document(), observations()
+    next(c for c in doc["cases"] if "twin" in c)["twin"]["sibling_family"] = "wide"
+    doc = corpus.seal("t", "1", "1", doc["cases"])
+    obs["corpus_digest"] = doc["identity"]["corpus_digest"]
+    obs["observations"][0]["result"]["findings"] = [{"path": "d/twin.txt", "start": 0, "end": 5, "family": "both"}]
+    (tmp_path / "c.json").write_text(json.dumps(doc))
+    (tmp_path / "o.json").write_text(json.dumps(obs))
+    for covers, want in ((["key"], (True, False)), (["key", "wide"], (False, True)), ([], (False, True))):
+        coverage = spark.createDataFrame([("both", covers)], "family string, covers array<string>")
+        run = measurement_run(spark, str(tmp_path / "c.json"), str(tmp_path / "o.json"), RunConfig(("a",)), str(tmp_path / "work"), coverage)
+        row = run.cases.where("case_id = 'twin'").first()
+        assert (row.flagged, row.co_detected) == want, covers
+
+
+def test_method_run(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps(document()))
+    cases = corpus.read_corpus(spark, str(tmp_path / "c.json"))
+    contracts = spark.createDataFrame([("key", "^x+$")], "family string, pattern string")
+    plan = variant_plan(cases.withColumn("taxonomy", F.lit("prose")), contracts, str(tmp_path))
+    scanners = spark.createDataFrame([("a", "complete"), ("b", "complete")], "scanner string, status string")
+    findings = spark.createDataFrame([("a", "exact--differential--canonical", 38, 71, "key", None, 0)], "scanner string, case_id string, start_byte bigint, end_byte bigint, family string, action string, emit_seq int")
+    unmeasured = spark.createDataFrame([], "scanner string, case_id string")
+    run = method_run(plan, findings, scanners, unmeasured, RunConfig(("a", "b"), reference="a"), str(tmp_path))
+    different = run.comparisons.where("disagreement <> 'none'").collect()
+    assert [(r.case_id, r.peer, r.disagreement) for r in different] == [("exact--differential--canonical", "b", "reference-only")]
+    assert run.review.where("kind = 'disagreement'").count() == 1 and run.review.where("kind = 'pending-expectation'").count() > 0
+    assert run.assertions.count() == sum(r.total for r in run.resolution.collect()) and run.unresolved.count() >= 0
+    assert {"variants", "assertions", "summary_by_method", "summary_attempts"} <= set(run.tables())
