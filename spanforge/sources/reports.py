@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import claims, line_of, located, utf16_offsets
+from spanforge.functions.text import claims, located, utf16_offsets
 
 VALUE_ROW = "rule string, path string, line bigint, value string, tags array<string>"
 OFFSET_ROW = "path string, start bigint, end bigint, label string, type string, action string, done boolean, findings bigint"
@@ -41,8 +41,8 @@ def locate_values(rows: DataFrame, cases: DataFrame, scanner: str) -> tuple[Data
     numbered = rows.withColumn("emit_seq", F.row_number().over(order)).withColumn("claim_line", F.coalesce("line", F.lit(-1)))
     keys = ["path", "value", "claim_line"]
     texts = numbered.select(*keys).distinct().join(cases.select("path", "content"), "path")
-    spots = texts.select(*keys, "content", F.explode(located(F.col("content"), F.col("value"))).alias("start_byte"))
-    spots = spots.where((F.col("claim_line") < 0) | (line_of(F.col("content"), F.col("start_byte")) == F.col("claim_line")))
+    spots = texts.select(*keys, F.explode(located(F.col("content"), F.col("value"))).alias("at")).select(*keys, "at.start_byte", "at.line")
+    spots = spots.where((F.col("claim_line") < 0) | (F.col("line") == F.col("claim_line")))
     placed = claims(numbered, spots.select(*keys, "start_byte"), keys)
     known = placed.join(cases.select("path", F.lit(True).alias("known")), "path", "left")
     failed = known.where("start_byte is null").groupBy("path").agg(F.min(F.when(F.col("known").isNull(), "unknown-path").otherwise("ambiguous-location")).alias("reason"))
