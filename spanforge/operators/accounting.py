@@ -232,3 +232,45 @@ def scope_accounting(findings: DataFrame, scope: DataFrame) -> DataFrame:
     counted = per.groupBy("scanner", "r").agg(F.count("*").alias("findings"))
     zero = per.select("scanner").distinct().select("scanner", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("r"))
     return zero.join(counted, ["scanner", "r"], "left").select("scanner", F.element_at(names, F.col("r") + 1).alias("disposition"), F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
+DISPOSITIONS = ("mapped-credential", "credential-related-unmapped", "out-of-scope", "ambiguous", "native-label-unavailable", "unrecognized-label")
+
+
+def _labelled(findings: DataFrame, table: DataFrame) -> DataFrame:
+    """Each label of each finding with its class: 0 mapped, 1 credential-related and unresolved, 2 no credential, 3 ambiguous, null not reviewed."""
+    kind = F.when(F.col("disposition") == "mapped", 0).when((F.col("disposition") == "unresolved") & (F.col("scope") == "ambiguous"), 3).when(F.col("disposition") == "unresolved", 1).when(F.col("disposition") == "not-credential", 2)
+    labels = findings.select("finding_id", "scanner", "family", F.explode("labels").alias("label"))
+    reviewed = table.select("label", "scope", F.col("status").alias("disposition"))
+    return labels.join(reviewed, "label", "left").withColumn("class", kind)
+
+
+def classify_findings(findings: DataFrame, table: DataFrame) -> DataFrame:
+    """(finding_id, scanner, n_labels, disposition, conflicting) of findings (finding_id, scanner, family, labels) under reviewed labels (label, scope, status).
+
+    A finding with a family is mapped, whatever its labels say. Labels that
+    disagree, or some reviewed and some not, are conflicting, and then
+    ambiguous; so is a mapped label on a finding without a family.
+    """
+    classes = _labelled(findings, table).groupBy("finding_id").agg(F.array_sort(F.collect_set("class")).alias("classes"), F.max(F.col("class").isNull()).alias("unknown"))
+    rows = findings.select("finding_id", "scanner", "family", F.size("labels").alias("n_labels")).join(classes, "finding_id", "left")
+    found = F.coalesce("classes", F.array().cast("array<int>"))
+    conflicting = (F.size(found) > 1) | (F.coalesce("unknown", F.lit(False)) & (F.size(found) > 0))
+    disposition = (
+        F.when(F.col("family").isNotNull(), "mapped-credential")
+        .when(F.col("n_labels") == 0, "native-label-unavailable")
+        .when(F.size(found) == 0, "unrecognized-label")
+        .when(conflicting | F.array_contains(found, 3) | F.array_contains(found, 0), "ambiguous")
+        .when(F.array_contains(found, 1), "credential-related-unmapped")
+        .otherwise("out-of-scope")
+    )
+    return rows.select("finding_id", "scanner", "n_labels", disposition.alias("disposition"), conflicting.alias("conflicting"))
+
+
+def scope_totals(findings: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(by scanner: findings, one count for each of DISPOSITIONS, multi_label, conflicting; by scanner and label: findings, with_family, scope, status)."""
+    rows = classify_findings(findings, table)
+    counts = [F.sum((F.col("disposition") == d).cast("long")).alias(d.replace("-", "_")) for d in DISPOSITIONS]
+    totals = rows.groupBy("scanner").agg(F.count("*").alias("findings"), *counts, F.sum((F.col("n_labels") > 1).cast("long")).alias("multi_label"), F.sum(F.col("conflicting").cast("long")).alias("conflicting"))
+    labels = _labelled(findings, table).groupBy("scanner", "label", "scope", F.col("disposition").alias("status"))
+    return totals, labels.agg(F.count("*").alias("findings"), F.count("family").alias("with_family"))
