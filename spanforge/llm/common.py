@@ -1,18 +1,19 @@
-"""Shared helpers: reading tables and cutting lineage in the cluster's shared folder."""
+"""Shared helpers: reading tables, tables in the cluster's shared folder, joins with hot keys, bounded slices of Arrow batches."""
 
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.sources.store import discard, materialize, shared_dir
+
+__all__ = ["HOT_SHARE", "discard", "join_hot", "materialize", "pieces", "release", "shared_dir", "slices", "table"]
+
 
 #: Keys with over 1 / HOT_SHARE of all rows count as hot.
 HOT_SHARE = 1000
@@ -22,55 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or the checkpoint folder set on the context.
-
-    Without either, a local session (one machine, as in tests) gets a temporary
-    folder; on a cluster that is an error, as each executor would write to its own disk.
-    """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    Unlike a cache it survives lost executors, and the files give Catalyst true
-    sizes, so that it broadcasts the table only if it is small.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    stored = spark.read.schema(df.schema).parquet(path)
-    stored._stored_at = path
-    return stored
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing reads any more: what was made of them must be written already."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def join_hot(rows: DataFrame, per_key: DataFrame, key: str, *, n_col: str = "n", rows_total: int | None = None, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, *, n_col: str = "n", rows_total: int | None = None, how: str = "inner", small: Column | None = None) -> DataFrame:
     """Join rows to a table with one row a key, whose ``n_col`` says how many of the rows have that key.
 
     Keys of more than one row in ``HOT_SHARE`` are at most ``HOT_SHARE`` keys,
     whatever the data: these few are broadcast, so that a hot key's rows stay
     where they are. All other keys meet by a shuffle. Both tables are read
-    twice and should be materialised. ``how`` is inner or left.
+    twice and should be materialised. ``how`` is inner or left. Where the rows of
+    the second table have no bounded size, ``small`` says which of them may be
+    broadcast.
     """
     total = rows.count() if rows_total is None else rows_total
     hot = F.col(n_col) * HOT_SHARE > total
+    hot = hot if small is None else F.coalesce(hot & small, F.lit(False))
     few = per_key.where(hot).withColumn("__hot", F.lit(True))
     marked = rows.join(F.broadcast(few), key, "left")
     kept = [c for c in marked.columns if c != "__hot"]
