@@ -281,7 +281,10 @@ def _links(distinct: DataFrame, rows: DataFrame, shingle: int, similarity: float
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The components of those before and more links; both tables go."""
+    """The components of those before and more links; both tables go. Without links they are those before."""
+    if roots is not None and links.isEmpty():
+        discard(links)
+        return roots
     edges = links if roots is None else _edges(roots).unionByName(links)
     out = materialize(connected_components(edges), "shingle-roots")
     discard(links, *([] if roots is None else [roots]))
