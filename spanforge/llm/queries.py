@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.byte_bpe import decode_ids, encode_documents
@@ -12,6 +12,7 @@ from spanforge.llm.hnsw import THRESHOLD, embedding_links
 from spanforge.llm.html_consensus import extract_main_text
 from spanforge.llm.language_mixture import held_out, learn, with_language
 from spanforge.llm.line_frequency import MAX_RATIO, MIN_PAGES, drop_site_boilerplate
+from spanforge.llm.periodic_runs import with_runs
 from spanforge.llm.pii import KINDS, personal_spans, span_text
 from spanforge.llm.poisson_mix import SEED, TEMPERATURE, mix_sources
 from spanforge.llm.progressive_jpeg import with_media, with_pictures
@@ -103,6 +104,34 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(h % 10 == 0, _words(F.col("text"))).alias("words"), F.floor(h / 10).alias("g"))
+    # Rows with planted runs: from word a on, the text goes on with words a to a + p - 1 over and over.
+    a = F.expr("g % size(words)")
+    p = F.expr("1 + (size(words) - a) div (3 + g % 8)")
+    planted = F.expr("array_join(transform(words, (w, i) -> IF(i < a, w, words[CAST(a + (i - a) % p AS INT)])), ' ')")
+    docs = docs.withColumn("a", a).withColumn("p", p).withColumn("text", F.when(F.size("words") > 0, planted).otherwise(F.col("text")))
+    found = with_runs(docs.select("doc_id", "text")).select("doc_id", "runs", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    found = found.withColumn("longest", F.struct((-longest["col1"]).alias("length"), longest["start"].alias("start"), longest["period"].alias("period")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.start",
+        "longest.length",
+        "longest.period",
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -116,6 +145,7 @@ QUERIES = {
         op8_embedding_hnsw,
         op9_poisson_mix,
         op10_byte_bpe,
+        op12_periodic_runs,
     )
 }
 
