@@ -17,6 +17,7 @@ from spanforge.llm.pii import KINDS, personal_spans, span_text
 from spanforge.llm.poisson_mix import SEED, TEMPERATURE, mix_sources
 from spanforge.llm.progressive_jpeg import with_media, with_pictures
 from spanforge.llm.simhash import simhash_components
+from spanforge.llm.spelling import count_words, letter_runs, spelling_variants
 from spanforge.llm.warc_archive import MIN_REVISIT_BYTES, read_archive, write_archive
 
 
@@ -104,6 +105,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), letter_runs(F.col("text")).alias("runs"))
+    # One run in 199 of each document loses a letter: planted misspellings.
+    deleted = F.expr("transform(runs, w -> IF(crc32(concat(id, ':', w)) % 199 > 0, w, overlay(w PLACING '' FROM CAST(crc32(concat(id, ':', w)) % char_length(w) AS INT) + 1 FOR 1)))")
+    return spelling_variants(count_words(docs, deleted, least_length=6, least=5))
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
@@ -145,6 +153,7 @@ QUERIES = {
         op8_embedding_hnsw,
         op9_poisson_mix,
         op10_byte_bpe,
+        op11_spelling_variants,
         op12_periodic_runs,
     )
 }
@@ -189,4 +198,23 @@ ORACLE_SQL = {
              n AS (SELECT u.doc_id, count(*) AS n FROM u JOIN c ON u.source = c.source WHERE c.cdf < u.u GROUP BY u.doc_id),
              x AS (SELECT d.*, unnest(range(0, n.n)) AS copy FROM documents d JOIN n ON d.doc_id = n.doc_id)
         SELECT *, md5('order:{SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM x""",
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE
+             t AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+             u AS (SELECT id, w, count(*) AS n FROM t WHERE length(w) >= 6 GROUP BY id, w),
+             b AS (SELECT *, flatten(list_transform(string_split(id || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(c) - 64 AS BIGINT)] END)) AS bytes FROM u),
+             h AS (SELECT *, xor(4294967295, list_reduce(bytes, lambda s, x: list_reduce(range(8), lambda y, k: xor(y >> 1, (y & 1) * 3988292384), xor(s, x)), CAST(4294967295 AS BIGINT))) AS h FROM b),
+             m AS (SELECT CASE WHEN h % 199 > 0 THEN w ELSE substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) END AS word, n FROM h),
+             v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+             i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+             k AS (SELECT word, n, i, substr(word, 1, CAST(i - 1 AS INT)) AS a, substr(word, CAST(i + 1 AS INT)) AS z FROM i),
+             g AS (SELECT DISTINCT k.word AS longer, k.n AS longer_n, v.word AS shorter, v.n AS shorter_n FROM k JOIN v ON v.word = k.a || k.z),
+             p AS (SELECT x.word, y.word AS near, y.n AS near_n FROM k x JOIN k y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+                   UNION ALL SELECT longer, shorter, shorter_n FROM g UNION ALL SELECT shorter, longer, longer_n FROM g),
+             c AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM p),
+             f AS (SELECT v.word, v.n, coalesce(c.n_near, 0) AS n_near, CASE WHEN c.near_n >= 5 * v.n THEN c.near END AS form, CASE WHEN c.near_n >= 5 * v.n THEN c.near_n END AS form_n
+                   FROM v LEFT JOIN c ON v.word = c.word AND c.place = 1),
+             r AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT r.word, f.form, r.depth + 1 FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL),
+             e AS (SELECT word, arg_max(root, depth) AS root FROM r GROUP BY word)
+        SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN e ON f.word = e.word""",
 }
