@@ -18,6 +18,7 @@ from spanforge.llm.poisson_mix import SEED, TEMPERATURE, mix_sources
 from spanforge.llm.progressive_jpeg import with_media, with_pictures
 from spanforge.llm.simhash import simhash_components
 from spanforge.llm.spelling import count_words, letter_runs, spelling_variants
+from spanforge.llm.toxicity import learn_toxicity, with_toxicity
 from spanforge.llm.warc_archive import MIN_REVISIT_BYTES, read_archive, write_archive
 
 
@@ -140,6 +141,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = learn_toxicity(docs.where(~held), table(spark, sf_dir, "labels"))
+    return with_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -155,6 +163,7 @@ QUERIES = {
         op10_byte_bpe,
         op11_spelling_variants,
         op12_periodic_runs,
+        op13_compression_toxicity,
     )
 }
 

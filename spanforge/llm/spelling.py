@@ -24,7 +24,7 @@ from spanforge.llm.common import discard, materialize
 
 #: Letters are counted in so many buckets (code point modulo): letters that share one only prune less.
 LETTERS = 97
-#: Words a cell is meant to hold, and words of the sample (by hash) that its splits are taken from.
+#: Words a cell is meant to hold, and words of the sample (by hash, so about as many) that its splits are taken from.
 CELL_WORDS = 16_384
 SAMPLE_WORDS = 65_536
 SAMPLE_LEAF = 16
@@ -189,11 +189,12 @@ def _trees(words: DataFrame) -> dict[int, Tree]:
     sizes = {r["size"]: r["n"] for r in words.groupBy("size").agg(F.count("*").alias("n")).where(F.col("n") > CELL_WORDS).collect()}
     if not sizes:
         return {}
-    sample = words.where(F.col("size").isin(list(sizes))).orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).select("word", "size").collect()
+    keep = min(1.0, SAMPLE_WORDS / sum(sizes.values()))
+    sample = words.where(F.col("size").isin(list(sizes))).where(F.xxhash64("word") / F.lit(2.0**64) + 0.5 < keep).select("word", "size").collect()
     by_size: dict[int, list[str]] = {}
     for r in sample:
         by_size.setdefault(r["size"], []).append(r["word"])
-    return {s: build_tree(letter_counts(word_matrix(w)), max(SAMPLE_LEAF, len(w) * CELL_WORDS // sizes[s])) for s, w in by_size.items()}
+    return {s: build_tree(letter_counts(word_matrix(sorted(w))), max(SAMPLE_LEAF, len(w) * CELL_WORDS // sizes[s])) for s, w in by_size.items()}
 
 
 def _places(trees: dict[int, Tree], asking: bool):
