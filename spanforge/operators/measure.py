@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.functions.intervals import acceptable_end, acceptable_start, contains, merge_ranges, overlaps, shared_bytes
+from spanforge.functions.intervals import SLICE, acceptable_end, acceptable_start, contains, merge_ranges, overlapping, placed, shared_bytes
 
 OUTCOMES = ("EXACT", "COVERED", "OVERBROAD", "PARTIAL", "MISS")
 KEY = ["scanner", "case_id"]
@@ -28,11 +28,14 @@ def is_acceptable(outcome: Column) -> Column:
 
 
 def dedupe_findings(findings: DataFrame) -> DataFrame:
-    """One finding for each range of a text: the last emitted gives family and action; labels are united and the first eight kept."""
+    """One finding for each range of a text: the last emitted gives family and action; labels are united and the first eight kept.
+
+    Findings that are ``placed`` by text and slice stay where they are.
+    """
     aggregates = [F.max_by(F.struct("family", "action"), "emit_seq").alias("last"), F.max("emit_seq").alias("emit_seq"), F.count("*").alias("reports")]
     if "labels" in findings.columns:
         aggregates.append(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))), 1, MAX_LABELS).alias("labels"))
-    found = findings.groupBy(*KEY, "start_byte", "end_byte").agg(*aggregates)
+    found = findings.groupBy(*KEY, *[c for c in (SLICE,) if c in findings.columns], "start_byte", "end_byte").agg(*aggregates)
     return found.select(*[c for c in found.columns if c != "last"], "last.family", "last.action")
 
 
@@ -44,8 +47,8 @@ def last_wins(findings: DataFrame) -> DataFrame:
 
 
 def _on_scanners(df: DataFrame, scanners: DataFrame) -> DataFrame:
-    """Each row once for each scanner, placed by scanner and case: all joins and groups by these follow without another shuffle."""
-    return df.crossJoin(scanners.select("scanner")).repartition(*KEY)
+    """Each row once for each scanner."""
+    return df.crossJoin(scanners.select("scanner"))
 
 
 def span_outcomes(spans: DataFrame, findings: DataFrame, scanners: DataFrame) -> DataFrame:
@@ -53,14 +56,12 @@ def span_outcomes(spans: DataFrame, findings: DataFrame, scanners: DataFrame) ->
 
     An equal finding is EXACT; else a containing one within the envelope is
     COVERED and one beyond it OVERBROAD; else an overlapping one is PARTIAL and
-    none a MISS. The equi-join on text and scanner carries the range condition
-    as a residual; four maxima decide.
+    none a MISS. Spans and findings meet by text, scanner and slice of the text,
+    with the range condition as a residual; four maxima decide.
     """
     asked = _on_scanners(spans.where("role = 'secret'"), scanners)
-    f = findings.select(*KEY, F.col("start_byte").alias("f_start"), F.col("end_byte").alias("f_end")).repartition(*KEY)
-    f = f.select(F.col("scanner").alias("f_scanner"), F.col("case_id").alias("f_case"), "f_start", "f_end")
-    s, e, fs, fe = (F.col(c) for c in ("start_byte", "end_byte", "f_start", "f_end"))
-    joined = asked.join(f, (F.col("scanner") == F.col("f_scanner")) & (F.col("case_id") == F.col("f_case")) & overlaps(s, e, fs, fe), "left")
+    joined = overlapping(asked.select(*KEY, "span_idx", "start_byte", "end_byte", "env_start", "env_end"), findings.select(*KEY, "start_byte", "end_byte"), KEY)
+    s, e, fs, fe = (F.col(c) for c in ("start_byte", "end_byte", "r_start", "r_end"))
     inside = contains(fs, fe, s, e)
     flags = joined.groupBy(*KEY, "span_idx", "start_byte", "end_byte", "env_start", "env_end").agg(
         F.max((fs == s) & (fe == e)).alias("exact"),
@@ -79,11 +80,11 @@ def positive_measurements(spans: DataFrame, findings: DataFrame, scanners: DataF
     ranges in one join; the union of acceptable ranges is made once a case.
     """
     none = [F.lit(None).cast("bigint").alias(c) for c in ("env_start", "env_end")]
-    islands = merge_ranges(findings.repartition(*KEY), KEY, counted=True)
+    islands = merge_ranges(findings, KEY, counted=True)
     accepted = merge_ranges(spans.select("case_id", acceptable_start().alias("start_byte"), acceptable_end().alias("end_byte")), ["case_id"])
     accepted = _on_scanners(accepted, scanners).select(*KEY, F.lit(None).cast("int").alias("span_idx"), "start_byte", "end_byte", *none, F.lit(None).cast("string").alias("outcome"))
     secrets = span_outcomes(spans, findings, scanners)
-    shared = shared_bytes(secrets.select(*accepted.columns).unionByName(accepted).repartition(*KEY), islands, KEY)
+    shared = shared_bytes(secrets.select(*accepted.columns).unionByName(accepted), islands, KEY)
     width, own = F.col("end_byte") - F.col("start_byte"), F.col("outcome").isNotNull()
     measured = shared.groupBy(*KEY).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(own, F.struct("span_idx", "outcome")))), lambda x: x["outcome"]), ",").alias("span_outcomes"),
@@ -120,13 +121,14 @@ def control_measurements(controls: DataFrame, findings: DataFrame, scanners: Dat
     scope = F.col("scope") if "scope" in controls.columns else F.lit(None).cast("string")
     sibling = F.col("sibling") if "sibling" in controls.columns else F.lit(None).cast("string")
     asked = _on_scanners(controls.select("case_id", scope.alias("scope"), sibling.alias("sibling")), scanners)
-    f = findings.select(*KEY, F.col("family").alias("f_family"), "action", F.lit(1).alias("hit"))
+    # A text's findings of one family and action are one row before they meet the text.
+    f = findings.groupBy(*KEY, F.col("family").alias("f_family"), "action").agg(F.count("*").alias("hit"))
     if coverage is not None:
         f = f.join(coverage.select(F.col("family").alias("f_family"), "covers"), "f_family", "left")
-    joined = asked.join(f.repartition(*KEY), KEY, "left")
+    joined = asked.join(f, KEY, "left")
     family = F.col("f_family")
     other = F.col("hit").isNotNull() & F.col("scope").isNotNull() & family.isNotNull() & (~family_covers(family, F.col("scope"), coverage) | family_covers(family, F.col("sibling"), coverage))
-    actions = joined.groupBy(*KEY, "action").agg(F.count("hit").alias("n"), F.sum(other.cast("long")).alias("other"))
+    actions = joined.groupBy(*KEY, "action").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("n"), F.sum(F.when(other, F.col("hit")).otherwise(0)).alias("other"))
     named = F.transform(F.array_sort(F.collect_list(F.when(F.col("action").isNotNull(), F.struct("action", "n")))), lambda x: F.concat_ws(":", x["action"], x["n"]))
     counted = actions.groupBy(*KEY).agg(F.sum("n").alias("findings"), F.sum("other").alias("other"), F.when(F.count("action") > 0, F.array_join(named, ",")).alias("action_counts"))
     return counted.select(*KEY, "findings", (F.col("other") < F.col("findings")).alias("flagged"), (F.col("other") > 0).alias("co_detected"), "action_counts")
@@ -140,13 +142,13 @@ def score_cases(cases: DataFrame, spans: DataFrame, findings: DataFrame, scanner
     a co-detection.
     """
     complete = scanners.where("status = 'complete'")
-    found = dedupe_findings(findings.repartition(*KEY))
+    found = dedupe_findings(placed(findings, KEY))
     positive = positive_measurements(spans, found, complete)
     sibling = F.col("sibling") if "sibling" in cases.columns else F.lit(None).cast("string")
     twin = F.col("twin_of").isNotNull()
     controls = cases.where("kind = 'must-not-flag'").select("case_id", F.when(twin, F.col("family")).alias("scope"), F.when(twin, sibling).alias("sibling"))
     control = control_measurements(controls, found, complete, coverage)
-    rows = cases.crossJoin(scanners.select("scanner", "status")).repartition(*KEY)
+    rows = cases.crossJoin(scanners.select("scanner", "status"))
     rows = rows.join(unmeasured.select(*KEY).distinct().withColumn("unmapped", F.lit(True)), KEY, "left")
     kind = (
         F.when((F.col("status") != "complete") | F.coalesce("unmapped", F.lit(False)), "not-measured")
