@@ -47,31 +47,33 @@ def differential(variants: DataFrame, findings: DataFrame, scanners: DataFrame,
     """(case_id, peer, status, disagreement, classification_compared) of the reference scanner with every other on every case.
 
     Neither scanner may be incomplete; a case that either couldn't map has no row.
-    Ranges and their classes meet as sorted arrays, one for each scanner and case.
+    Ranges meet range by range: two sets are equal if they have as many ranges as
+    they share. No row holds a text's ranges.
     """
     classes = classify_ranges(findings)
-    seen = classes.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("start_byte", "end_byte"))).alias("ranges"),
-        F.array_sort(F.collect_list(F.struct("start_byte", "end_byte", "families", "unmapped"))).alias("classes"),
-        F.max(F.col("unmapped") | (F.size("families") == 0)).alias("unclassed"),
-    )
+    seen = classes.groupBy(*KEY).agg(F.count("*").alias("n"), F.max(F.col("unmapped") | (F.size("families") == 0)).alias("unclassed"))
+    of_reference = classes.where(F.col("scanner") == reference).select("case_id", "start_byte", "end_byte", F.col("families").alias("r_families"), F.col("unmapped").alias("r_unmapped"))
+    of_peers = classes.where(F.col("scanner") != reference).withColumnRenamed("scanner", "peer")
+    alike = (F.col("families") == F.col("r_families")) & (F.col("unmapped") == F.col("r_unmapped"))
+    both = of_peers.join(of_reference, ["case_id", "start_byte", "end_byte"]).groupBy("case_id", "peer").agg(F.count("*").alias("shared"), F.sum(alike.cast("long")).alias("alike"))
     status = {name: scanners.where(F.col("scanner") == reference) if name == "r" else scanners.where(F.col("scanner") != reference) for name in "rp"}
     pairs = status["p"].select(F.col("scanner").alias("peer"), F.col("status").alias("p_status")).crossJoin(status["r"].select(F.col("status").alias("r_status")))
     rows = variants.select("case_id").crossJoin(pairs)
     missing = unmeasured.select("scanner", "case_id").distinct()
     rows = rows.join(missing.where(F.col("scanner") == reference).select("case_id", F.lit(True).alias("r_gone")), "case_id", "left")
     rows = rows.join(missing.select("case_id", F.col("scanner").alias("peer"), F.lit(True).alias("p_gone")), ["case_id", "peer"], "left")
-    rows = rows.join(seen.where(F.col("scanner") == reference).select("case_id", *[F.col(c).alias(f"r_{c}") for c in ("ranges", "classes", "unclassed")]), "case_id", "left")
-    rows = rows.join(seen.select("case_id", F.col("scanner").alias("peer"), *[F.col(c).alias(f"p_{c}") for c in ("ranges", "classes", "unclassed")]), ["case_id", "peer"], "left")
+    rows = rows.join(seen.where(F.col("scanner") == reference).select("case_id", *[F.col(c).alias(f"r_{c}") for c in ("n", "unclassed")]), "case_id", "left")
+    rows = rows.join(seen.select("case_id", F.col("scanner").alias("peer"), *[F.col(c).alias(f"p_{c}") for c in ("n", "unclassed")]), ["case_id", "peer"], "left")
+    rows = rows.join(both, ["case_id", "peer"], "left")
     complete = (F.col("r_status") == "complete") & (F.col("p_status") == "complete")
     rows = rows.where(~complete | (F.col("r_gone").isNull() & F.col("p_gone").isNull()))
-    equal = F.col("r_ranges").eqNullSafe(F.col("p_ranges"))
-    classifiable = equal & F.col("r_ranges").isNotNull() & ~F.coalesce("r_unclassed", F.lit(False)) & ~F.coalesce("p_unclassed", F.lit(False))
+    equal = F.col("r_n").eqNullSafe(F.col("p_n")) & (F.coalesce("shared", F.lit(0)) == F.coalesce("r_n", F.lit(0)))
+    classifiable = equal & F.col("r_n").isNotNull() & ~F.coalesce("r_unclassed", F.lit(False)) & ~F.coalesce("p_unclassed", F.lit(False))
     disagreement = (
-        F.when(~equal & F.col("p_ranges").isNull(), "reference-only")
-        .when(~equal & F.col("r_ranges").isNull(), "peer-only")
+        F.when(~equal & F.col("p_n").isNull(), "reference-only")
+        .when(~equal & F.col("r_n").isNull(), "peer-only")
         .when(~equal, "range-disagreement")
-        .when(classifiable & (F.col("r_classes") != F.col("p_classes")), "classification-disagreement")
+        .when(classifiable & (F.col("alike") < F.col("shared")), "classification-disagreement")
         .otherwise("none")
     )
     unsupported = (F.col("r_status") == "unsupported") | (F.col("p_status") == "unsupported")

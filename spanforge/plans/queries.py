@@ -57,6 +57,48 @@ def interval_union(spark, sf_dir):
     return intervals.merge_ranges(corpus(spark, sf_dir).findings, measure.KEY)
 
 
+def _suite_texts(c):
+    """Findings and spans of a suite as those of one long text, each case sixty bytes after the one before: hot keys with a third of all rows."""
+    suites = c.cases.select("case_id", "suite")
+    moved = [(F.col(b) + 60 * F.col("case_id")).alias(b) for b in ("start_byte", "end_byte")]
+    findings = c.findings.join(suites, "case_id").select("scanner", F.col("suite").alias("case_id"), *moved)
+    envelope = [(F.col(b) + 60 * F.col("case_id")).alias(b) for b in ("env_start", "env_end")]
+    spans = c.spans.join(suites, "case_id").select(F.col("suite").alias("case_id"), (4 * F.col("case_id") + F.col("span_idx")).alias("span_idx"), "role", *moved, *envelope)
+    return findings, spans
+
+
+_SUITE_FINDINGS = "SELECT f.scanner, c.suite, f.start_byte + 60 * f.case_id AS s, f.end_byte + 60 * f.case_id AS e FROM findings f JOIN cases c ON f.case_id = c.case_id"
+
+
+@query(
+    f"""WITH f AS ({_SUITE_FINDINGS}),
+       o AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY scanner, suite ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM f),
+       g AS (SELECT *, sum(opens) OVER (PARTITION BY scanner, suite ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o)
+       SELECT scanner, suite, min(s) AS start_byte, max(e) AS end_byte, count(*) AS n FROM g GROUP BY scanner, suite, island""",
+    corpus_sql=True,
+)
+def suite_union(spark, sf_dir):
+    findings, _ = _suite_texts(corpus(spark, sf_dir))
+    return intervals.merge_ranges(findings, measure.KEY, counted=True).withColumnRenamed("case_id", "suite")
+
+
+@query(
+    f"""WITH f AS ({_SUITE_FINDINGS}),
+       p AS (SELECT c.suite, s.case_id, s.span_idx, s.start_byte + 60 * s.case_id AS s, s.end_byte + 60 * s.case_id AS e,
+               coalesce(s.env_start, s.start_byte) + 60 * s.case_id AS a, coalesce(s.env_end, s.end_byte) + 60 * s.case_id AS z FROM spans s JOIN cases c ON s.case_id = c.case_id WHERE s.role = 'secret'),
+       j AS (SELECT k.scanner, p.suite, p.case_id, p.span_idx, coalesce(bool_or(f.s = p.s AND f.e = p.e), FALSE) AS exact, coalesce(bool_or(f.s <= p.s AND f.e >= p.e AND f.s >= p.a AND f.e <= p.z), FALSE) AS covered,
+               coalesce(bool_or(f.s <= p.s AND f.e >= p.e), FALSE) AS holds, count(f.s) > 0 AS touched
+             FROM p CROSS JOIN (SELECT scanner FROM scanners WHERE status = 'complete') k LEFT JOIN f ON f.scanner = k.scanner AND f.suite = p.suite AND f.s < p.e AND p.s < f.e GROUP BY ALL)
+       SELECT scanner, suite, CASE WHEN exact THEN 'EXACT' WHEN covered THEN 'COVERED' WHEN holds THEN 'OVERBROAD' WHEN touched THEN 'PARTIAL' ELSE 'MISS' END AS outcome, count(*) AS spans FROM j GROUP BY ALL""",
+    corpus_sql=True,
+)
+def suite_outcomes(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    findings, spans = _suite_texts(c)
+    found = measure.span_outcomes(spans, findings, _complete(c))
+    return found.groupBy("scanner", F.col("case_id").alias("suite"), "outcome").agg(F.count("*").alias("spans"))
+
+
 @query("SELECT scanner, case_id, collateral_bytes AS outside FROM outside", scored=True)
 def bytes_outside(spark, sf_dir):
     c = corpus(spark, sf_dir)

@@ -128,6 +128,44 @@ def test_intervals_against_sets_of_bytes(spark):
     assert {r.k: [(x.s, x.e) for x in r.u] for r in arrays} == {k: sorted((r.start_byte, r.end_byte) for r in merged if r.k == k) for k in range(25)}
 
 
+def test_a_hot_text_is_many_tasks(spark):
+    """A third of all ranges in one text of megabytes: the union, shared bytes and outcomes against sets of bytes, and the plan."""
+    rng = random.Random(8)
+    length = 3_000_000
+    rows = [("hot", s, min(length, s + rng.choice((3, 60, 900, 4000)))) for s in (rng.randrange(length - 1) for _ in range(1500))]
+    rows += [("hot", 500_000, 900_000), ("hot", 899_999, 1_000_000), ("hot", 1_000_000, 1_000_001), ("hot", 2_000_000, 2_300_000)]
+    rows += [(f"k{i % 200}", s, s + 20) for i in range(3000) for s in [rng.randrange(400)]]
+    df = spark.createDataFrame(rows, "case_id string, start_byte bigint, end_byte bigint").withColumn("scanner", F.lit("a")).repartition(3)
+    merged = intervals.merge_ranges(df, ["scanner", "case_id"], counted=True)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert all("slice" in line for line in plan.split("\n") if "Window" in line and "max(end_byte" in line and "max(m" not in line)
+    placed = intervals.placed(df, ["scanner", "case_id"]).where("case_id = 'hot'")
+    assert placed.select("slice").distinct().count() > 40
+    found = merged.collect()
+    assert sum(r.n for r in found) == len(rows)
+    for k in ("hot", "k0", "k199"):
+        covered = bytearray(length)
+        for q, s, e in rows:
+            if q == k:
+                covered[s:e] = b"\1" * (e - s)
+        own = sorted((r.start_byte, r.end_byte) for r in found if r.case_id == k)
+        assert all(a[1] < b[0] for a, b in zip(own, own[1:])) and sum(e - s for s, e in own) == sum(covered)
+        assert all(all(covered[s:e]) for s, e in own)
+    spans = [("hot", i, s, s + rng.choice((1, 30, 70_000))) for i in range(300) for s in [rng.randrange(length - 70_000)]] + [("hot", 300, *rows[0][1:])]
+    sp = spark.createDataFrame(spans, "case_id string, span_idx int, start_byte bigint, end_byte bigint").withColumns({"role": F.lit("secret"), "env_start": F.when(F.col("span_idx") % 2 == 0, F.col("start_byte") - 100), "env_end": F.when(F.col("span_idx") % 2 == 0, F.col("end_byte") + 4000)})
+    got = {r.span_idx: r.outcome for r in measure.span_outcomes(sp, df, spark.createDataFrame([("a",)], "scanner string")).collect()}
+    hot = [(s, e) for q, s, e in rows if q == "hot"]
+    for _, i, s, e in spans:
+        a, z = (s - 100, e + 4000) if i % 2 == 0 else (s, e)
+        near = [(x, y) for x, y in hot if x < e and s < y]
+        inside = [(x, y) for x, y in near if x <= s and e <= y]
+        want = "EXACT" if (s, e) in near else "COVERED" if any(a <= x and y <= z for x, y in inside) else "OVERBROAD" if inside else "PARTIAL" if near else "MISS"
+        assert got[i] == want, (i, s, e)
+    shared = intervals.shared_bytes(sp.select(F.lit("a").alias("scanner"), "case_id", "span_idx", "start_byte", "end_byte"), merged, ["scanner", "case_id"])
+    islands = [(r.start_byte, r.end_byte) for r in found if r.case_id == "hot"]
+    assert {r.span_idx: r.shared for r in shared.collect()} == {i: sum(max(0, min(e, y) - max(s, x)) for x, y in islands) for _, i, s, e in spans}
+
+
 def test_rates(spark):
     assert to_fixed(1.005, 2) == 1.0 and to_fixed(0.5, 0) == 1.0 and to_fixed(2.5, 0) == 3.0
     rows = [(0, 0), (0, 9), (3, 4), (3, 5), (9, 9), (12, 6), (1, 1000)]
