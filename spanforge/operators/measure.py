@@ -17,6 +17,8 @@ from spanforge.functions.intervals import SLICE, acceptable_end, acceptable_star
 OUTCOMES = ("EXACT", "COVERED", "OVERBROAD", "PARTIAL", "MISS")
 KEY = ["scanner", "case_id"]
 MAX_LABELS = 8
+#: Fixed values, in their order: what the range of a finding in decoded text is.
+BOUNDS = ("source-segment", "source-segment-extended", "source-block")
 
 
 def is_leaked(outcome: Column) -> Column:
@@ -30,11 +32,15 @@ def is_acceptable(outcome: Column) -> Column:
 def dedupe_findings(findings: DataFrame) -> DataFrame:
     """One finding for each range of a text: the last emitted gives family and action; labels are united and the first eight kept.
 
-    Findings that are ``placed`` by text and slice stay where they are.
+    Of the ``mapping`` of findings in decoded text the smallest is kept, so that an
+    equal range of a plain finding doesn't hide it. Findings that are ``placed`` by text and slice stay where they are.
     """
     aggregates = [F.max_by(F.struct("family", "action"), "emit_seq").alias("last"), F.max("emit_seq").alias("emit_seq"), F.count("*").alias("reports")]
     if "labels" in findings.columns:
         aggregates.append(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))), 1, MAX_LABELS).alias("labels"))
+    if "mapping" in findings.columns:
+        order = F.struct(F.array_position(F.array(*[F.lit(b) for b in BOUNDS]), F.col("mapping.bound")), "mapping.layers", "mapping.codecs", "mapping")
+        aggregates.append(F.min(F.when(F.col("mapping").isNotNull(), order))["mapping"].alias("mapping"))
     found = findings.groupBy(*KEY, *[c for c in (SLICE,) if c in findings.columns], "start_byte", "end_byte").agg(*aggregates)
     return found.select(*[c for c in found.columns if c != "last"], "last.family", "last.action")
 

@@ -105,15 +105,21 @@ def review_state(queue: DataFrame, ledger: DataFrame) -> DataFrame:
 FINDING = [*KEY, "start_byte", "end_byte", "family", "action"]
 
 
+def whole_finding(findings: DataFrame) -> list[str]:
+    """The columns that make a finding what it is: labels and mapping too, where there are any."""
+    return [*FINDING, *[c for c in ("labels", "mapping") if c in findings.columns]]
+
+
 def _replay_counts(findings: DataFrame, replays: DataFrame) -> DataFrame:
     """Each whole finding with how often the replays report it (least, most), in how many of them (seen), and how many there are."""
     n = replays.select("scanner", "replay").distinct().groupBy("scanner").agg(F.count("*").alias("replays"))
-    counted = findings.groupBy(*FINDING, "replay").agg(F.count("*").alias("n"))
-    return counted.groupBy(*FINDING).agg(F.count("*").alias("seen"), F.min("n").alias("least"), F.max("n").alias("most")).join(n, "scanner")
+    whole = whole_finding(findings)
+    counted = findings.groupBy(*whole, "replay").agg(F.count("*").alias("n"))
+    return counted.groupBy(*whole).agg(F.count("*").alias("seen"), F.min("n").alias("least"), F.max("n").alias("most")).join(n, "scanner")
 
 
 def replay_sets(findings: DataFrame, replays: DataFrame) -> DataFrame:
-    """(scanner, divergent_cases): cases whose set of whole findings (range, family and action) isn't the same in all replays.
+    """(scanner, divergent_cases): cases whose set of whole findings (range, family, action, labels and mapping) isn't the same in all replays.
 
     ``replays`` (scanner, replay) is the roster: a replay that found nothing is one too.
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.operators.methods import FINDING
+from spanforge.operators.methods import whole_finding
 
 #: Status and reason of each outcome of a process; an exit with code 0 is none of them.
 OUTCOMES = {
@@ -43,7 +43,8 @@ def collate_replays(runs: DataFrame, findings: DataFrame, unmeasured: DataFrame,
     asked = F.lit(replays)
     failed = runs.where("status is not null").groupBy("scanner").agg(F.min(F.struct("replay", "status", "reason")).alias("failure"))
     ran = runs.groupBy("scanner").agg(F.count("*").alias("ran"))
-    seen = findings.groupBy(*FINDING, "replay").agg(F.count("*").alias("n")).groupBy(*FINDING).agg(F.count("*").alias("seen"), F.min("n").alias("least"), F.max("n").alias("most"))
+    whole = whole_finding(findings)
+    seen = findings.groupBy(*whole, "replay").agg(F.count("*").alias("n")).groupBy(*whole).agg(F.count("*").alias("seen"), F.min("n").alias("least"), F.max("n").alias("most"))
     differ = seen.where((F.col("seen") < asked) | (F.col("least") < F.col("most"))).select("scanner", "case_id")
     gaps = unmeasured.select("scanner", "case_id", "reason", "replay").distinct().groupBy("scanner", "case_id", "reason").agg(F.count("*").alias("seen")).where(F.col("seen") < asked)
     divergent = differ.unionByName(gaps.select("scanner", "case_id")).distinct()

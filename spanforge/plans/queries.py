@@ -11,6 +11,7 @@ from spanforge.functions import canonical, codecs, intervals, numeric, text
 from spanforge.operators import accounting, measure, methods, perf, representation, variants
 from spanforge.plans import runs
 from spanforge.plans.standin import CORPUS_SQL, SCORED_SQL, corpus, table
+from spanforge.sources import reports
 from spanforge.sources.store import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +100,45 @@ def suite_outcomes(spark, sf_dir):
     return found.groupBy("scanner", F.col("case_id").alias("suite"), "outcome").agg(F.count("*").alias("spans"))
 
 
+# ---------------------------------------------------------------- places of reported values
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+_KEY_HEAD, _KEY_FOOT = "-----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '{EMAIL}', 0) AS email, strlen(text) AS n, length(text) - length(replace(text, chr(10), '')) AS breaks FROM documents),
+       e AS (SELECT *, base64(encode(email)) AS once, hex(encode(base64(encode(email)))) AS twice, base64(encode('key of ' || email)) AS body, strlen(left(text, strpos(text, email) - 1)) AS spot FROM d WHERE email <> ''),
+       p AS (SELECT doc_id, 'plain' AS rule, spot AS start_byte, spot + strlen(email) AS end_byte, NULL AS bound, NULL AS layers FROM e
+         UNION ALL SELECT doc_id, 'escaped', spot, spot + strlen(email), NULL, NULL FROM e
+         UNION ALL SELECT doc_id, 'decoded', n + 5, n + 5 + strlen(once), 'source-segment', 1 FROM e
+         UNION ALL SELECT doc_id, 'decoded-twice', n + 10 + strlen(once), n + 10 + strlen(once) + strlen(twice), 'source-segment', 2 FROM e
+         UNION ALL SELECT doc_id, 'private-key', n + 11 + strlen(once) + strlen(twice), n + 11 + strlen(once) + strlen(twice) + {len(_KEY_HEAD) + len(_KEY_FOOT)} + strlen(body), 'source-block', 1 FROM e)
+       SELECT doc_id, rule, start_byte, end_byte, bound, CAST(layers AS INT) AS layers FROM p"""
+)
+def placed_reports(spark, sf_dir):
+    """Five reports of each document's first address: as it is, escaped, and in decoded text that is put after the document."""
+    found = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", EMAIL, 0).alias("email")).where("email <> ''")
+    once, body = F.base64(F.encode("email", "UTF-8")), F.base64(F.encode(F.concat(F.lit("key of "), F.col("email")), "UTF-8"))
+    twice = F.hex(F.encode(once, "UTF-8"))
+    lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"))) + 1
+    path = F.col("doc_id").cast("string").alias("path")
+    cases = materialize(found.select(path, F.concat("text", F.lit("\nb64 "), once, F.lit("\nhex "), twice, F.lit("\n" + _KEY_HEAD), body, F.lit(_KEY_FOOT)).alias("content")), "texts")
+    none = F.array().cast("array<string>")
+    tagged = lambda depth, *codecs: F.array(*[F.lit(f"decoded:{c}") for c in codecs], F.lit(f"decode-depth:{depth}"))
+    rows = {
+        "plain": (F.col("email"), F.lit(None), none),
+        "escaped": (F.replace("email", F.lit("@"), F.lit("%40")), F.lit(None), none),
+        "decoded": (F.col("email"), lines + 1, tagged(1, "base64")),
+        "decoded-twice": (F.col("email"), lines + 2, tagged(2, "base64", "hex")),
+        "private-key": (F.concat(F.lit(_KEY_HEAD + "key of "), F.col("email"), F.lit(_KEY_FOOT)), lines + 3, tagged(1, "base64")),
+    }
+    reported = F.array(*[F.struct(F.lit(rule).alias("rule"), v.alias("value"), n.cast("long").alias("line"), t.alias("tags")) for rule, (v, n, t) in rows.items()])
+    asked = found.select(path, F.explode(reported).alias("r")).select("path", F.col("r.rule").alias("raw"), "r.*")
+    placed, _ = reports.locate_values(asked, cases, "s", decoded=True)
+    return placed.select(F.col("path").cast("bigint").alias("doc_id"), F.col("family").alias("rule"), "start_byte", "end_byte", F.col("mapping.bound").alias("bound"), F.col("mapping.layers").alias("layers"))
+
+
 @query("SELECT scanner, case_id, collateral_bytes AS outside FROM outside", scored=True)
 def bytes_outside(spark, sf_dir):
     c = corpus(spark, sf_dir)

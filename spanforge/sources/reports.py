@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import claims, located, utf16_offsets
+from spanforge.functions.text import utf16_offsets
+from spanforge.sources.placement import DECODED, DECODED_LINE, KEY_BLOCK, Part, RowRule, place, searches
+from spanforge.sources.store import materialize
 
 VALUE_ROW = "rule string, path string, line bigint, value string, tags array<string>"
 OFFSET_ROW = "path string, start bigint, end bigint, label string, type string, action string, done boolean, findings bigint"
@@ -31,27 +33,59 @@ def drop_decoded_duplicates(rows: DataFrame) -> DataFrame:
     return marked.where(~F.col("decoded")).unionByName(marked.where("decoded").join(plain, same, "left_anti")).drop("decoded")
 
 
-def locate_values(rows: DataFrame, cases: DataFrame, scanner: str) -> tuple[DataFrame, DataFrame]:
-    """(findings, unmeasured) of reports that name a value and perhaps a line.
+#: Tags of rows that were found in decoded text, and the rule of key blocks.
+_DECODED, _DEPTH, _KEY_RULE = "decoded:", "decode-depth:", "private-key"
 
-    The k-th of identical reports takes the k-th occurrence. A report that
-    can't be placed makes its path unmeasured, and the path's findings go.
+
+def value_rules() -> list[RowRule]:
+    """How a row (rule, value, line, tags) is searched: a decoded key block, a value of a decoded line, or the value as it is."""
+    tags, value, line = F.coalesce("tags", F.array().cast("array<string>")), F.col("value"), F.col("line")
+    decoded, once = F.array_contains(tags, _DECODED + "base64"), F.array_contains(tags, _DEPTH + "1")
+    return [
+        RowRule(decoded & (F.col("rule") == _KEY_RULE), once, (Part(value, line, KEY_BLOCK),)),
+        RowRule(decoded, once, (Part(value, line, DECODED_LINE),)),
+        RowRule(F.lit(True), value != "", (Part(value, line),)),
+    ]
+
+
+def decoded_rule() -> RowRule:
+    """A row that names its codecs and depth is searched as the run that decodes to it."""
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    codecs = F.transform(F.filter(tags, lambda t: t.startswith(_DECODED)), lambda t: F.substring(t, F.lit(len(_DECODED) + 1), F.char_length(t)))
+    depths = F.filter(tags, lambda t: t.startswith(_DEPTH))
+    depth = F.substring(F.try_element_at(depths, F.lit(-1)), len(_DEPTH) + 1, 10).try_cast("int")
+    fits = (F.size(F.array_except(codecs, F.array(F.lit("base64"), F.lit("hex")))) == 0) & depth.isNotNull()
+    return RowRule(F.size(codecs) > 0, fits, (Part(F.col("value"), F.col("line"), DECODED, codecs=F.array_sort(F.array_distinct(codecs)), least=depth, most=depth),))
+
+
+def locate_rows(rows: DataFrame, cases: DataFrame, scanner: str, rules: list[RowRule], first: RowRule | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings, unmeasured) of report rows (path, raw, rule) by the rules; rows that ``first`` applies to are tried by it, and by the rules if that fails.
+
+    A report that can't be placed, or a part of it, makes its path unmeasured, and the
+    path's findings go. Equal reports claim places in the order of their raw
+    text. Findings carry the mapping of a place in decoded text, else null.
     """
-    order = Window.partitionBy("path").orderBy("raw")
-    numbered = rows.withColumn("emit_seq", F.row_number().over(order)).withColumn("claim_line", F.coalesce("line", F.lit(-1)))
-    keys = ["path", "value", "claim_line"]
-    texts = numbered.select(*keys).distinct().join(cases.select("path", "content"), "path")
-    spots = texts.select(*keys, F.explode(located(F.col("content"), F.col("value"))).alias("at")).select(*keys, "at.start_byte", "at.line")
-    spots = spots.where((F.col("claim_line") < 0) | (F.col("line") == F.col("claim_line")))
-    placed = claims(numbered, spots.select(*keys, "start_byte"), keys)
-    known = placed.join(cases.select("path", F.lit(True).alias("known")), "path", "left")
-    failed = known.where("start_byte is null").groupBy("path").agg(F.min(F.when(F.col("known").isNull(), "unknown-path").otherwise("ambiguous-location")).alias("reason"))
-    found = placed.join(failed.select("path"), "path", "left_anti").select(
-        F.lit(scanner).alias("scanner"), "path", "start_byte", (F.col("start_byte") + F.octet_length("value")).alias("end_byte"), F.col("rule").alias("family"), F.lit(None).cast("string").alias("action"), "emit_seq"
-    )
+    # The rows' order over all paths, without a window on a path.
+    rows = materialize(rows.repartitionByRange("path", "raw").sortWithinPartitions("path", "raw").withColumn("emit_seq", F.monotonically_increasing_id()), "rows")
+    tried = []
+    if first is not None:
+        by_first = materialize(place(searches(rows.where(F.coalesce(first.applies, F.lit(False))), [first]), cases), "placed")
+        tried.append(by_first.where("reason is null"))
+        rows = rows.join(tried[0].select("emit_seq").distinct(), "emit_seq", "left_anti")
+    placed = materialize(place(searches(rows, rules), cases), "placed")
+    for found in tried:
+        placed = placed.unionByName(found)
+    failed = placed.where("reason is not null").groupBy("path").agg(F.min("reason").alias("reason"))
+    kept = placed.where("reason is null and keeps").join(failed.select("path"), "path", "left_anti")
+    found = kept.select(F.lit(scanner).alias("scanner"), "path", "start_byte", "end_byte", F.col("rule").alias("family"), F.lit(None).cast("string").alias("action"), "emit_seq", "mapping")
     return found, failed.select(F.lit(scanner).alias("scanner"), "path", "reason")
 
 
+def locate_values(rows: DataFrame, cases: DataFrame, scanner: str, *, decoded: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(findings, unmeasured) of reports that name a value and perhaps a line; ``decoded``: values of decoded text are first searched as the run they come from."""
+    return locate_rows(rows, cases, scanner, value_rules(), decoded_rule() if decoded else None)
+
+
 def map_offsets(rows: DataFrame, cases: DataFrame, scanner: str) -> tuple[DataFrame, DataFrame]:
     """(findings, problems) of reports with UTF-16 offsets and a closing row that counts them.
 

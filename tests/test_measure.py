@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import intervals, numeric
 from spanforge.functions.canonical import corpus_digest
 from spanforge.functions.numeric import Accounting, Floor, to_fixed
-from spanforge.operators import accounting, measure
+from spanforge.operators import accounting, measure, methods
 from spanforge.sources import corpus
 
 A = "must-redact"
@@ -128,6 +128,16 @@ def test_intervals_against_sets_of_bytes(spark):
     assert {r.k: [(x.s, x.e) for x in r.u] for r in arrays} == {k: sorted((r.start_byte, r.end_byte) for r in merged if r.k == k) for k in range(25)}
 
 
+def test_mappings_are_kept_and_compared(spark):
+    rows = [("k", 0, 9, None, 5), ("k", 0, 9, ("source-block", 1, ["base64"]), 1), ("k", 0, 9, ("source-segment", 2, ["base64", "hex"]), 2), ("k", 0, 9, ("source-segment", 2, ["base64"]), 3), ("k", 1, 9, None, 1)]
+    df = spark.createDataFrame([("s", *r, "f", None) for r in rows], "scanner string, case_id string, start_byte int, end_byte int, mapping struct<bound: string, layers: int, codecs: array<string>>, emit_seq int, family string, action string")
+    got = {r.start_byte: r for r in measure.dedupe_findings(df).collect()}
+    assert tuple(got[0].mapping) == ("source-segment", 2, ["base64"]) and got[0].emit_seq == 5 and got[1].mapping is None
+    twice = df.where("emit_seq < 3 and start_byte = 0").withColumn("replay", F.col("emit_seq") - 1)
+    roster = spark.createDataFrame([("s", 0), ("s", 1)], "scanner string, replay int")
+    assert [tuple(r) for r in methods.replay_sets(twice, roster).collect()] == [("s", 1)] and methods.replay_sets(twice.drop("mapping"), roster).collect() == []
+
+
 def test_a_hot_text_is_many_tasks(spark):
     """A third of all ranges in one text of megabytes: the union, shared bytes and outcomes against sets of bytes, and the plan."""
     rng = random.Random(8)
