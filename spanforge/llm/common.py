@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanforge.sources.store import discard, materialize, shared_dir
 
-__all__ = ["HOT_SHARE", "discard", "join_hot", "materialize", "pieces", "release", "shared_dir", "slices", "table"]
+__all__ = ["HOT_SHARE", "discard", "join_hot", "materialize", "pieces", "release", "shared_dir", "slices", "table", "unused"]
 
 
 #: Keys with over 1 / HOT_SHARE of all rows count as hot.
@@ -44,6 +44,17 @@ def join_hot(rows: DataFrame, per_key: DataFrame, key: str, *, n_col: str = "n",
     return found.unionByName(others.select(kept))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores after those that a table has in any case of letters, and all different."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def pieces(arrays, max_bytes: int):
     """Arrow arrays of strings or bytes in parts of about ``max_bytes``, or of one value."""
     try:

@@ -3,7 +3,10 @@
 Every page scores its containers by the text that isn't in links, each against
 the sum of its parts, and names the best by its path of tags and generalised classes. Spark counts the votes of
 each host, and pages are read again with the winning path of their host; a
-page without an element there is read by its own best container.
+page without an element there is read by its own best container. The vote is
+for an inner container, the text is taken from around it: whole article elements,
+and what runs on beside the container without one of its own. What most of a host's different articles
+repeat word for word isn't part of any of them.
 """
 
 from __future__ import annotations
@@ -19,15 +22,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import materialize, slices
+from spanforge.llm.common import discard, materialize, slices, unused
 
 SLICE_BYTES = 4 << 20
 MIN_VOTES = 2
 #: Of a container's text outside links, what may stay behind if a part of it is taken instead; a headline may not.
 REST_PERCENT = 3
 REST_CHARS = 20
-#: Of a page's text, what an article or main element holds at least to be taken for the main text.
+#: Of a page's text, what the largest article or main element holds at least to be taken for the main text; and what others of its path hold of the largest's.
 MAIN_PERCENT = 25
+#: A block on more than half of a host's different articles, and REPEATED of them, is boilerplate.
+REPEATED = 5
+REPEATED_PERCENT = 50
+#: An element with a weak name that holds so many characters outside links, and less text in links than that, is text like any other.
+LONG_CHARS = 400
 PATH_CHARS = 1000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<attrs2>[^>]*+)>""", re.S)
@@ -55,8 +63,13 @@ DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense adsbygoogle adslot sponsor sponsored sponsors promo promos promotion promoted "
     "comment comments commentlist disqus respond replies discussion livefyre related recommended recommendations trending "
     "cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal lightbox paywall noprint "
-    "share sharing social socials sharebar breadcrumb breadcrumbs pagination pager copyright colophon".split()
+    "share sharing social socials sharebar breadcrumb breadcrumbs pagination pager copyright colophon "
+    "kommentar kommentare kommentarbereich werbung anzeige anzeigen teilen verwandt verwandte commentaire commentaires publicite publicites partager "
+    "comentario comentarios publicidad anuncio anuncios compartir relacionados boletin".split()
 )
+#: Of these, the ones that also name parts of articles: they count for short or linked text only.
+LOOSE_WORDS = frozenset("notice notices promo promos promotion promoted social socials discussion respond replies sponsor sponsors related copyright paywall anzeige anzeigen verwandt verwandte teilen".split())
+REMARK_WORDS = frozenset("comment comments commentlist disqus respond replies discussion kommentar kommentare kommentarbereich commentaire commentaires comentario comentarios".split())
 PART_WORDS = frozenset(
     "box block section container wrapper wrap list area bar unit slot item items inner outer widget panel module group row col column top bottom left right "
     "header title footer form button buttons link links post posts article articles story stories content text page site main count thread reply area js google dfp block banner".split()
@@ -86,6 +99,8 @@ class Node:
     drop: int  # one of the kinds below
     dropped: bool = False
     doubtful: bool = False  # not main text, unless the main text is around it
+    loose: bool = False  # named by words that name parts of articles too
+    remark: bool = False  # named as what readers say
 
 
 #: Why an element may not be main text: its tag, a whole name, one word of a name, a word that may name a wrapper, a form, a header.
@@ -137,26 +152,31 @@ def _node(tag: str, attr_text: str, parent: int, above: str) -> Node:
     path = f"{above}>{_label(tag, attrs)}" if above else _label(tag, attrs)
     if len(path) > PATH_CHARS:
         path = "#" + xxhash.xxh3_128_hexdigest(path.encode("utf-8", "surrogatepass"))
-    return Node(tag, path, parent, 3 if main else 2 if content else 1, main, drop)
+    named = words & DROPPED_WORDS
+    return Node(tag, path, parent, 3 if main else 2 if content else 1, main, drop, loose=named <= LOOSE_WORDS, remark=bool(named & REMARK_WORDS))
 
 
-def _mark_dropped(nodes: list[Node], chars: list[int]) -> None:
-    """``chars``: the characters of the text directly in each node."""
+def _mark_dropped(nodes: list[Node], chars: list[int], linked: list[int]) -> None:
+    """``chars``, ``linked``: the characters outside and inside links directly in each node."""
     n = len(nodes)
-    holds_main, headline, total = [False] * n, [node.tag == "h1" for node in nodes], list(chars)
+    holds_main, headline, total, links = [False] * n, [node.tag == "h1" for node in nodes], list(chars), list(linked)
     for i in range(n - 1, 0, -1):
         node, up = nodes[i], nodes[i].parent
         if node.drop != NEVER:
             holds_main[up] |= node.main or holds_main[i]
             headline[up] |= headline[i] and node.drop != HEADER
             total[up] += total[i]
+            links[up] += links[i]
     content = [False] * n  # inside something that names the main text
     for i in range(1, n):
         node, up = nodes[i], nodes[i].parent
         content[i] = content[up] or (node.boost > 1 and node.tag != "body")
         around = holds_main[i] or headline[i]
         if node.drop == NAMED:
-            own = not headline[i]
+            # A name alone doesn't outweigh most of the page's text, nor a loose name a long text.
+            most = total[i] * 5 > total[0] * 4 if node.remark else total[i] * 2 > total[0]
+            long = node.loose and content[up] and total[i] >= LONG_CHARS and links[i] < total[i]
+            own = not headline[i] and not most and not long
         elif node.drop == WORD:
             own = False
             node.doubtful = not around and not content[up]
@@ -251,11 +271,11 @@ def parse(html: str) -> tuple[list[Node], list[Block]]:
         if tag in BLOCK:
             owner = stack[-1]
     flush()
-    chars = [0] * len(nodes)
+    chars, links = [0] * len(nodes), [0] * len(nodes)
     for _, parts in found:
         for i, t, linked in parts:
-            chars[i] += 0 if linked else len(t.strip())
-    _mark_dropped(nodes, chars)
+            (links if linked else chars)[i] += len(t.strip())
+    _mark_dropped(nodes, chars, links)
     blocks = []
     for node, parts in found:
         text = " ".join("".join(t for i, t, _ in parts if not nodes[i].dropped).split())
@@ -278,8 +298,17 @@ def _masses(nodes: list[Node], blocks: list[Block]) -> tuple[list[int], list[boo
     return mass, headline
 
 
+def _mains(nodes: list[Node], mass: list[int]) -> list[int]:
+    """The article or main element with the most text, and the others at its path that hold a share of that; none inside another."""
+    some = [i for i in range(1, len(nodes)) if nodes[i].main and not nodes[i].dropped and mass[i] * 100 >= MAIN_PERCENT * mass[0]]
+    if not some:
+        return []
+    best = max(some, key=lambda i: (mass[i], i))
+    return [i for i in range(1, len(nodes)) if i == best or nodes[i].path == nodes[best].path and not nodes[i].dropped and mass[i] * 100 >= MAIN_PERCENT * mass[best]]
+
+
 def best_container(nodes: list[Node], blocks: list[Block]) -> tuple[int, int] | None:
-    """(node, score): the container of the main text, and the text that it holds outside links.
+    """(node, score): the container that a page votes for, and the text that it holds outside links.
 
     The search goes down from the root, or from the article or main element
     with the most text, to the container that holds all but ``REST_PERCENT`` of
@@ -293,8 +322,7 @@ def best_container(nodes: list[Node], blocks: list[Block]) -> tuple[int, int] |
     for i in range(1, len(nodes)):
         if mass[i] and not nodes[i].dropped:
             children[nodes[i].parent].append(i)
-    mains = [i for i in range(1, len(nodes)) if nodes[i].main and mass[i] * 100 >= MAIN_PERCENT * mass[0]]
-    at = max(mains, key=lambda i: (mass[i], i), default=0)
+    at = max(_mains(nodes, mass), key=lambda i: (mass[i], i), default=0)
     best = at
     while children[at]:
         k = max(children[at], key=lambda i: (mass[i], -i))
@@ -307,25 +335,73 @@ def best_container(nodes: list[Node], blocks: list[Block]) -> tuple[int, int] |
     return best, mass[best]
 
 
-def main_text(html: str | None, path: str | None = None) -> str:
-    """The blocks inside the elements at ``path``, or else in the page's own best container, or else of the whole page."""
+def _whole(nodes: list[Node], chosen: set[int]) -> set[int]:
+    """The chosen containers, or the article or main elements around them."""
+    out = set()
+    for i in chosen:
+        up, main = i, None
+        while up > 0:
+            main = up if nodes[up].main and not nodes[up].dropped else main
+            up = nodes[up].parent
+        out.add(i if main is None else main)
+    return out
+
+
+def _beside(nodes: list[Node], inside: list[bool], around: list[bool], block: Block) -> bool:
+    """Whether a block stands beside a chosen container, in an element that is around it, without a container of its own."""
+    at = block.node
+    while at > 0 and not around[at]:
+        if inside[at] or nodes[at].tag not in TEXT_TAGS and nodes[at].tag not in ("ul", "ol", "dl"):
+            return False
+        at = nodes[at].parent
+    return at > 0 and nodes[at].tag not in ("html", "head")
+
+
+def main_blocks(html: str | None, path: str | None = None) -> list[str]:
+    """The blocks of the elements at ``path``, or else of the page's own best containers, with what is around and beside; or else of the whole page."""
     nodes, blocks = parse(html or "")
     chosen = {i for i, n in enumerate(nodes) if n.path == path and not n.dropped} if path else set()
-    inside = [False] * len(nodes)
 
-    def taken() -> list[str]:
+    def taken(chosen: set[int]) -> list[str]:
+        if not any(nodes[i].tag in ("", "html", "body") for i in chosen):
+            chosen = _whole(nodes, chosen)
+        inside, around = [False] * len(nodes), [False] * len(nodes)
+        for i in chosen:
+            up = nodes[i].parent
+            while up > 0:
+                around[up] = True
+                up = nodes[up].parent
         inside[0] = 0 in chosen
         for i in range(1, len(nodes)):
             inside[i] = i in chosen or inside[nodes[i].parent]
         whole = any(nodes[i].tag in ("", "html", "body") for i in chosen)
-        return [b.text for b in blocks if inside[b.node] and (not nodes[b.node].doubtful or not whole and 2 * b.link_chars < len(b.text))]
 
-    found = taken() if chosen else []
+        def kept(b: Block) -> bool:
+            plain = 2 * b.link_chars < len(b.text)
+            if inside[b.node]:
+                return not nodes[b.node].doubtful or not whole and plain
+            return plain and not nodes[b.node].doubtful and _beside(nodes, inside, around, b)
+
+        return [b.text for b in blocks if kept(b)] if any(inside[b.node] for b in blocks) else []
+
+    found = taken(chosen) if chosen else []
     if not found:
         best = best_container(nodes, blocks)
-        chosen = {best[0]} if best else set()
-        found = taken() if chosen else [b.text for b in blocks if not nodes[b.node].doubtful]
-    return "\n".join(found)
+        if best:
+            mass, _ = _masses(nodes, blocks)
+            found = taken(set(_mains(nodes, mass)) or {best[0]})
+        else:
+            found = [b.text for b in blocks if not nodes[b.node].doubtful]
+    return found
+
+
+def main_text(html: str | None, path: str | None = None, repeated: frozenset[int] = frozenset()) -> str:
+    """The main blocks, less those whose hash is in ``repeated``."""
+    return "\n".join(b for b in main_blocks(html, path) if not repeated or block_hash(b) not in repeated)
+
+
+def block_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def host_of(url: Column) -> Column:
@@ -333,26 +409,45 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)
 
 
-def consensus_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_votes: int = MIN_VOTES) -> DataFrame:
-    """(host, path): the path that most pages of a host vote for (ties: more text, then the larger path), with ``min_votes`` at least."""
+def page_votes(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, path, score, article, blocks) of each page with a host: its best container, the hash of its longest main block, and those of all of them."""
 
     def run(batches):
         for part in slices(batches, "html", SLICE_BYTES):
-            hosts, paths, scores = [], [], []
+            rows = []
             for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                 nodes, blocks = parse(html)
                 if best := best_container(nodes, blocks):
-                    hosts.append(host)
-                    paths.append(nodes[best[0]].path)
-                    scores.append(best[1])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.int64())], ["host", "path", "score"])
+                    found = main_blocks(html)
+                    longest = max(found, key=lambda t: (len(t), t), default="")
+                    rows.append((host, nodes[best[0]].path, best[1], block_hash(longest), list({block_hash(t) for t in found})))
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["host", "path", "score", "article", "blocks"])
 
     rows = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html")).where("host <> '' and html is not null")
-    votes = rows.mapInArrow(run, "host string, path string, score bigint").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum(F.col("score").cast("decimal(38,0)")).alias("score"))
-    best = votes.groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("best"))
+    return rows.mapInArrow(run, "host string, path string, score bigint, article bigint, blocks array<bigint>")
+
+
+def consensus_paths(votes: DataFrame, *, min_votes: int = MIN_VOTES) -> DataFrame:
+    """(host, path): the path that most pages of a host vote for (ties: more text, then the larger path), with ``min_votes`` at least."""
+    counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum(F.col("score").cast("decimal(38,0)")).alias("score"))
+    best = counted.groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("best"))
     return best.where(F.col("best.votes") >= min_votes).select("host", F.col("best.path").alias("path"))
 
 
+def repeated_blocks(votes: DataFrame) -> DataFrame:
+    """(host, repeated): hashes of blocks on more than REPEATED_PERCENT of a host's different articles, and on REPEATED of them.
+
+    Pages with the same longest block are one article, so that copies of a page
+    don't make its text boilerplate; the longest block itself is on one article.
+    A page has so many such blocks at most as twice its own, and so has a host.
+    """
+    on = votes.select("host", "article", F.explode("blocks").alias("block")).distinct().groupBy("host", "block").agg(F.count("*").alias("n"))
+    total = votes.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles")).where(F.col("articles") >= REPEATED)
+    often = on.where(F.col("n") >= REPEATED).join(total, "host").where(F.col("n") * 100 > F.col("articles") * REPEATED_PERCENT)
+    return often.groupBy("host").agg(F.collect_list("block").alias("repeated"))
+
+
 def extract_main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", as_col: str = "text", min_votes: int = MIN_VOTES) -> DataFrame:
     """Add the main text of every page; a column of that name is replaced.
 
@@ -364,15 +459,19 @@ def extract_main_text(pages: DataFrame, *, url_col: str = "url", html_col: str =
     the page's length and its depth. A hot host's votes are counted in parts
     first, and its pages needn't meet.
     """
-    winners = materialize(consensus_paths(pages, url_col=url_col, html_col=html_col, min_votes=min_votes), "host-paths")
-    winners = winners.select(F.col("host").alias("__host"), F.col("path").alias("__path"))
+    votes = materialize(page_votes(pages, url_col=url_col, html_col=html_col), "votes")
+    hosts = materialize(consensus_paths(votes, min_votes=min_votes).join(repeated_blocks(votes), "host", "full"), "host-paths")
+    discard(votes)
+    host, path, repeated, key, text = unused(pages.columns, "host", "path", "repeated", "key", "text_")
+    hosts = hosts.select(F.col("host").alias(host), F.col("path").alias(path), F.col("repeated").alias(repeated))
 
     @F.arrow_udf("string")
-    def extract(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for htmls, paths in rows:
-            for part in slices([pa.RecordBatch.from_arrays([htmls, paths], ["html", "path"])], "html", SLICE_BYTES):
-                yield pa.array([main_text(h, p) for h, p in zip(part.column("html").to_pylist(), part.column("path").to_pylist())], pa.string())
-
-    joined = pages.withColumn("__key", host_of(F.col(f"`{url_col}`"))).join(winners, F.col("__key") == F.col("__host"), "left")
-    found = joined.withColumn("__text", extract.asNondeterministic()(F.col(f"`{html_col}`"), F.col("__path")))
-    return found.select(*[F.col(f"`{c}`") for c in pages.columns if c != as_col], F.col("__text").alias(as_col))
+    def extract(rows: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for htmls, paths, blocks in rows:
+            for part in slices([pa.RecordBatch.from_arrays([htmls, paths, blocks], ["html", "path", "blocks"])], "html", SLICE_BYTES):
+                columns = [part.column(k).to_pylist() for k in range(3)]
+                yield pa.array([main_text(h, p, frozenset(r or ())) for h, p, r in zip(*columns)], pa.string())
+
+    joined = pages.withColumn(key, host_of(F.col(f"`{url_col}`"))).join(hosts, F.col(key) == F.col(host), "left")
+    found = joined.withColumn(text, extract.asNondeterministic()(F.col(f"`{html_col}`"), F.col(path), F.col(repeated)))
+    return found.select(*[F.col(f"`{c}`") for c in pages.columns if c != as_col], F.col(text).alias(as_col))

@@ -116,3 +116,102 @@ def test_generated_pages_with_several_layouts_a_host(spark):
     print("precision", right / said, "recall", right / meant, sorted(worst)[:3], sorted(worst, key=lambda x: x[1])[:3])
     assert right / said >= 0.98 and right / meant >= 0.98
     assert min(w[1] for w in worst) >= 0.9
+
+
+PARAGRAPHS = "".join(f"<p>Paragraph {k} says something of its own, number {k * 7}, and ends.</p>" for k in range(200))
+FRAME = "<html><body><nav><a href=/>Home</a></nav>{}<footer>Imprint</footer></body></html>"
+
+
+def lines_of(html):
+    return main_text(html).split("\n")
+
+
+def test_what_stands_beside_the_container_is_kept():
+    closing = "<p>The last paragraph says how it ended.</p>"
+    for wrap in ("<div>{}</div>", "<article>{}</article>", "<main>{}</main>", "<div class='a'><div class='b'>{}</div></div>"):
+        found = lines_of(FRAME.format(wrap.format(f"<div class='inner'><h1>Headline</h1>{PARAGRAPHS}</div>{closing}")))
+        assert len(found) == 202 and found[0] == "Headline" and found[-1] == "The last paragraph says how it ended.", wrap
+    teaser = "<div class='x'><p>A teaser of another story, with a few words.</p></div><p><a href=/b>Read more about another story</a></p>"
+    assert len(lines_of(FRAME.format(f"<div><div class='inner'><h1>Headline</h1>{PARAGRAPHS}</div>{teaser}</div>"))) == 201
+
+
+def test_names_alone_do_not_drop_the_article():
+    for name in ("discussion", "results discussion", "notice", "promotion", "social", "respond"):
+        found = lines_of(FRAME.format(f"<article><h1>Headline</h1><div class='{name}'>{PARAGRAPHS}</div></article>"))
+        assert len(found) == 201, name
+        part = lines_of(FRAME.format(f"<article><h1>Headline</h1>{PARAGRAPHS}<div class='notice'>{PARAGRAPHS[:1600]}</div></article>"))
+        assert len(part) > 201, name
+    for name in ("comments", "kommentare", "werbung", "publicidad", "ad", "notice"):
+        short = "<p>Short text of someone else.</p>"
+        assert len(lines_of(FRAME.format(f"<article><h1>Headline</h1>{PARAGRAPHS}<div class='{name}'>{short}</div></article>"))) == 201, name
+    many = "".join(f"<div class='c'><p>A reader, number {k}, says a lot about it and about more.</p></div>" for k in range(300))
+    assert len(lines_of(FRAME.format(f"<article><h1>Headline</h1>{PARAGRAPHS}</article><div id='comments'>{many}</div>"))) == 201
+
+
+def test_several_articles():
+    half = len(PARAGRAPHS) // 2 // 70
+    first, second = (PARAGRAPHS.split("<p>Paragraph 100 ")[0], "<p>Paragraph 100 " + PARAGRAPHS.split("<p>Paragraph 100 ")[1])
+    assert half and len(lines_of(FRAME.format(f"<article>{first}</article><article>{second}</article>"))) == 200
+    assert len(lines_of(FRAME.format("".join(f"<article><p>Story {k} is told here in some words.</p></article>" for k in range(10))))) == 10
+
+
+def test_what_a_host_repeats_goes_and_copies_stay(spark):
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    aside = "<div class='qx7'><p>Twelve words that this host puts into each of its articles</p></div>"
+    pages = {i: [text(40) for _ in range(5)] for i in range(12)}
+    copied = [text(40) for _ in range(5)]
+    page = lambda parts, extra: FRAME.format("<article>" + "".join(f"<p>{t}</p>" for t in parts[:3]) + extra + "".join(f"<p>{t}</p>" for t in parts[3:]) + "</article>")
+    rows = [(i, f"http://a.example/{i}", page(p, aside), 0) for i, p in pages.items()] + [(100 + i, "http://a.example/copy", page(copied, aside), 0) for i in range(60)]
+    rows += [(200 + i, f"http://b.example/{i}", page(p, ""), 0) for i, p in pages.items()]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, repeated int").withColumnRenamed("repeated", "Host")
+    found = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    assert all(found[i] == "\n".join(p) and found[200 + i] == "\n".join(p) for i, p in pages.items())
+    assert all(found[100 + i] == "\n".join(copied) for i in range(60))
+
+
+def test_a_page_of_megabytes():
+    big = "".join(f"<p>Part {k} with <a href='/{k}'>a link</a> and words enough to be text.</p>" for k in range(40_000))
+    assert len(lines_of(FRAME.format(f"<div><div>{big}</div><p>The end of it all.</p></div>"))) == 40_001
+
+
+def test_whole_table_against_brute_force(spark):
+    """Score, vote, repetition and choice again, over the whole given table, with plain loops."""
+    import os
+
+    import pytest
+
+    from spanforge.llm.html_consensus import REPEATED, REPEATED_PERCENT, main_blocks
+    from spanforge.llm.queries import op5_html_consensus
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("needs the given tables")
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    host = lambda url: (url or "").lower().split("://")[-1].split("/")[0].split("@")[-1].split(":")[0] if "://" in (url or "") else ""
+    votes, mass, on, articles = Counter(), Counter(), {}, {}
+    for _, url, html in pages:
+        nodes, blocks = parse(html or "")
+        if host(url) and html is not None and (best := best_container(nodes, blocks)):
+            key = host(url), nodes[best[0]].path
+            votes[key] += 1
+            mass[key] += best[1]
+            found = main_blocks(html)
+            article = max(found, key=lambda t: (len(t), t), default="")
+            articles.setdefault(host(url), set()).add(article)
+            for t in found:
+                on.setdefault((host(url), t), set()).add(article)
+    path = {}
+    for (h, p), n in votes.items():
+        if n >= 2 and (h not in path or (n, mass[h, p], p) > path[h][0]):
+            path[h] = ((n, mass[h, p], p), p)
+    got = {r.page_id: r.text for r in op5_html_consensus(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(pages)
+    for page_id, url, html in pages:
+        h = host(url)
+        found = main_blocks(html, path[h][1] if h in path else None)
+        often = lambda t: len(on.get((h, t), ())) >= REPEATED and len(on[h, t]) * 100 > len(articles[h]) * REPEATED_PERCENT  # noqa: E731, B023
+        assert got[page_id] == "\n".join(t for t in found if not often(t)), page_id
+        # The given pages have one article element each: all its words are there.
+        if html and html.count("<article") == 1:
+            inner = html.split("<article")[1].split(">", 1)[1].split("</article>")[0]
+            assert len(got[page_id].split()) >= 0.98 * len(main_text(f"<article>{inner}</article>").split())
