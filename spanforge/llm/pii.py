@@ -42,8 +42,10 @@ PART_ROWS = 256
 MOST_BROADCAST = 1 << 15
 #: Letters of a term; a longer run of letters is no word.
 LONGEST_TERM = 64
-#: Bits of the filter of terms that scans are given, whatever the corpus: a full one lets more through, and joins decide.
-FILTER_BITS = 1 << 25
+#: Bits for each term of the filter that scans are given, and the most bits of a filter. With more terms than
+#: half fill that there is no filter: everything goes through, and joins decide.
+TERM_BITS = 16
+MOST_BITS = 1 << 27
 FILTER_HASHES = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -104,6 +106,9 @@ def terms_of(text: str) -> set[str]:
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
+_HITS = pa.list_(pa.struct([("term", pa.binary()), ("spots", pa.list_(_SPAN))]))
+
+
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text_key, text_sha256, base, entities, terms, text) for every row; terms and the text only where there is an entity."""
 
@@ -136,37 +141,43 @@ def _text_key(text: Column) -> tuple[Column, Column]:
 # ---------------------------------------------------------------- filters of terms
 
 
-def _bits(digests: list[bytes]) -> np.ndarray:
-    """FILTER_HASHES places in the filter for each digest."""
+def _bits(digests: list[bytes], size: int) -> np.ndarray:
+    """FILTER_HASHES places in a filter of ``size`` bits for each digest."""
     h = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
     k = np.arange(FILTER_HASHES, dtype=np.uint64)
-    return ((h[:, :1] + k * h[:, 1:]) % np.uint64(FILTER_BITS)).astype(np.int64)
+    return ((h[:, :1] + k * h[:, 1:]) % np.uint64(size)).astype(np.int64)
 
 
-def _term_filter(terms: DataFrame) -> np.ndarray:
-    """A Bloom filter of the terms: FILTER_BITS bits, made in parts and united by Spark."""
+def _term_filter(terms: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of the terms, made in parts and united by Spark; None for more terms than fit one."""
+    n = terms.count()
+    size = max(64, min(1 << (n * TERM_BITS - 1).bit_length(), MOST_BITS)) if n else 64
+    if n * FILTER_HASHES > size * np.log(2):
+        return None
 
     def run(batches):
-        words = np.zeros(FILTER_BITS // 64, np.uint64)
+        words = np.zeros(size // 64, np.uint64)
         for batch in batches:
             if batch.num_rows:
-                at = _bits(batch.column("term").to_pylist()).ravel()
+                at = _bits(batch.column("term").to_pylist(), size).ravel()
                 np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(words[used].view(np.int64), pa.int64())], ["word", "bits"])
 
     united = terms.select("term").mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     out[united.column("word").to_numpy()] = united.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def _passes(words: np.ndarray, digests: list[bytes]) -> np.ndarray:
-    at = _bits(digests)
+def _passes(words: np.ndarray | None, digests: list[bytes]) -> np.ndarray:
+    if words is None:
+        return np.ones(len(digests), bool)
+    at = _bits(digests, len(words) * 64)
     return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
 
 
-def _term_documents(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
+def _term_documents(docs: DataFrame, text_col: str, wanted: np.ndarray | None) -> DataFrame:
     """(term, n): how many documents hold each term that passes the filter, as counts of parts of the input."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -193,37 +204,38 @@ def _term_documents(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataF
     return docs.select(F.col(f"`{text_col}`").alias("text")).where("text is not null").mapInArrow(run, "term binary, n bigint")
 
 
-def _elsewhere(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
-    """(text_a, text_b, text, term, spots) of texts that hold a term that passes the filter."""
+def _elsewhere(docs: DataFrame, text_col: str, wanted: np.ndarray | None) -> DataFrame:
+    """(row, text_a, text_b, text, hits) of texts that hold terms that pass the filter, a row a text: hits are the terms with their spots."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    names = ["text_a", "text_b", "text", "term", "spots"]
+    names = ["text_a", "text_b", "text", "hits"]
 
     def run(batches):
         known: dict[str, bytes | None] = {}  # the digests of terms that pass
         for part in slices(batches, "text", SLICE_BYTES):
-            texts = part.column("text").to_pylist()
-            found = [terms_of(t) for t in texts]
             if len(known) > FLUSH_TERMS:
                 known.clear()
-            new = list(set().union(*found) - known.keys())
-            if new:
-                digests = [_digest(t) for t in new]
-                known.update(zip(new, (d if ok else None for d, ok in zip(digests, _passes(shared.value, digests)))))
-            rows = []
-            for k, (text, terms) in enumerate(zip(texts, found)):
-                if hits := {t: [] for t in terms if known[t]}:
+            kept, hits = [], []
+            for k, text in enumerate(part.column("text").to_pylist()):
+                terms = terms_of(text)
+                new = list(terms - known.keys())
+                if new:
+                    digests = [_digest(t) for t in new]
+                    known.update(zip(new, (d if ok else None for d, ok in zip(digests, _passes(shared.value, digests)))))
+                if found := {t: [] for t in terms if known[t]}:
                     for m in _TERM.finditer(text):
-                        if (spots := hits.get(m[0].lower())) is not None:
+                        if (spots := found.get(m[0].lower())) is not None:
                             spots.append({"kind": 4, "start": m.start(), "stop": m.end()})
-                    rows += [(k, known[t], spots) for t, spots in hits.items()]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            kept = [part.column(c).take(at) for c in names[:3]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(_SPAN))], names)
+                    kept.append(k)
+                    hits.append(pa.array([[{"term": known[t], "spots": spots} for t, spots in found.items()]], _HITS))
+            if kept:
+                at = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in names[:3]), pa.concat_arrays(hits)], names)
         release()
 
     text = F.col(f"`{text_col}`")
     rows = docs.where(text.isNotNull()).select(*_text_key(text), text.alias("text"))
-    return rows.mapInArrow(run, "text_a bigint, text_b bigint, text string, term binary, spots array<struct<kind:int,start:int,stop:int>>")
+    found = rows.mapInArrow(run, "text_a bigint, text_b bigint, text string, hits array<struct<term: binary, spots: array<struct<kind: int, start: int, stop: int>>>>")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 # ---------------------------------------------------------------- disclosure
@@ -326,11 +338,13 @@ def personal_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     changed = [materialize(_changed(held, ["row"], remove_from), "pii-held")]
     leaking = revealing.where("n_term > n_in").select("term", "disclosure", (F.col("n_term") - F.col("n_in")).alias("n"))
     if not leaking.isEmpty():
-        # Such terms are in documents without entities too.
+        # Such terms are in documents without entities too. A text is written once, and met again by the marks of all its terms.
         spots = materialize(_elsewhere(docs, text_col, _term_filter(leaking)), "pii-spots")
-        spots = join_hot(spots, leaking, "term").withColumn("spots", F.transform("spots", lambda x: F.struct(x["kind"], x["start"], x["stop"], F.col("disclosure").alias("disclosure"))))
-        once = spots.groupBy("text_a", "text_b", "term").agg(F.any_value("text").alias("text"), F.any_value("spots").alias("spots"), F.count("*").alias("n"))
-        texts = once.groupBy("text_a", "text_b").agg(F.any_value("text").alias("text"), F.array_sort(F.flatten(F.collect_list("spots"))).alias("terms"), F.max("n").alias("n"))
+        first = materialize(spots.groupBy("text_a", "text_b").agg(F.min("row").alias("row"), F.count("*").alias("n")).select("row", "n"), "pii-texts")
+        hits = spots.select("row", "hits").join(first, "row", "left_semi").select("row", F.explode("hits").alias("hit")).select("row", "hit.term", "hit.spots")
+        marks = join_hot(hits, leaking, "term").select("row", F.transform("spots", lambda x: F.struct(x["kind"], x["start"], x["stop"], F.col("disclosure").alias("disclosure"))).alias("spots"))
+        marks = marks.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("spots"))).alias("terms")).join(first, "row")
+        texts = spots.select("row", "text_a", "text_b", "text").join(marks, "row")
         texts = texts.select(F.struct("text_a", "text_b").alias("key"), "n", "text", F.array().cast("array<struct<kind:int,start:int,stop:int>>").alias("base"), "terms")
         texts = materialize(_changed(texts, ["key", "n"], remove_from), "pii-elsewhere")
         others = materialize(found.where("text is null").select("row", F.struct("text_a", "text_b").alias("key")), "pii-others")

@@ -104,3 +104,35 @@ def test_whole_data_against_counts_of_all_pairs(spark):
     assert {texts[r.doc_id][s.start : s.stop].lower() for r in found for s in r.terms if r.doc_id and r.doc_id == 2 * 10**6 + 40} == {"quorvexia"}
     assert all((r.sanitised is None) == (not r.base and not r.terms) for r in found)
     assert {r.sanitised for r in found if r.doc_id == 3 * 10**6} == {"nobody knows [term], [term]'s number"}
+
+
+def leaking(spark, words, copies):
+    """Documents with an entity and the words, and long texts without an entity that hold them too."""
+    named = [(i, f"call {w} under +1 555 {i // 100:03} {i % 100:02}00, {w}") for i, w in enumerate(words) for _ in range(30)]
+    text = " ".join(f"{w} and so on" for w in words) + " filler" * copies
+    rows = [*named, (10**6, text), (10**6 + 1, text), (10**6 + 2, "nothing of it"), (10**6 + 3, None)]
+    return text, spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_long_texts_with_many_leaking_terms(spark):
+    import string
+
+    words = ["Zq" + "".join(string.ascii_lowercase[(i // 26**k) % 26] for k in range(4)) + "x" for i in range(1000)]
+    text, df = leaking(spark, words, 700_000)
+    got = {r.doc_id: r for r in personal_spans(df).where("doc_id >= 1000000").collect()}
+    assert len(text) > 4_900_000 and got[10**6].sanitised == got[10**6 + 1].sanitised
+    assert {text[s.start : s.stop] for s in got[10**6].terms} >= set(words) and got[10**6].sanitised.endswith(" filler" * 1000)
+    assert not any(w in got[10**6].sanitised for w in words[:50]) and got[10**6 + 2].terms == got[10**6 + 3].terms == []
+
+
+def test_full_filters_change_nothing(spark, monkeypatch):
+    from spanforge.llm import pii
+
+    _, df = leaking(spark, [f"Quorv{a}{b}ia" for a in "xyzvw" for b in "aeiou"], 3)
+    rows = lambda: sorted((r.doc_id, str(r.terms), r.sanitised or "") for r in personal_spans(df).collect())
+    want = rows()
+    assert sum("Quorv" in r[2] for r in want) == 0 and any("[term]" in r[2] for r in want)
+    for bits in (64, 1):  # nearly full, and none
+        monkeypatch.setattr(pii, "MOST_BITS", bits)
+        monkeypatch.setattr(pii, "TERM_BITS", 1)
+        assert rows() == want
