@@ -217,7 +217,7 @@ def _elsewhere(docs: DataFrame, text_col: str, wanted: np.ndarray | None) -> Dat
             kept, hits = [], []
             for k, text in enumerate(part.column("text").to_pylist()):
                 terms = terms_of(text)
-                new = list(terms - known.keys())
+                new = [t for t in terms if t not in known]
                 if new:
                     digests = [_digest(t) for t in new]
                     known.update(zip(new, (d if ok else None for d, ok in zip(digests, _passes(shared.value, digests)))))
