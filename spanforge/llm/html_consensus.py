@@ -359,7 +359,10 @@ def _beside(nodes: list[Node], inside: list[bool], around: list[bool], block: Bl
 
 def main_blocks(html: str | None, path: str | None = None) -> list[str]:
     """The blocks of the elements at ``path``, or else of the page's own best containers, with what is around and beside; or else of the whole page."""
-    nodes, blocks = parse(html or "")
+    return _main_blocks(*parse(html or ""), path)
+
+
+def _main_blocks(nodes: list[Node], blocks: list[Block], path: str | None = None) -> list[str]:
     chosen = {i for i, n in enumerate(nodes) if n.path == path and not n.dropped} if path else set()
 
     def taken(chosen: set[int]) -> list[str]:
@@ -418,7 +421,7 @@ def page_votes(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
             for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                 nodes, blocks = parse(html)
                 if best := best_container(nodes, blocks):
-                    found = main_blocks(html)
+                    found = _main_blocks(nodes, blocks)
                     longest = max(found, key=lambda t: (len(t), t), default="")
                     rows.append((host, nodes[best[0]].path, best[1], block_hash(longest), list({block_hash(t) for t in found})))
             types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
