@@ -145,12 +145,14 @@ METHODS = ("differential", "twin", "benign", "metamorphic", "mutation")
 def method_cases(cases: DataFrame, methods: list[str] | None = None) -> DataFrame:
     """(eval_id, method, case_id, seed_id, twin_id, taxonomy): the evaluation cases of each method.
 
-    A twin's seed is its positive; a control that is no twin is benign, pending
-    at T0; only cases that are no twins are transformed or mutated, a mutation
+    A twin's seed is its positive; a case that is no twin is benign if it holds no
+    secret (``expected``; without that column, if it is a control), pending at T0; only cases that are no twins are transformed or mutated, a mutation
     with the first twin by id. Ids are <case>--<method>.
     """
     chosen = F.array(*[F.lit(m) for m in methods or METHODS])
     twin, control = F.col("twin_of").isNotNull(), F.col("kind") == "must-not-flag"
+    if "expected" in cases.columns:
+        control = F.coalesce(~F.exists("expected", lambda s: s["role"] == "secret"), F.lit(True))
     first = cases.where("twin_of is not null").groupBy(F.col("twin_of").alias("case_id")).agg(F.min("case_id").alias("first_twin"))
     rows = cases.join(first, "case_id", "left").withColumn(
         "method",

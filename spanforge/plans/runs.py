@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,9 +86,14 @@ class MethodRun:
         return named | {f"summary_{k}": v for k, v in self.summaries.items()}
 
 
-def variant_plan(cases: DataFrame, contracts: DataFrame, work: str, method_names: list[str] | None = None) -> DataFrame:
-    """Generate all variants into ``work``: what detectors are then shown. Two variants of one path are refused."""
+def variant_plan(cases: DataFrame, contracts: DataFrame, work: str, method_names: list[str] | None = None, taxonomies: Iterable[str] | None = None) -> DataFrame:
+    """Generate all variants into ``work``: what detectors are then shown.
+
+    Cases that break a rule of their method are refused, controls of other
+    ``taxonomies`` than the evidence file's among them, and two variants of one path.
+    """
     spark = cases.sparkSession
+    corpus.refuse(generation.plan_violations(cases, method_names, None if taxonomies is None else sorted(taxonomies)))
     generation.generate(cases, contracts, method_names).write.mode("overwrite").parquet(f"{work}/variants")
     variants = spark.read.parquet(f"{work}/variants")
     corpus.refuse(variants.where("path is not null").groupBy("path").agg(F.count("*").alias("variants")).where("variants > 1"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from spanforge.functions import codecs, grammars
 from spanforge.functions.canonical import canonical_json, sha256_text
 from spanforge.operators import accounting, outcomes
-from spanforge.operators.generation import SPAN, plan_violations
+from spanforge.operators.evaluation import observe_variants
+from spanforge.operators.generation import SPAN, generate, plan_violations
+from spanforge.plans.runs import variant_plan
 from spanforge.sources.evidence import read_evidence
 
 
@@ -73,3 +75,49 @@ def test_plan_rules(spark):
     rows = [("a", "abc", [(0, 1, "secret", None)], "must-redact", "T1", None, ["Bad"], None, None, None, None), ("b", "abc", [], "must-not-flag", "T1", None, [], "odd", None, None, None), ("c", "abc", [(2, 9, "secret", None)], "must-redact", "T1", None, [], None, None, None, None), ("t", "abd", [], "must-not-flag", "T1", None, [], None, "b", "m", "x")]
     found = {(r.eval_id, r.reason) for r in plan_violations(spark.createDataFrame(rows, schema), ["benign", "twin", "differential"], ["prose"]).collect()}
     assert found == {("a--differential", "target is no slug"), ("b--benign", "control without a known taxonomy"), ("c--differential", "invalid ranges"), ("t--twin", "twin of a case without a secret")}
+
+
+def test_evidence_files_name_their_validators(spark):
+    names = ["legacy:discord-bot-token", "legacy:confluent-cloud-api-secret", "legacy:gitlab-routable-optional", "legacy:gitlab-routable-required"]
+    file = {"schema": "e/v1", "families": {f"f{k}": {"pattern": "^.+$"} for k in range(4)}, "validators": {f"f{k}": name for k, name in enumerate(names)}}
+    assert sorted((r.family, r.validator) for r in read_evidence(spark, json.dumps(file).encode(), "e/v1").contracts.collect()) == [(f"f{k}", name) for k, name in enumerate(names)]
+    VALIDATORS = codecs.VALIDATORS
+    assert VALIDATORS[names[2]]("anything") and not VALIDATORS[names[3]]("anything") and VALIDATORS[names[0]]("MTIz.x.y") and not VALIDATORS[names[0]]("YWJj.x.y")
+
+
+TWINS = f"case_id string, path string, content string, expected array<{SPAN}>, kind string, tier string, family string, targets array<string>, taxonomy string, twin_of string, mutation string, mutation_kind string, sibling string"
+
+
+def twin_rows(k=0, sibling=None, path="t.txt"):
+    positive = (f"p{k}", f"{k}/p.txt", "key=abc;", [(4, 7, "secret", None)], "must-redact", "T1", "fam", ["t"], None, None, None, None, None)
+    return [positive, (f"t{k}", path and f"{k}/{path}", "key=abd;", [], "must-not-flag", "T1", "fam", ["t"], None, f"p{k}", "m", "alphabet", sibling)]
+
+
+def test_authored_twins_and_their_siblings(spark, tmp_path):
+    """A twin of its seed's path is an error; others must flip, and are read within their family with the sibling family apart."""
+    contracts = spark.createDataFrame([("fam", "^[a-z]+$")], "family string, pattern string")
+    # (sibling, family of the finding): flagged, co-detected.
+    asked = [(None, "fam", (True, False)), (None, None, (True, False)), (None, "other", (False, True)), (None, "wide", (True, False)), ("sib", "wide", (False, True)), ("sib", "fam", (True, False)), ("fam", "fam", (False, True))]
+    rows = [r for k, (sibling, _, _) in enumerate(asked) for r in twin_rows(k, sibling)] + twin_rows(8, path="p.txt") + twin_rows(9, path=None)
+    generate(spark.createDataFrame(rows, TWINS), contracts, ["twin"]).write.parquet(str(tmp_path / "v"))
+    variants = spark.read.parquet(str(tmp_path / "v"))
+    made = {r.seed_id: r for r in variants.where("operator = 'authored.twin'").collect()}
+    assert {k: r.status for k, r in made.items()} == {f"p{k}": "error" if k == 8 else "generated" for k in (*range(7), 8, 9)}
+    found = [("s", made[f"p{k}"].case_id, 0, 3, family, None, 0) for k, (_, family, _) in enumerate(asked)]
+    findings = spark.createDataFrame(found, "scanner string, case_id string, start_byte int, end_byte int, family string, action string, emit_seq int")
+    coverage = spark.createDataFrame([("wide", ["fam", "sib"])], "family string, covers array<string>")
+    scanners, none = spark.createDataFrame([("s", "complete")], "scanner string, status string"), spark.createDataFrame([], "scanner string, case_id string")
+    read = {r.case_id: (r.flagged, r.co_detected) for r in observe_variants(variants, findings, scanners, none, coverage).where("operator = 'authored.twin'").collect()}
+    assert [read[made[f"p{k}"].case_id] for k in range(7)] == [want for _, _, want in asked]
+
+
+def test_plans_that_break_rules_are_refused(spark, tmp_path):
+    contracts = spark.createDataFrame([("fam", "^[a-z]+$")], "family string, pattern string")
+    control = ("n", "n.txt", "plain", [], "must-not-flag", "T1", None, ["t"], "odd", None, None, None, None)
+    cases = spark.createDataFrame([*twin_rows(), control], TWINS)
+    assert variant_plan(cases, contracts, str(tmp_path), taxonomies=["odd"]).count() > 0
+    with pytest.raises(ValueError, match="control without a known taxonomy"):
+        variant_plan(cases, contracts, str(tmp_path), taxonomies=["prose"])
+    # A policy case without a secret is a benign case that is no control; a control with one is none.
+    policy = spark.createDataFrame([("q", "q.txt", "plain", [], "policy", "T1", None, ["t"], "odd", None, None, None, None), ("r", "r.txt", "plain", [(0, 2, "secret", None)], "must-not-flag", "T1", None, ["t"], "odd", None, None, None, None)], TWINS)
+    assert [(r.eval_id, r.reason) for r in plan_violations(policy, ["benign"]).collect()] == [("q--benign", "benign case is no control")]
