@@ -851,3 +851,21 @@ def reuse_plan(spark, sf_dir):
     asked = orders.where("o_orderkey % 2 = 0").selectExpr("o_orderkey as request_id", *fields, "o_orderkey % 2 as rounds")
     kept = orders.where("o_orderkey % 2 = 1").selectExpr("o_orderkey as stored_id", *fields, "cast(floor(o_orderkey / 2) as bigint) % 2 as rounds")
     return perf.reuse_plan(asked, kept, CELL_FIELDS)
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey % 20 AS workload, [CAST(l_quantity AS BIGINT) % 7, CAST(l_discount * 100 AS BIGINT), CAST(l_tax * 100 AS BIGINT), l_partkey % 11, l_linenumber, l_orderkey % 13, l_partkey % 3, l_suppkey % 5] AS a,
+          [l_returnflag, l_linestatus, CAST(year(l_shipdate) AS VARCHAR), CAST(month(l_shipdate) AS VARCHAR), CAST(day(l_shipdate) AS VARCHAR), l_returnflag || l_linestatus] AS b, l_orderkey AS o FROM lineitem),
+        q AS (SELECT * FROM c WHERE o % 50 = 0), s AS (SELECT * FROM c WHERE o % 50 <> 0),
+        j AS (SELECT q.id AS request_id, s.id AS stored_id, len(list_filter(list_zip(q.a, s.a), lambda x: x[1] <> x[2])) + len(list_filter(list_zip(q.b, s.b), lambda x: x[1] <> x[2])) AS n FROM q JOIN s ON q.workload = s.workload)
+       SELECT request_id, min(struct_pack(n := n, stored_id := stored_id)).n AS n, min(struct_pack(n := n, stored_id := stored_id)).stored_id AS stored_id FROM j GROUP BY request_id"""
+)
+def nearest_cells(spark, sf_dir):
+    """Line items as cells of fourteen fields, in nested structs; those of every fiftieth order ask for the nearest of their workload."""
+    items = table(spark, sf_dir, "lineitem")
+    counts = "named_struct('quantity', cast(l_quantity as bigint) % 7, 'discount', cast(l_discount * 100 as bigint), 'tax', cast(l_tax * 100 as bigint), 'part', l_partkey % 11, 'inner', named_struct('line', l_linenumber, 'order', l_orderkey % 13, 'kind', l_partkey % 3, 'supplier', l_suppkey % 5)) as counts"
+    labels = "named_struct('flag', l_returnflag, 'status', l_linestatus, 'year', year(l_shipdate), 'month', month(l_shipdate), 'day', day(l_shipdate), 'both', concat(l_returnflag, l_linestatus)) as labels"
+    cells = items.selectExpr("l_orderkey", "l_orderkey * 10 + l_linenumber as id", "l_suppkey % 20 as workload", counts, labels)
+    fields = perf.flat_fields(cells.select("counts", "labels").schema)
+    found = perf.nearest_cells(cells.where("l_orderkey % 50 = 0").withColumnRenamed("id", "request_id"), cells.where("l_orderkey % 50 <> 0").withColumnRenamed("id", "stored_id"), fields, ["workload"])
+    return found.select("request_id", F.col("n").cast("bigint").alias("n"), "stored_id")
