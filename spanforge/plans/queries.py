@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import canonical, codecs, intervals, numeric, text
-from spanforge.operators import accounting, measure, methods, perf, representation, variants
+from spanforge.operators import accounting, matching, measure, methods, perf, representation, variants
 from spanforge.plans import runs
 from spanforge.plans.standin import CORPUS_SQL, SCORED_SQL, corpus, table
 from spanforge.sources import reports
@@ -869,3 +869,37 @@ def nearest_cells(spark, sf_dir):
     fields = perf.flat_fields(cells.select("counts", "labels").schema)
     found = perf.nearest_cells(cells.where("l_orderkey % 50 = 0").withColumnRenamed("id", "request_id"), cells.where("l_orderkey % 50 <> 0").withColumnRenamed("id", "stored_id"), fields, ["workload"])
     return found.select("request_id", F.col("n").cast("bigint").alias("n"), "stored_id")
+
+
+@query(
+    """WITH d(tab, label, type, family, reviewed) AS (SELECT 't0', 'A' || i, NULL, 'fam-' || i, FALSE FROM range(4) r(i) UNION ALL SELECT 't0', 'A1', 'N', 'fam-1-n', FALSE
+          UNION ALL SELECT 't1', 'R' || i, NULL, CASE WHEN i < 3 THEN 'fam-' || i END, TRUE FROM range(5) r(i)),
+        f AS (SELECT l_orderkey * 10 + l_linenumber AS id, 't' || (l_suppkey % 3) AS tab, l_returnflag || (l_partkey % 6) AS label, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS t0, CASE WHEN l_linenumber % 2 = 0 THEN 'N' END AS type FROM lineitem)
+       SELECT f.id, coalesce(a.family, b.family) AS family, CASE WHEN f.tab = 't1' THEN CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.tab = f.tab AND d.label = f.label AND d.reviewed) THEN f.label ELSE '~unrecognized' END ELSE '' END AS labels
+       FROM f LEFT JOIN d a ON a.tab = f.tab AND a.label = f.label AND a.type = f.type LEFT JOIN d b ON b.tab = f.tab AND b.label = f.label AND b.type IS NULL"""
+)
+def label_families(spark, sf_dir):
+    """Labels of three tables: with a fallback by type, with reviewed labels, and one that has no entries."""
+    rows = [("t0", f"A{i}", None, f"fam-{i}", i, False) for i in range(4)] + [("t0", "A1", "N", "fam-1-n", 4, False), ("t0", "A1", "N", "later", 5, False)]
+    rows += [("t1", f"R{i}", None, f"fam-{i}" if i < 3 else None, i, True) for i in range(5)]
+    dimension = spark.createDataFrame(rows, "table string, label string, type string, family string, place int, reviewed boolean")
+    found = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as id", "concat('t', l_suppkey % 3) as table", "concat(l_returnflag, l_partkey % 6) as label", "if(l_linenumber % 2 = 0, 'N', null) as type")
+    return matching.with_family(found, dimension).select("id", "family", F.array_join("labels", ",").alias("labels"))
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey AS k, 'r' || o_orderkey AS tag, 'sha256:' || sha256('r' || o_orderkey) AS pinned FROM orders),
+        m AS (SELECT k, tag, CASE WHEN k % 7 = 0 THEN 'other' ELSE pinned END AS digest, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN 'other' ELSE tag END AS named, CASE WHEN k % 17 = 0 THEN 0 WHEN k % 19 = 0 THEN 2 ELSE 1 END AS n FROM p),
+        e AS (SELECT l_orderkey AS k, count(*) AS n, max(CASE WHEN l_suppkey % 9 = 0 THEN 'bad' ELSE 'sha256:' || sha256('s' || l_orderkey) END) AS listed FROM lineitem WHERE l_linenumber = 1 OR l_partkey % 9 = 0 GROUP BY l_orderkey),
+        r AS (SELECT m.tag, CASE WHEN m.n = 0 THEN 'manifest missing' WHEN m.n = 2 THEN 'manifest ambiguous' WHEN m.digest = 'other' THEN 'manifest digest differs' WHEN named IS NULL THEN 'manifest has no tag' WHEN named <> tag THEN 'manifest is for another tag'
+            WHEN coalesce(e.n, 0) <> 1 THEN 'snapshot isn''t listed exactly once' WHEN listed = 'bad' THEN 'listed digest is invalid' WHEN m.k % 23 = 0 THEN 'snapshot missing' WHEN m.k % 5 = 0 THEN 'snapshot digest differs' END AS reason FROM m LEFT JOIN e ON e.k = m.k)
+       SELECT tag, reason FROM r WHERE reason IS NOT NULL"""
+)
+def release_gate(spark, sf_dir):
+    """Orders as releases, their line items as the files that a manifest lists; some are spoiled in each way."""
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    pins = orders.selectExpr("concat('r', o_orderkey) as tag", "concat('sha256:', sha2(concat('r', o_orderkey), 256)) as pinned")
+    made = orders.where("o_orderkey % 17 <> 0").selectExpr("concat('r', o_orderkey) as tag", "if(o_orderkey % 7 = 0, 'other', concat('sha256:', sha2(concat('r', o_orderkey), 256))) as digest", "case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then 'other' else concat('r', o_orderkey) end as named", "explode(if(o_orderkey % 19 = 0, array(0, 1), array(0))) as copy")
+    entries = items.selectExpr("concat('r', l_orderkey) as tag", "if(l_linenumber = 1 or l_partkey % 9 = 0, 'snapshot', 'other') as path", "if(l_suppkey % 9 = 0, 'bad', concat('sha256:', sha2(concat('s', l_orderkey), 256))) as listed")
+    snapshots = orders.where("o_orderkey % 23 <> 0").selectExpr("concat('r', o_orderkey) as tag", "concat('sha256:', sha2(concat(if(o_orderkey % 5 = 0, 'x', 's'), o_orderkey), 256)) as snapshot")
+    return matching.release_violations(pins, made.drop("copy"), entries, snapshots, "snapshot")
