@@ -42,9 +42,10 @@ PART_ROWS = 256
 MOST_BROADCAST = 1 << 15
 #: Letters of a term; a longer run of letters is no word.
 LONGEST_TERM = 64
-#: Bits for each term of the filter that scans are given, and the most bits of a filter. With more terms than
-#: half fill that there is no filter: everything goes through, and joins decide.
-TERM_BITS = 16
+#: Bits for each term of the filter that scans are given (so many that hardly a text of thousands of words passes by
+#: chance), and the most bits of a filter. With more terms than half fill that there is no filter: everything goes
+#: through, and joins decide.
+TERM_BITS = 1024
 MOST_BITS = 1 << 27
 FILTER_HASHES = 3
 
