@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import canonical, codecs, intervals, numeric, text
-from spanforge.operators import accounting, matching, measure, methods, perf, representation, variants
+from spanforge.operators import accounting, facts, matching, measure, methods, perf, representation, variants
 from spanforge.plans import runs
 from spanforge.plans.standin import CORPUS_SQL, SCORED_SQL, corpus, table
 from spanforge.sources import reports
@@ -903,3 +903,33 @@ def release_gate(spark, sf_dir):
     entries = items.selectExpr("concat('r', l_orderkey) as tag", "if(l_linenumber = 1 or l_partkey % 9 = 0, 'snapshot', 'other') as path", "if(l_suppkey % 9 = 0, 'bad', concat('sha256:', sha2(concat('s', l_orderkey), 256))) as listed")
     snapshots = orders.where("o_orderkey % 23 <> 0").selectExpr("concat('r', o_orderkey) as tag", "concat('sha256:', sha2(concat(if(o_orderkey % 5 = 0, 'x', 's'), o_orderkey), 256)) as snapshot")
     return matching.release_violations(pins, made.drop("copy"), entries, snapshots, "snapshot")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, doc_id % 10 AS m FROM documents WHERE text IS NOT NULL)
+       SELECT d.doc_id, CASE d.m WHEN 1 THEN 'decoded length or digest differs' WHEN 2 THEN 'a decoding doesn''t follow from the text' WHEN 3 THEN 'fragments aren''t sorted, apart and disjoint' WHEN 4 THEN 'facts of a span that is no secret'
+            WHEN 5 THEN 'a boundary splits a surrogate pair of valid input' WHEN 6 THEN 'no boundary splits a surrogate pair' WHEN 7 THEN 'unknown base' ELSE CASE WHEN p.doc_id IS NULL THEN 'unknown base' ELSE 'derives from itself' END END AS reason
+       FROM d LEFT JOIN d p ON p.doc_id = CASE WHEN d.m = 8 THEN d.doc_id + 1 ELSE d.doc_id - 1 END WHERE d.m > 0"""
+)
+def fact_violations(spark, sf_dir):
+    """Documents with facts about a secret or a pair of surrogates put after the text; nine in ten are spoiled, each in one way."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", (F.col("doc_id") % 10).alias("m"))
+    secret = F.concat(F.lit("secret of document "), F.col("doc_id").cast("string"))
+    code, n = F.base64(F.encode(secret, "UTF-8")), F.octet_length("text").cast("long")
+    size, units = F.octet_length(code).cast("long"), F.char_length("text") + F.regexp_count("text", F.lit("[\\x{10000}-\\x{10FFFF}]"))
+    content = F.when(F.col("m").isin(5, 6), F.concat("text", F.lit("🔑."))).otherwise(F.concat("text", F.substring(code, 1, 8), F.when(F.col("m") == 3, "").otherwise("\n"), F.substring(code, F.lit(9), size)))
+    second = n + F.when(F.col("m") == 3, 8).otherwise(9)
+    ranges = lambda *pairs: F.array(*[F.struct(a.cast("long").alias("start"), b.cast("long").alias("end")) for a, b in pairs])
+    none = lambda kind: F.lit(None).cast(kind)
+    base64 = F.struct(F.lit("base64").alias("codec"), F.lit("standard").alias("alphabet"), F.when(code.endswith("="), "padded").otherwise(F.when(size % 4 == 0, "padded").otherwise("unpadded")).alias("padding"), none("string").alias("case"), none("array<string>").alias("code_points"))
+    hexed = F.struct(F.lit("hex").alias("codec"), none("string").alias("alphabet"), none("string").alias("padding"), F.lit("lower").alias("case"), none("array<string>").alias("code_points"))
+    digest = F.concat(F.lit("sha256:"), F.sha2(F.when(F.col("m") == 1, "other").otherwise(secret), 256))
+    decoded = F.struct(F.array(F.when(F.col("m") == 2, hexed).otherwise(base64)).alias("via"), digest.alias("sha256"), F.octet_length(secret).cast("long").alias("bytes"))
+    span = F.struct(n.alias("start"), (second + size - 8).alias("end"), F.when(F.col("m") == 4, "companion").otherwise("secret").alias("role"), ranges((n, n + 8), (second, second + size - 8)).alias("fragments"), decoded.alias("decoded"))
+    expected = F.when(F.col("m") < 5, F.array(span)).otherwise(F.array()).cast(f"array<{facts.FACT_SPAN}>")
+    partner = F.when(F.col("m") == 7, -1).when(F.col("m") == 8, F.col("doc_id") + 1).otherwise(F.col("doc_id") - 1).cast("string")
+    derivation = F.when(F.col("m") >= 7, F.struct(F.lit(facts.PROJECTION).alias("kind"), F.array(partner).alias("bases")))
+    chunking = F.when(F.col("m").isin(5, 6), F.struct(F.lit(facts.UTF16).alias("unit"), F.array((units + F.when(F.col("m") == 5, 1).otherwise(2)).cast("long")).alias("boundaries")))
+    representation = F.when(F.col("m") >= 5, F.struct(F.when(F.col("m") == 6, facts.SPLIT).otherwise(facts.VALID).alias("input_validity"), derivation.alias("derivation"), chunking.alias("chunking"))).cast(facts.REPRESENTATION)
+    cases = docs.select(F.col("doc_id").cast("string").alias("case_id"), content.alias("content"), F.lit("T0").alias("tier"), expected.alias("expected"), representation.alias("representation"))
+    return facts.fact_violations(cases).select(F.col("case_id").cast("bigint").alias("doc_id"), "reason")
