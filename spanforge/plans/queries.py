@@ -119,7 +119,8 @@ _KEY_HEAD, _KEY_FOOT = "-----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-
 def placed_reports(spark, sf_dir):
     """Five reports of each document's first address: as it is, escaped, and in decoded text that is put after the document."""
     found = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", EMAIL, 0).alias("email")).where("email <> ''")
-    once, body = F.base64(F.encode("email", "UTF-8")), F.base64(F.encode(F.concat(F.lit("key of "), F.col("email")), "UTF-8"))
+    coded = lambda t: F.regexp_replace(F.base64(F.encode(t, "UTF-8")), "[\r\n]", "")
+    once, body = coded(F.col("email")), coded(F.concat(F.lit("key of "), F.col("email")))
     twice = F.hex(F.encode(once, "UTF-8"))
     lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"))) + 1
     path = F.col("doc_id").cast("string").alias("path")
@@ -657,12 +658,6 @@ def hex_strict(spark, sf_dir):
     return rows.select("o_orderkey", *[f(F.hex(codecs.hex_strict(F.col("v"), c))).alias(f"{c}_hex") for c, f in cased.items()])
 
 
-@query("SELECT doc_id, base64(encode(left(text, 40))) AS encoded, md5(left(text, 40)) AS decoded_md5 FROM documents")
-def base64_strict(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.base64(F.encode(F.substring("text", 1, 40), "UTF-8")).alias("encoded"))
-    return docs.withColumn("decoded_md5", F.md5(codecs.base64_bytes(F.col("encoded"))))
-
-
 @query("SELECT doc_id, base64(encode(text)) AS encoded, CASE WHEN text <> '' THEN md5(text) END AS decoded_md5 FROM documents")
 def base64_strict_whole(spark, sf_dir):
     # Spark breaks lines after 76 characters, which strict decoding refuses.
