@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from spanforge.functions import canonical, codecs, intervals, numeric, text
 from spanforge.operators import accounting, facts, matching, measure, methods, perf, representation, variants
 from spanforge.plans import runs
 from spanforge.plans.standin import CORPUS_SQL, SCORED_SQL, corpus, table
-from spanforge.sources import reports
-from spanforge.sources.store import materialize
+from spanforge.sources import artifact, reports
+from spanforge.sources.store import materialize, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -928,3 +930,19 @@ def fact_violations(spark, sf_dir):
     representation = F.when(F.col("m") >= 5, F.struct(F.when(F.col("m") == 6, facts.SPLIT).otherwise(facts.VALID).alias("input_validity"), derivation.alias("derivation"), chunking.alias("chunking"))).cast(facts.REPRESENTATION)
     cases = docs.select(F.col("doc_id").cast("string").alias("case_id"), content.alias("content"), F.lit("T0").alias("tier"), expected.alias("expected"), representation.alias("representation"))
     return facts.fact_violations(cases).select(F.col("case_id").cast("bigint").alias("doc_id"), "reason")
+
+
+@query(
+    """WITH t AS (SELECT 'scanners' AS name, count(*) AS rows FROM scanners UNION ALL SELECT 'findings', count(*) FROM findings UNION ALL SELECT 'unmeasured', count(*) FROM unmeasured)
+       SELECT name, rows, TRUE AS unchanged FROM t""",
+    corpus_sql=True,
+)
+def observation_artifact(spark, sf_dir):
+    """An observation set, written as one artifact over an older one and read back."""
+    c = corpus(spark, sf_dir)
+    path = f"{shared_dir(spark)}/artifact-{uuid.uuid4().hex}"
+    runs.commit_observations(c.scanners.limit(0), c.findings.limit(0), c.unmeasured.limit(0), path, "older")
+    runs.commit_observations(c.scanners, c.findings, c.unmeasured, path, "newer")
+    changed = artifact.changed_tables(spark, path)
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit(name not in changed).alias("unchanged")) for name, df in artifact.read_artifact(spark, path).items()]
+    return reduce(DataFrame.unionByName, counts)

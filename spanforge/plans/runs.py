@@ -13,6 +13,7 @@ from spanforge.functions.canonical import canonical_json, sha256_text
 from spanforge.functions.numeric import Accounting
 from spanforge.operators import accounting, evaluation, generation, measure, methods
 from spanforge.sources import corpus
+from spanforge.sources.artifact import write_artifact
 
 
 @dataclass(frozen=True)
@@ -144,6 +145,22 @@ def write_run(run: Run, path: str, config: RunConfig) -> dict:
     return manifest
 
 
+RUN_KEYS = {"cases": ["scanner", "case_id"], "groups": ["scanner", "group_key"], "families": ["scanner", "family"], "comparisons": ["case_id", "peer"], "variants": ["eval_id", "number"], "readings": ["scanner", "eval_id"], "assertions": ["scanner", "eval_id"], "review": ["entry_id"]}
+
+
+def commit_run(run: Run | MethodRun, path: str, config: RunConfig) -> dict:
+    """Write a plain run or a method run as one artifact, in place of what was there; returns the manifest."""
+    spark = next(iter(run.tables().values())).sparkSession
+    tables = {name: (df, [k for k in RUN_KEYS.get(name, df.columns[:2]) if k in df.columns]) for name, df in run.tables().items()}
+    return write_artifact(spark, path, tables, {"config_hash": config.config_hash(), "kind": "method-run" if isinstance(run, MethodRun) else "run"})
+
+
+def commit_observations(scanners: DataFrame, findings: DataFrame, unmeasured: DataFrame, path: str, corpus_digest: str) -> dict:
+    """Write an observation set as one artifact, bound to the corpus by its digest."""
+    tables = {"scanners": (scanners, ["scanner"]), "findings": (findings, ["scanner", "start_byte"]), "unmeasured": (unmeasured, ["scanner"])}
+    return write_artifact(scanners.sparkSession, path, tables, {"corpus_digest": corpus_digest, "kind": "observations"})
+
+
 def reuse_decisions(current: DataFrame, recorded: DataFrame, fields: list[str]) -> DataFrame:
     """(scanner, decision, changed): whether a scanner's recorded observations still hold, field by field of its identity."""
     r = recorded.select(F.col("scanner").alias("r_scanner"), *[F.col(f).alias(f"r_{f}") for f in fields])

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from spanforge.functions import text
 from spanforge.functions.numeric import Floor
 from spanforge.operators import methods, perf, representation
-from spanforge.plans.runs import RunConfig, capabilities, measurement_run, method_run, pin_violations, reuse_decisions, variant_plan, write_run
+from spanforge.sources.artifact import changed_tables, read_artifact
+from spanforge.plans.runs import RunConfig, capabilities, commit_run, measurement_run, method_run, pin_violations, reuse_decisions, variant_plan, write_run
 from spanforge.sources import corpus
 from tests.test_measure import document, observations
 
@@ -161,3 +162,7 @@ def test_method_run(spark, tmp_path):
     assert run.review.where("kind = 'disagreement'").count() == 1 and run.review.where("kind = 'pending-expectation'").count() > 0
     assert run.assertions.count() == sum(r.total for r in run.resolution.collect()) and run.unresolved.count() >= 0
     assert {"variants", "assertions", "summary_by_method", "summary_attempts"} <= set(run.tables())
+    config = RunConfig(("a", "b"), reference="a")
+    manifest = commit_run(run, str(tmp_path / "artifact"), config)
+    assert set(manifest["tables"]) == set(run.tables()) and manifest["facts"] == {"config_hash": config.config_hash(), "kind": "method-run"}
+    assert read_artifact(spark, str(tmp_path / "artifact"))["variants"].count() == plan.count() and changed_tables(spark, str(tmp_path / "artifact")) == []
