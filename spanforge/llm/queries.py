@@ -226,4 +226,20 @@ ORACLE_SQL = {
              r AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT r.word, f.form, r.depth + 1 FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL),
              e AS (SELECT word, arg_max(root, depth) AS root FROM r GROUP BY word)
         SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN e ON f.word = e.word""",
+    "op12_periodic_runs": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+               xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda s, x: list_reduce(range(8), lambda y, k: xor(y >> 1, (y & 1) * 3988292384), xor(s, x)), CAST(4294967295 AS BIGINT))) AS h FROM documents),
+             g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS b FROM t),
+             d AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // b) + 1] END) ELSE w END AS w FROM g),
+             x AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+             p AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+             e AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p),
+             c AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM e GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+             r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.doc_id = c.doc_id AND o.q < c.q AND o.s <= c.s AND o.s + o.l >= c.s + c.l)),
+             k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, s, q) AS place FROM r),
+             m AS (SELECT doc_id, count(*) AS n_runs, min(s) FILTER (place = 1) AS s, min(l) FILTER (place = 1) AS l, min(q) FILTER (place = 1) AS q, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM k GROUP BY doc_id),
+             o AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+             f AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS collapsed FROM x WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = x.doc_id AND o.i = x.i) GROUP BY x.doc_id)
+        SELECT d.doc_id, coalesce(m.n_runs, 0) AS n_runs, m.s AS start, m.l AS length, m.q AS period, 1000 * m.l // m.q AS exponent_milli, sha256(coalesce(m.listed, '')) AS runs_sha256, sha256(coalesce(f.collapsed, '')) AS collapsed_sha256
+        FROM d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id""",
 }
