@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import pieces, slices
+from spanforge.llm.common import pieces, slices, unused
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -188,9 +188,10 @@ def with_language(docs: DataFrame, model: MixtureModel, *, text_col: str = "text
             yield pa.array(rows, to)
 
     # Called once a row: Spark doesn't copy what it takes for nondeterministic into filters and projections.
-    found = docs.withColumn("__language", predict.asNondeterministic()(F.col(f"`{text_col}`")))
+    (language,) = unused(docs.columns, "language")
+    found = docs.withColumn(language, predict.asNondeterministic()(F.col(f"`{text_col}`")))
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "mixture")]
-    return found.select(*names, *[F.col("__language")[c].alias(c) for c in ("lang_pred", "score", "mixture")])
+    return found.select(*names, *[F.col(language)[c].alias(c) for c in ("lang_pred", "score", "mixture")])
 
 
 def held_out(id_col: str = "doc_id"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import materialize
+from spanforge.llm.common import materialize, unused
 
 MAX_RATIO = 0.05
 MIN_PAGES = 3
@@ -65,22 +65,23 @@ def drop_site_boilerplate(
     """
     found = materialize(boilerplate_lines(docs, text_col=text_col, host_col=host_col, max_ratio=max_ratio, min_pages=min_pages, copies_once=copies_once), "boilerplate")
     # 64 bits do here: a line is compared with its host's few boilerplate lines, not with all lines.
-    found = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("key.a").alias("__keys"))
+    host, keys, owned, kept = unused([*docs.columns, "lines_in", "lines_dropped"], "host", "keys", "owned", "kept")
+    found = found.groupBy(F.col("host").alias(host)).agg(F.collect_list("key.a").alias(keys))
     text = F.col(f"`{text_col}`")
     lines = F.split(text, "\n")
-    own = F.array_intersect(F.col("__keys"), F.transform(lines, lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x)))))
-    left = F.when(F.coalesce(F.size("__own"), F.lit(0)) == 0, lines).otherwise(
-        F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__own"), F.xxhash64(F.trim(x))))
+    own = F.array_intersect(F.col(keys), F.transform(lines, lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x)))))
+    left = F.when(F.coalesce(F.size(owned), F.lit(0)) == 0, lines).otherwise(
+        F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(owned), F.xxhash64(F.trim(x))))
     )
     names = [c for c in docs.columns if c not in ("lines_in", "lines_dropped")]
     return (
         docs.select(*[F.col(f"`{c}`") for c in names])
-        .join(found, F.col(f"`{host_col}`").eqNullSafe(F.col("__host")), "left")
-        .withColumn("__own", own)
-        .withColumn("__left", left)
+        .join(found, F.col(f"`{host_col}`").eqNullSafe(F.col(host)), "left")
+        .withColumn(owned, own)
+        .withColumn(kept, left)
         .select(
-            *[F.array_join("__left", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
+            *[F.array_join(kept, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
             F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("lines_in"),
-            F.coalesce(F.size(lines) - F.size("__left"), F.lit(0)).cast("long").alias("lines_dropped"),
+            F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long").alias("lines_dropped"),
         )
     )

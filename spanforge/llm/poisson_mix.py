@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import materialize
+from spanforge.llm.common import materialize, unused
 
 TEMPERATURE = 0.5
 SEED = 20
@@ -74,19 +74,20 @@ def mix_sources(
     empty table gives no rows; texts are not read.
     """
     rates = source_rates(docs, weights, source_col=source_col, temperature=temperature, size=size)
-    rates = _cdfs(rates).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
+    source, cdf, times = unused([*docs.columns, "copy", "shuffle_key"], "source_", "cdf", "times")
+    rates = _cdfs(rates).select(F.col("source").alias(source), F.col("cdf").alias(cdf))
     rates = materialize(rates, "poisson-cdf")  # a row for each source
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     u = uniform(F.lit(f"count:{seed}"), key)
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     counted = (
         docs.select(*[F.col(f"`{c}`") for c in names])
-        .join(rates, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
-        .withColumn("__n", F.size(F.filter("__cdf", lambda c: c < u)))
-        .where("__n > 0")
+        .join(rates, F.col(f"`{source_col}`").eqNullSafe(F.col(source)))
+        .withColumn(times, F.size(F.filter(cdf, lambda c: c < u)))
+        .where(F.col(times) > 0)
     )
     return (
-        counted.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("copy"))
+        counted.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias("copy"))
         .withColumn("copy", F.col("copy").cast("long"))
         .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order:{seed}"), key, F.col("copy"))))
         .repartition(F.col("shuffle_key"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import pieces
+from spanforge.llm.common import pieces, unused
 
 UNIT = 192  # payloads are padded to a multiple: a 4:4:4 MCU of samples
 MCU = 384
@@ -698,5 +698,6 @@ def with_pictures(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
                 out.append(picture and {"payload": payload_of(picture), "height": picture.frame.height, "width": picture.frame.width, "rgb": rgb.tobytes()})
             yield pa.array(out, to)
 
-    found = stored.withColumn("__picture", decode.asNondeterministic()(F.col(f"`{media_col}`")))
-    return found.select(*[F.col(f"`{c}`") for c in stored.columns if c not in names], *[F.col("__picture")[c].alias(c) for c in names])
+    (picture,) = unused(stored.columns, "picture")
+    found = stored.withColumn(picture, decode.asNondeterministic()(F.col(f"`{media_col}`")))
+    return found.select(*[F.col(f"`{c}`") for c in stored.columns if c not in names], *[F.col(picture)[c].alias(c) for c in names])

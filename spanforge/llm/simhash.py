@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import join_hot, materialize, slices
+from spanforge.llm.common import join_hot, materialize, slices, unused
 from spanforge.llm.components import connected_components
 
 RADIUS = 3
@@ -212,17 +212,17 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -
     """
     flagged = groups.where("id is not null").select("id", "text_a", "text_b", (row_key() == F.col("first")).alias("own"))
     counted = materialize(flagged.groupBy("id", "text_a", "text_b").agg(F.max("own").alias("own"), F.count("*").alias("n")), "near-duplicates")
-    key = [F.col("__id").alias("__id"), F.col("text_a").alias("__a"), F.col("text_b").alias("__b")]
-    counted = counted.withColumnRenamed("id", "__id")
+    row_id, one, two = unused(docs.columns, "row_id", "one", "two")
+    key = [F.col("id").alias(row_id), F.col("text_a").alias(one), F.col("text_b").alias(two)]
     # Fewer rows go than stay, so the joins are with those that go or repeat: texts are shuffled only if even these are many.
     gone = materialize(counted.where("not own").select(key), "gone")
     repeated = materialize(counted.where("own and n > 1").select(key), "repeated")
     a, b = text_key(docs[f"`{text_col}`"])
-    same = lambda other: (docs[f"`{id_col}`"] == other["__id"]) & (a == other["__a"]) & (b == other["__b"])
+    same = lambda other: (docs[f"`{id_col}`"] == other[row_id]) & (a == other[one]) & (b == other[two])
     out = docs.join(gone, same(gone), "left_anti")
     if repeated.isEmpty():
         return out
-    once = docs.join(repeated, same(repeated), "left_semi").withColumns({"__a": a, "__b": b}).dropDuplicates([id_col, "__a", "__b"]).drop("__a", "__b")
+    once = docs.join(repeated, same(repeated), "left_semi").withColumns({one: a, two: b}).dropDuplicates([id_col, one, two]).drop(one, two)
     return out.join(repeated, same(repeated), "left_anti").unionByName(once)
 
 
