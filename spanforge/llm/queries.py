@@ -53,9 +53,14 @@ def op2_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _number_of(kind: int) -> Column:
+    """Base spans of a kind. The lambda has one parameter only: Spark gives a second one, also one with a default, the place in the array."""
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    counts = [_number_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     terms = F.transform("terms", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     return found.select(
         "doc_id",

@@ -136,3 +136,23 @@ def test_full_filters_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(pii, "MOST_BITS", bits)
         monkeypatch.setattr(pii, "TERM_BITS", 1)
         assert rows() == want
+
+
+def test_query_counts_each_kind_of_any_rows(spark, tmp_path):
+    """Numbers and digests of the query itself, of rows with several spans of one kind and of all kinds."""
+    import hashlib
+
+    from spanforge.llm.queries import op3_pii_disclosure
+
+    rng = random.Random(3)
+    pieces = ["x@y.z ", "a.b@c.de ", "1.2.3.4 ", "4111 1111-1111 1111 ", "+1 (555) 555-1234 ", "+49 30 1234567 ", "1.2.3.256 ", "\U0001f600", "\u0661", "word ", "\n"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(9)))) for i in range(300)]
+    rows += [(400, None), (401, ""), (None, "x@y.z, a@b.cd and 1.2.3.4"), (0, rows[0][1])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for i, text in rows:
+        spans = plain(text or "")
+        named = ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}" for k, a, b in spans)
+        want[i, *(sum(s[0] == k for s in spans) for k in range(4)), hashlib.sha256(named.encode()).hexdigest()] += 1
+    got = op3_pii_disclosure(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()
+    assert Counter(map(tuple, got)) == want and max(k[4] for k in want) > 1
