@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.byte_bpe import decode_ids, encode_documents
-from spanforge.llm.common import materialize, table
+from spanforge.llm.common import discard, materialize, table
 from spanforge.llm.hnsw import THRESHOLD, embedding_links
 from spanforge.llm.html_consensus import extract_main_text
 from spanforge.llm.language_mixture import held_out, learn, with_language
@@ -22,9 +22,26 @@ from spanforge.llm.toxicity import learn_toxicity, with_toxicity
 from spanforge.llm.warc_archive import MIN_REVISIT_BYTES, read_archive, write_archive
 
 
+#: Parts in which op1's tensors are stored, read back and released: all at once are three times the input's files.
+TENSOR_PARTS = 12
+
+
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-    stored = materialize(with_media(docs).select("doc_id", "n_bytes", "media"), "media")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "text",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        (F.monotonically_increasing_id() % TENSOR_PARTS).cast("int").alias("part"),
+    )
+    stored = materialize(with_media(docs).select("doc_id", "n_bytes", "media", "part"), "media", by="part")
+    for k in range(TENSOR_PARTS):
+        read = _features(stored.where(F.col("part") == k))
+        features = read if k == 0 else features.unionByName(read)
+    return features
+
+
+def _features(stored: DataFrame) -> DataFrame:
+    """The digests of stored files, and a feature of their tensors: these are a table too, until the feature is computed from what is read back."""
     read = with_pictures(stored).select(
         "doc_id",
         "n_bytes",
@@ -37,9 +54,11 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         "width",
         "rgb",
     )
-    # The tensors are a table too; the feature is computed from what is read back.
+    tensors = materialize(read, "rgb-tensors")
     feature = F.concat("height", F.lit("x"), "width", F.lit("x3:"), F.lpad(F.lower(F.hex(F.crc32("rgb"))), 8, "0"))
-    return materialize(read, "rgb-tensors").withColumn("feature", feature).drop("height", "width", "rgb")
+    features = materialize(tensors.withColumn("feature", feature).drop("height", "width", "rgb"), "picture-features")
+    discard(tensors)
+    return features
 
 
 def op2_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,3 +235,38 @@ def test_columns(spark):
     other = spark.createDataFrame([(1, None)], "doc_id bigint, media binary")
     assert with_pictures(other).first().rgb is None
     assert with_pictures(with_media(df.limit(0))).collect() == []
+
+
+def test_query_keeps_few_tensors_at_a_time(spark, tmp_path, monkeypatch):
+    """Every row's digests are those of its whole text, and its tensor's feature is right, though only a part of the tensors is on disk at once."""
+    import hashlib
+    from collections import Counter
+    from pathlib import Path
+
+    from spanforge.llm import queries
+
+    rng = random.Random(4)
+    rows = [(i, "".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xC0, 0x200)])) for _ in range(rng.randrange(3000)))) for i in range(150)]
+    rows += [(1000, None), (1001, ""), (None, "no id"), (0, rows[0][1]), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before, plain, alive = set(folder.iterdir()), queries.materialize, []
+
+    def watched(df, label, **more):
+        out = plain(df, label, **more)
+        tables = [p for p in folder.iterdir() if p not in before and p.name.startswith("rgb-tensors")]
+        alive.append((label, out.count(), sum(spark.read.parquet(str(p)).count() for p in tables)))
+        return out
+
+    monkeypatch.setattr(queries, "materialize", watched)
+    got = queries.op1_progressive_jpeg(spark, str(tmp_path)).collect()
+    assert sum(n for label, n, _ in alive if label == "rgb-tensors") == len(rows) and max(n for _, _, n in alive) < len(rows) / 4
+    want = Counter()
+    for i, text in rows:
+        payload = padded((text or "").encode())
+        (file,) = encode_payloads([payload])
+        rgb = rgb_tensors(decode_files([file]))[0]
+        feature = f"{rgb.shape[0]}x{rgb.shape[1]}x3:{zlib.crc32(rgb.tobytes()):08x}"
+        digests = (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature)
+        want[i, len((text or "").encode()), len(payload), *digests] += 1
+    assert Counter(map(tuple, got)) == want
