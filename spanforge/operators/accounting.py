@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.numeric import UNCOVERED, WITHHELD, Accounting, proportion, ratio
+from spanforge.sources.store import materialize
 
 SUMS = ("spans", "exact", "covered", "overbroad", "partial", "miss", "secret_bytes", "leaked_bytes", "collateral_bytes", "envelope_spans", "envelope_bytes", "fp")
 
@@ -72,16 +73,18 @@ def pending_by_kind(results: DataFrame, keys: list[str] | None = None) -> DataFr
     return measured(results).where("tier = 'T0'").groupBy(*(keys or ["scanner"]), "kind").agg(F.count("*").alias("pending_files"))
 
 
-def account_groups(results: DataFrame, config: Accounting = Accounting(), keys: list[str] | None = None) -> DataFrame:
+def account_groups(results: DataFrame, config: Accounting = Accounting(), keys: list[str] | None = None, pending: DataFrame | None = None) -> DataFrame:
     """Group counts with their published figures, each a struct(point, bound, n, withheld).
 
     A positive group whose measurable share is under its floor has its rates
     withheld; twins under the coverage floor have theirs withheld for coverage.
-    Every tier of a kind is charged with all pending cases of that kind.
+    Every tier of a kind is charged with all pending cases of that kind: ``pending``
+    (keys, kind, pending_files), or else the T0 cases among the results.
     """
     keys = keys or ["scanner"]
     counts = group_counts(results, keys).withColumn("kind", F.split("group_key", "/")[0])
-    rows = counts.join(pending_by_kind(results, keys), [*keys, "kind"], "left").fillna(0, ["pending_files"])
+    pending = pending_by_kind(results, keys) if pending is None else pending
+    rows = counts.join(pending, [*keys, "kind"], "left").fillna(0, ["pending_files"])
     rows = rows.withColumn("pending_files", F.when(F.col("population") == "positive", F.col("pending_files")).otherwise(0))
     c = F.col
     positive, control = c("population") == "positive", c("population") == "control"
@@ -117,13 +120,19 @@ def account_selections(results: DataFrame, assignments: DataFrame, config: Accou
     mine = rows.join(chosen, "case_id")
     suites = mine.select("scanner", "target", F.col("key").alias("sel_key"), "suite").distinct()
     own = mine.withColumn("sel_key", F.col("key"))
-    pending = mine.where("tier = 'T0'").join(suites, ["scanner", "target", "suite"])
     mates = mine.where("measurement_type = 'positive'").select("scanner", "target", F.col("key").alias("sel_key"), F.col("case_id").alias("twin_of"))
-    twins = rows.where("twin_of is not null").join(mates, ["scanner", "twin_of"]).join(suites, ["scanner", "target", "sel_key", "suite"], "left_semi")
-    columns = [*rows.columns, "target", "sel_key"]
-    pool = own.select(columns).unionByName(pending.select(columns)).unionByName(twins.select(columns)).dropDuplicates(["scanner", "target", "sel_key", "case_id"])
-    accounted = account_groups(pool, config, ["scanner", "target", "sel_key"])
-    return accounted.where("group_key = sel_key").drop("sel_key")
+    assigned = chosen.withColumn("assigned", F.lit(True))
+    twins = rows.where("twin_of is not null").join(mates, ["scanner", "twin_of"]).join(suites, ["scanner", "target", "sel_key", "suite"], "left_semi").join(assigned, ["case_id", "target"], "left")
+    keys = ["scanner", "target", "sel_key"]
+    columns = [*keys, "key", "case_id", "twin_of", "kind", "tier", "measurement_type", "assigned", *SUMS, "findings", "flagged", "co_detected"]
+    pool = own.withColumn("assigned", F.lit(True)).select(columns).unionByName(twins.where("assigned is null or key <> sel_key").select(columns))
+    # Counts, pairs and pending cases each read the pool: a table, so that its joins are planned and run once.
+    pool = materialize(pool, "pool")
+    # The target's T0 cases are only counted: by suite, and then for each group that the suite holds. Other T0 cases are twins of no target's.
+    waiting = mine.where("tier = 'T0'").groupBy("scanner", "target", "suite", "kind").agg(F.count("*").alias("n")).join(suites, ["scanner", "target", "suite"])
+    waiting = waiting.select(*keys, "kind", "n").unionByName(pool.where("tier = 'T0' and assigned is null").select(*keys, "kind", F.lit(1).cast("long").alias("n")))
+    pending = waiting.groupBy(*keys, "kind").agg(F.sum("n").alias("pending_files"))
+    return account_groups(pool, config, keys, pending).where("group_key = sel_key").drop("sel_key")
 
 
 def twin_probe(families: DataFrame, twins: DataFrame, results: DataFrame, unprobeable: DataFrame) -> DataFrame:
